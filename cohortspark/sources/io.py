@@ -2,13 +2,15 @@
 
 import datetime as dt
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 __all__ = [
     "lowercase_columns", "read_table", "read_csv", "write_table", "infer_ddl", "create_and_populate", "write_csv",
     "materialize", "upsert_partition", "update_from", "preview", "run_sql", "split_statements", "run_script", "lookup",
-    "date_spine",
+    "date_spine", "scratch_path",
 ]
 
 
@@ -77,12 +79,23 @@ def infer_ddl(df, name):
     return f"CREATE TABLE {name} (\n{columns}\n) USING parquet"
 
 
-def create_and_populate(df, name):
-    """Replace the table: schema from ``infer_ddl``, rows cast to it."""
+def scratch_path(spark, label):
+    """New path under the cluster's shared ``spark.checkpoint.dir``; a local folder only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cohortspark-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _save_as_table(df, name, path):
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+def create_and_populate(df, name, path=None):
+    """Replace the table: schema from ``infer_ddl``, rows cast to it; ``path`` makes it external."""
     spark = df.sparkSession
     frame = _concrete(lowercase_columns(df))
     casts = [F.col(f.name).cast(_ddl_type(f.dataType)).alias(f.name) for f in frame.schema.fields]
-    frame.select(*casts).write.mode("overwrite").saveAsTable(name)
+    _save_as_table(frame.select(*casts), name, path)
     return spark.read.table(name)
 
 
@@ -92,7 +105,7 @@ def write_csv(df, path, mode="overwrite", single_file=False):
     (out.coalesce(1) if single_file else out).write.mode(mode).option("header", True).csv(path)
 
 
-def materialize(df, name, kind="table"):
+def materialize(df, name, kind="table", path=None):
     """CTAS table, temp view, or drop."""
     spark = df.sparkSession if isinstance(df, DataFrame) else df
     if kind == "drop":
@@ -102,7 +115,7 @@ def materialize(df, name, kind="table"):
     if kind == "view":
         df.createOrReplaceTempView(name)
     else:
-        df.write.mode("overwrite").saveAsTable(name)
+        _save_as_table(df, name, path)
     return spark.read.table(name)
 
 
