@@ -226,30 +226,38 @@ def device_user_map(events, device, user, ts):
 # ---------------------------------------------------------------- text joins
 
 _ANCHORS = (1, 2, 3, 4, 6, 8, 12)
+#: anchors matched inside the row at most
+_MAX_SET = 2000
 
 
 def contains_join(a, b, id_a, col_a, col_b):
     """Rows of a whose text contains (any letter case) the text of some row of b.
 
-    Each pattern is anchored by its leading 1-12 characters. Texts emit their substrings of those lengths with the row
-    id only; an equi join finds candidates, and the whole pattern is then checked on the whole text.
+    Each pattern is anchored by its leading 1-12 characters and texts are cut into their substrings of those lengths.
+    Up to ``_MAX_SET`` anchors are matched inside the row; more are matched by an equi join on the substring with the
+    row id only. The whole pattern is then checked on the whole text.
     """
     pats = b.select(F.lower(F.col(col_b)).alias("_p")).filter(F.col("_p").isNotNull()).distinct()
     size = F.greatest(*[F.when(F.length("_p") >= n, F.lit(n)).otherwise(F.lit(0)) for n in _ANCHORS])
     pats = pats.withColumn("_n", size).withColumn("_g", F.expr("substring(_p, 1, _n)"))
-    lengths = [r["_n"] for r in pats.select("_n").distinct().collect()]  # at most 8 values
-    if 0 in lengths:
+    sizes = {r["_n"]: r["n"] for r in pats.groupBy("_n").agg(F.count_distinct("_g").alias("n")).collect()}  # at most 8 rows
+    if 0 in sizes:
         return a.filter(F.col(col_a).isNotNull())
-    text = F.lower(F.col(col_a))
-    grams = None
-    for n in lengths:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("_t") - (n - 1), F.lit(1)))
-        part = a.select(F.col(id_a).alias("_id"), text.alias("_t")).filter(F.length("_t") >= n).select(
-            "_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.col("_t").substr(i, F.lit(n))))).alias("_g"))
-        grams = part if grams is None else grams.unionByName(part)
-    found = grams.join(pats.select("_g", "_p"), "_g").select("_id", "_p").distinct()
-    hits = (found.join(a.select(F.col(id_a).alias("_id"), text.alias("_t")), "_id")
-            .filter(F.contains("_t", "_p")).select(F.col("_id").alias(id_a)).distinct())
+    texts = a.select(F.col(id_a).alias("_id"), F.lower(F.col(col_a)).alias("_t"))
+    found = None
+    for n, anchors in sorted(sizes.items()):
+        # the look-ahead yields every substring of length n, overlapping, in one pass over the text
+        cut = F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        mine = pats.filter(F.col("_n") == n)
+        if anchors <= _MAX_SET:
+            cut = F.array_intersect(cut, mine.agg(F.collect_set("_g").alias("s")).scalar())
+        else:
+            cut = F.array_distinct(cut)
+        part = texts.select("_id", F.explode(cut).alias("_g")).join(mine.select("_g", "_p"), "_g").select("_id", "_p")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return a.limit(0)
+    hits = found.distinct().join(texts, "_id").filter(F.contains("_t", "_p")).select(F.col("_id").alias(id_a)).distinct()
     return a.join(hits, id_a, "left_semi")
 
 

@@ -13,7 +13,7 @@ def summary_report(df, specs):
     """Long report; ``specs`` = {name: "rows" | ("distinct", col) | ("non_null", col) | aggregate Column}."""
     aggs = []
     for name, spec in specs.items():
-        if spec == "rows":
+        if isinstance(spec, str) and spec == "rows":
             expr = F.count(F.lit(1))
         elif isinstance(spec, tuple):
             expr = F.count_distinct(spec[1]) if spec[0] == "distinct" else F.count(spec[1])

@@ -251,8 +251,8 @@ q("f11_date_add", lambda t: t("orders").select("o_orderkey", F.date_add(F.to_dat
 
 q("f12_boundary_diff", lambda t: t("events").withColumn("prev", F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
   .select("event_id", *[X.boundary_diff(u, "prev", "ts").alias(u) for u in ("second", "minute", "hour", "day", "week", "month", "year")]),
-  "SELECT event_id, " + ", ".join(f"date_diff('{u}', prev, ts) AS {u}" for u in ("second", "minute", "hour", "day", "week", "month", "year"))
-  + " FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)")
+  "SELECT event_id, " + ", ".join(f"date_diff('{u}', prev, ts) AS {u}" for u in ("second", "minute", "hour", "day", "month", "year"))
+  + ", CAST(date_diff('day', date_trunc('week', prev), date_trunc('week', ts)) / 7 AS BIGINT) AS week FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)")
 
 q("f13_time_slice", lambda t: t("events").select("event_id", X.trunc_ts("hour", "ts").alias("h"), X.time_slice("ts", 300).alias("slice5"), X.trunc_ts("week", "ts").alias("w")),
   "SELECT event_id, date_trunc('hour', ts) AS h, time_bucket(INTERVAL 5 MINUTE, ts) AS slice5, CAST(date_trunc('week', ts) AS TIMESTAMP) AS w FROM events")
