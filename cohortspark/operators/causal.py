@@ -2,6 +2,8 @@
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml import Pipeline
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators.joins import nearest_value_join
 from cohortspark.operators.lineage import durable
 from cohortspark.operators.models import fit_logit, fit_trees, score
-from cohortspark.operators.ordered import OrderedScan, bfill, ffill, row_number, running_sum
+from cohortspark.operators.ordered import OrderedScan, bfill, ffill, lag, row_number, running_sum
 
 
 def propensity(df, unit, arm, xs, name="propensity"):
@@ -36,13 +38,64 @@ def match_with_replacement(df, unit, arm, score_col, caliper):
         "treated_id", F.col("match_id").alias("control_id"), "treated_score", F.col("match_value").alias("control_score"), F.col("match_gap").alias("gap"))
 
 
-def match_without_replacement(df, unit, arm, score_col, caliper, hot_rows=None):
+#: distinct scores of one independent cluster that a single task may settle
+CLUSTER_LIMIT = 10_000
+
+
+def _settle_cluster(caliper):
+    """Mutual-nearest matching of one cluster of (score, units left) rows, the same rule as the distributed rounds."""
+
+    def settle(pdf):
+        pdf = pdf.sort_values("_s")
+        s, nt, nc = pdf["_s"].to_numpy(), pdf["_nt"].to_numpy().copy(), pdf["_nc"].to_numpy().copy()
+        ut, uc = pdf["_ut"].to_numpy().copy(), pdf["_uc"].to_numpy().copy()
+        index, out = np.arange(len(s)), []
+
+        def nearest(alive):
+            """Index of the nearest live score per row within the caliper, else -1; the lower one on a tie."""
+            at = np.flatnonzero(alive)
+            if len(at) == 0:
+                return np.full(len(s), -1)
+            right = np.searchsorted(at, index, side="left")
+            lo = np.where(right < len(at), np.where(at[np.minimum(right, len(at) - 1)] == index, right, right - 1), right - 1)
+            before = np.where(lo >= 0, at[np.maximum(lo, 0)], -1)
+            after = np.where(right < len(at), at[np.minimum(right, len(at) - 1)], -1)
+            down = np.where(before >= 0, s - s[before], np.inf)
+            up = np.where(after >= 0, s[after] - s, np.inf)
+            pick = np.where(down <= up, before, after)
+            return np.where(np.minimum(down, up) <= caliper, pick, -1)
+
+        while True:
+            to_c, to_t = nearest(nc > 0), nearest(nt > 0)
+            asks = np.flatnonzero((nt > 0) & (to_c >= 0))
+            pairs = [(i, to_c[i]) for i in asks if to_t[to_c[i]] == i]
+            if not pairs:
+                break
+            for i, j in pairs:
+                n = min(nt[i], nc[j])
+                out.append((s[i], s[j], ut[i], uc[j], n))
+                nt[i], ut[i], nc[j], uc[j] = nt[i] - n, ut[i] + n, nc[j] - n, uc[j] + n
+        return pd.DataFrame(out, columns=["_ts", "_cs", "_ut", "_uc", "_n"])
+
+    return settle
+
+
+def _nearest(before, after, caliper):
+    lower, upper = F.col("_s") - F.col(before), F.col(after) - F.col("_s")
+    pick = F.when(upper.isNull() | (lower <= upper), F.col(before)).otherwise(F.col(after))
+    return F.when(F.abs(pick - F.col("_s")) <= F.lit(float(caliper)), pick)
+
+
+def match_without_replacement(df, unit, arm, score_col, caliper, hot_rows=None, cluster_limit=None):
     """Greedy nearest 1:1 matching, each control used once.
 
     The state is one row per distinct score with the treated and control units left. In every round each side of a
     mutually nearest pair of scores gives up min(left, left) units at once, so ties of any size settle in one round.
-    Rounds repeat until none adds a pair; the state is checkpointed per round.
+    Scores further apart than the caliper never meet, so the live scores fall into independent clusters; once the
+    largest has at most ``cluster_limit`` scores every cluster is settled in a task of its own. Until then the rounds
+    run distributed, with the state written out per round.
     """
+    cluster_limit = CLUSTER_LIMIT if cluster_limit is None else cluster_limit
     base = df.filter(F.col(arm).isin(0, 1) & F.col(score_col).isNotNull()).select(
         F.col(unit).alias("_u"), F.col(arm).cast("int").alias("_a"), F.col(score_col).cast("double").alias("_s"))
     units = durable(OrderedScan(base, ["_a", "_s"], ["_u"], hot_rows=hot_rows).add(_k=row_number()).result())
@@ -52,15 +105,19 @@ def match_without_replacement(df, unit, arm, score_col, caliper, hot_rows=None):
     while True:
         scan = OrderedScan(state, [], ["_s"], hot_rows=hot_rows)
         scan.derive(_tv=F.when(F.col("_nt") > 0, F.col("_s")), _cv=F.when(F.col("_nc") > 0, F.col("_s")))
-        near = scan.add(_pt=ffill("_tv"), _ft=bfill("_tv"), _pc=ffill("_cv"), _fc=bfill("_cv")).result()
-
-        def nearest(before, after):
-            lower, upper = F.col("_s") - F.col(before), F.col(after) - F.col("_s")
-            pick = F.when(upper.isNull() | (lower <= upper), F.col(before)).otherwise(F.col(after))
-            return F.when(F.abs(pick - F.col("_s")) <= F.lit(float(caliper)), pick)
-
-        asks = near.filter(F.col("_nt") > 0).select(F.col("_s").alias("_ts"), nearest("_pc", "_fc").alias("_cs"), "_nt", "_ut")
-        gives = near.filter(F.col("_nc") > 0).select(F.col("_s").alias("_cs"), nearest("_pt", "_ft").alias("_ts"), "_nc", "_uc")
+        scan.add(_prev=lag("_s"), _pt=ffill("_tv"), _ft=bfill("_tv"), _pc=ffill("_cv"), _fc=bfill("_cv"))
+        apart = F.col("_prev").isNull() | (F.col("_s") - F.col("_prev") > F.lit(float(caliper)))
+        near = durable(scan.derive(_new=F.when(apart, 1).otherwise(0)).add(_cluster=running_sum("_new")).result())
+        largest = near.groupBy("_cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n
+        if largest is None:
+            break
+        if largest <= cluster_limit:
+            live = near.select("_cluster", "_s", "_nt", "_nc", "_ut", "_uc")
+            rounds.append(durable(live.groupBy("_cluster").applyInPandas(
+                _settle_cluster(float(caliper)), "_ts double, _cs double, _ut long, _uc long, _n long")))
+            break
+        asks = near.filter(F.col("_nt") > 0).select(F.col("_s").alias("_ts"), _nearest("_pc", "_fc", caliper).alias("_cs"), "_nt", "_ut")
+        gives = near.filter(F.col("_nc") > 0).select(F.col("_s").alias("_cs"), _nearest("_pt", "_ft", caliper).alias("_ts"), "_nc", "_uc")
         pairs = durable(asks.join(gives, ["_ts", "_cs"]).withColumn("_n", F.least("_nt", "_nc")).select("_ts", "_cs", "_ut", "_uc", "_n"))
         if pairs.isEmpty():
             break

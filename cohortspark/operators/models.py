@@ -33,21 +33,25 @@ def fit_logit(df, xs, y, by=None, reg=0.0, max_iter=50):
     """Standardised logistic regression, overall or per value of ``by``: coefficient on the raw scale, odds ratio,
     percent impact of one standard deviation, AUC. Returns (terms frame, {cohort: fitted pipeline})."""
     cohorts = [None] if by is None else [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
+    names = list(xs)
+    data = df.select(*([by] if by else []), F.col(y).cast("double").alias(y), *[F.col(x).cast("double").alias(x) for x in names]).persist()
     rows, models = [], {}
-    for cohort in cohorts:
-        part = df if by is None else df.filter(F.col(by) == cohort)
-        part = part.withColumn(y, F.col(y).cast("double")).withColumns({x: F.col(x).cast("double") for x in xs})
-        model = Pipeline(stages=[
-            VectorAssembler(inputCols=list(xs), outputCol="_raw", handleInvalid="skip"),
-            StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-            LogisticRegression(labelCol=y, regParam=reg, maxIter=max_iter),
-        ]).fit(part)
-        scaler, lr = model.stages[1], model.stages[2]
-        auc = evaluate(model.transform(part).withColumn("score", prob1("probability")), "score", y).first()["auc"]
-        for x, beta, sd in zip(xs, lr.coefficients.toArray(), scaler.std.toArray()):
-            raw = float(beta / sd) if sd else 0.0
-            rows.append((None if cohort is None else str(cohort), x, raw, math.exp(raw), float(beta), (math.exp(beta) - 1) * 100.0, auc))
-        models[cohort] = model
+    try:
+        for cohort in cohorts:
+            part = data if by is None else data.filter(F.col(by) == cohort)
+            model = Pipeline(stages=[
+                VectorAssembler(inputCols=names, outputCol="_raw", handleInvalid="skip"),
+                StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
+                LogisticRegression(labelCol=y, regParam=reg, maxIter=max_iter),
+            ]).fit(part)
+            scaler, lr = model.stages[1], model.stages[2]
+            auc = evaluate(model.transform(part).select(y, prob1("probability").alias("score")), "score", y).first()["auc"]
+            for x, beta, sd in zip(names, lr.coefficients.toArray(), scaler.std.toArray()):
+                raw = float(beta / sd) if sd else 0.0
+                rows.append((None if cohort is None else str(cohort), x, raw, math.exp(raw), float(beta), (math.exp(beta) - 1) * 100.0, auc))
+            models[cohort] = model
+    finally:
+        data.unpersist()
     schema = "cohort string, term string, coef double, odds_ratio double, coef_per_sd double, pct_impact_per_sd double, auc double"
     return df.sparkSession.createDataFrame(rows, schema), models
 
@@ -122,7 +126,7 @@ def logit_inference(df, xs, y, robust=True, max_iter=30, tol=1e-9):
     se = np.sqrt(np.maximum(np.diag(cov), 0))
     rate = s["ones"] / s["n"]
     ll0 = s["n"] * (rate * math.log(rate) + (1 - rate) * math.log(1 - rate)) if 0 < rate < 1 else 0.0
-    r2 = 1 - s["ll"] / ll0 if ll0 else None
+    r2 = float(1 - s["ll"] / ll0) if ll0 else None
     rows = [(name, float(b), float(e), float(b / e) if e > 0 else None, float(math.exp(min(b, 700))), float(b * s["w"] / s["n"]), r2, float(s["n"]))
             for name, b, e in zip(["intercept"] + xs, beta, se)]
     out = df.sparkSession.createDataFrame(rows, "term string, coef double, se double, z double, odds_ratio double, ame double, pseudo_r2 double, n double")
@@ -204,10 +208,10 @@ def split(df, key, frac=0.8, seed=0, strata=None):
 def evaluate(pred, score_col, label, cutoff=0.5, hot_rows=None):
     """One row: n, positives, exact ROC AUC (tie-aware rank sum), log loss and the confusion counts."""
     y, s = F.col(label).cast("int"), F.col(score_col)
-    per = pred.filter(s.isNotNull()).groupBy(score_col).agg(F.sum(y).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    ranked = value_ranks(per, score_col, weight="_n", hot_rows=hot_rows).join(per.select(score_col, "_p"), score_col)
+    per = pred.filter(s.isNotNull()).groupBy(score_col).agg(F.sum(y).alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    ranked = value_ranks(per, score_col, weight="_n", hot_rows=hot_rows).join(per.select(score_col, "_pos"), score_col)
     c = F.least(F.greatest(s, F.lit(1e-15)), F.lit(1 - 1e-15))
-    n, p = F.col("_n"), F.col("_p")
+    n, p = F.col("_n"), F.col("_pos")
     loss = -(p * F.log(c) + (n - p) * F.log(1 - c))
     hit = s >= cutoff
     row = ranked.agg(

@@ -231,7 +231,7 @@ q("m03_winsorize", lambda t: PR.winsorize(t("orders").select("o_orderkey", "o_to
   "SELECT o_orderkey, least(greatest(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.01) FROM orders)), (SELECT quantile_cont(o_totalprice, 0.99) FROM orders)) AS o_totalprice FROM orders", "o_totalprice", 4)
 q("m03_winsorize_report", lambda t: PR.winsorize(t("orders"), ["o_totalprice"])[1].withColumnRenamed("column", "name"), """
 WITH b AS (SELECT quantile_cont(o_totalprice, 0.01) AS lo, quantile_cont(o_totalprice, 0.99) AS hi FROM orders)
-SELECT 'o_totalprice' AS name, lo, hi, (SELECT count(*) FROM orders WHERE o_totalprice < lo) AS n_low, (SELECT count(*) FROM orders WHERE o_totalprice > hi) AS n_high FROM b""", "lo hi", 4)
+SELECT 'o_totalprice' AS name, lo AS low, hi AS high, (SELECT count(*) FROM orders WHERE o_totalprice < lo) AS n_low, (SELECT count(*) FROM orders WHERE o_totalprice > hi) AS n_high FROM b""", "low high", 4)
 
 q("m04_one_hot", lambda t: PR.one_hot(t("customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"]), """
 SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS c_mktsegment_building, CASE WHEN c_mktsegment = 'FURNITURE' THEN 1 ELSE 0 END AS c_mktsegment_furniture, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1 ELSE 0 END AS c_mktsegment_household,
