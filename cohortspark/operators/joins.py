@@ -310,8 +310,8 @@ def fuzzy_join(a, b, col_a, col_b, threshold=90, score="similarity"):
     is missed.
     """
     tau = ((threshold - 0.5) / 100.0 - 0.4) / 0.6
-    need = 3.0 * tau - 1.0
-    if need <= 0:
+    need = 3.0 * tau - 1.0  # shared / len_a + shared / len_b must reach this
+    if need <= 1.01:
         raise ValueError("threshold too low for an exact filter")
 
     def bag(df, column, name):
@@ -328,7 +328,7 @@ def fuzzy_join(a, b, col_a, col_b, threshold=90, score="similarity"):
 
     def keys(df, name, order):
         n = F.col(f"{name}_n")
-        low, high = F.ceil(n * F.lit(need)), F.floor(n / F.lit(need))
+        low, high = F.ceil(n * F.lit(need - 1.0) - F.lit(1e-9)), F.floor(n / F.lit(need - 1.0) + F.lit(1e-9))
         df = df.withColumn("_m", F.explode(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1)))))
         shared = F.ceil(F.lit(need) / (F.lit(1.0) / n + F.lit(1.0) / F.col("_m")) - F.lit(1e-9))
         df = df.filter(shared <= F.least(n, F.col("_m")))

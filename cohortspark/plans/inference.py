@@ -322,9 +322,9 @@ q("m20_x_learner", lambda t: _uplift(t, CI.XLearner(XS, "a", "y", **_TREE)))
 q("m20_x_learner_mean", lambda t: _uplift(t, CI.XLearner(XS, "a", "y", weighting="mean", **_TREE)))
 q("m21_transformed_outcome", lambda t: CI.transformed_outcome_tree(_modelled(t), XS, "a", "y", max_depth=2)[0].select("c_custkey", "uplift"))
 
-_QINI = f"""{_SCORED}, o AS (SELECT c_custkey, a, y, row_number() OVER w AS position, sum(a) OVER w AS nt, sum(1 - a) OVER w AS nc, sum(y * a) OVER w AS yt, sum(y * (1 - a)) OVER w AS yc, count(*) OVER () AS n, sum(a) OVER () AS at, sum(1 - a) OVER () AS ac
+_QINI = f"""{_SCORED}, o AS (SELECT c_custkey, a, y, row_number() OVER w AS position, sum(a) OVER w AS nt, sum(1 - a) OVER w AS nc, sum(y * a) OVER w AS yt, sum(y * (1 - a)) OVER w AS yc, count(*) OVER () AS n, sum(a) OVER () AS all_t, sum(1 - a) OVER () AS all_c
     FROM sc WINDOW w AS (ORDER BY score DESC, c_custkey ROWS UNBOUNDED PRECEDING)),
-  k AS (SELECT *, yt - coalesce(yc * nt / nullif(nc, 0), 0) AS curve, yt / greatest(at, 1) - yc / greatest(ac, 1) AS rate_gap FROM o)"""
+  k AS (SELECT *, yt - coalesce(yc * nt / nullif(nc, 0), 0) AS curve, yt / greatest(all_t, 1) - yc / greatest(all_c, 1) AS rate_gap FROM o)"""
 q("m22_qini_curve", lambda t: U.qini_curve(_scored(t), "score", "a", "y", "c_custkey").select("c_custkey", "position", "curve", "rate_gap", "incremental"),
   f"WITH {_QINI} SELECT c_custkey, position, curve, rate_gap, yt - yc AS incremental FROM k", "curve rate_gap incremental")
 q("m22_uplift_summary", lambda t: U.uplift_summary(U.qini_curve(_scored(t), "score", "a", "y", "c_custkey")), f"""
