@@ -5,7 +5,7 @@ import math
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-from cohortspark.functions.exprs import boundary_diff, micros
+from cohortspark.functions.exprs import boundary_diff, classify, micros
 from cohortspark.operators.ordered import OrderedScan, ffill, bfill, running_max
 
 
@@ -225,31 +225,39 @@ def device_user_map(events, device, user, ts):
 
 # ---------------------------------------------------------------- text joins
 
-_ANCHORS = (1, 2, 3, 4, 6, 8, 12)
-#: anchors matched inside the row at most
-_MAX_SET = 2000
+#: aligned block lengths, and lengths of the leading characters of shorter patterns
+_BLOCKS = (12, 8, 6)
+_LEADS = (8, 6, 4, 3, 2, 1)
+#: grams matched inside the row at most
+_MAX_SET = 10_000
 
 
 def contains_join(a, b, id_a, col_a, col_b):
     """Rows of a whose text contains (any letter case) the text of some row of b.
 
-    Each pattern is anchored by its leading 1-12 characters and texts are cut into their substrings of those lengths.
-    Up to ``_MAX_SET`` anchors are matched inside the row; more are matched by an equi join on the substring with the
-    row id only. The whole pattern is then checked on the whole text.
+    A pattern of 2n - 1 or more characters covers a whole aligned block of n characters wherever it occurs, so such
+    texts are only cut into aligned blocks and the pattern lists the blocks it can cover; short patterns are looked up
+    by their leading characters at every position. Up to ``_MAX_SET`` grams are matched inside the row; more are
+    matched by an equi join on the gram with the row id only. The whole pattern is then checked on the whole text.
     """
     pats = b.select(F.lower(F.col(col_b)).alias("_p")).filter(F.col("_p").isNotNull()).distinct()
-    size = F.greatest(*[F.when(F.length("_p") >= n, F.lit(n)).otherwise(F.lit(0)) for n in _ANCHORS])
-    pats = pats.withColumn("_n", size).withColumn("_g", F.expr("substring(_p, 1, _n)"))
-    sizes = {r["_n"]: r["n"] for r in pats.groupBy("_n").agg(F.count_distinct("_g").alias("n")).collect()}  # at most 8 rows
-    if 0 in sizes:
+    size = F.length("_p")
+    block = classify([(size >= 2 * n - 1, n) for n in _BLOCKS], 0)
+    lead = classify([(size >= n, n) for n in _LEADS], 0)
+    pats = pats.withColumns({"_aligned": (block > 0).cast("int"), "_n": F.when(block > 0, block).otherwise(lead)})
+    offsets = F.sequence(F.lit(1), F.when(F.col("_aligned") == 1, F.col("_n")).otherwise(1))
+    pats = pats.withColumn("_g", F.explode(F.array_distinct(F.transform(offsets, lambda i: F.col("_p").substr(i, F.col("_n"))))))
+    kinds = pats.groupBy("_aligned", "_n").agg(F.count_distinct("_g").alias("n")).collect()  # one row per gram length
+    if any(k["_n"] == 0 for k in kinds):
         return a.filter(F.col(col_a).isNotNull())
     texts = a.select(F.col(id_a).alias("_id"), F.lower(F.col(col_a)).alias("_t"))
     found = None
-    for n, anchors in sorted(sizes.items()):
-        # the look-ahead yields every substring of length n, overlapping, in one pass over the text
-        cut = F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        mine = pats.filter(F.col("_n") == n)
-        if anchors <= _MAX_SET:
+    for k in kinds:
+        n = k["_n"]
+        # the look-ahead yields every substring of length n, the plain pattern the aligned blocks
+        cut = F.regexp_extract_all("_t", F.lit(f"(?s)(.{{{n}}})" if k["_aligned"] else f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        mine = pats.filter((F.col("_n") == n) & (F.col("_aligned") == k["_aligned"]))
+        if k["n"] <= _MAX_SET:
             cut = F.array_intersect(cut, mine.agg(F.collect_set("_g").alias("s")).scalar())
         else:
             cut = F.array_distinct(cut)

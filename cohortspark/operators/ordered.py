@@ -15,21 +15,18 @@ from pyspark.sql import Window, functions as F, types as T
 HOT_ROWS = 4_000_000
 #: hot keys tracked at most; a key beyond these has under 1/2000 of the rows
 MAX_HOT = 256
-MAX_CELLS = 1024
+MAX_CELLS = 8192
+#: parts a single order value is cut into by the tiebreak at most
+MAX_PARTS = 256
 
 
 def _name(order):
     return order.lstrip("-")
 
 
-def sort_columns(order):
-    """``"-x"`` sorts descending with NULLs last, ``"x"`` ascending with NULLs first."""
-    return [F.col(_name(o)).desc_nulls_last() if o.startswith("-") else F.col(o).asc_nulls_first() for o in order]
-
-
-def sort_key(order):
-    """A struct of numbers/times that sorts like ``order``; only for orders whose columns can be negated."""
-    return F.struct(*[F.col(_name(o)) for o in order])
+def sort_columns(order, reverse=False):
+    """``"-x"`` sorts descending with NULLs last, ``"x"`` ascending with NULLs first; ``reverse`` is the exact opposite."""
+    return [F.col(_name(o)).desc_nulls_last() if o.startswith("-") != reverse else F.col(_name(o)).asc_nulls_first() for o in order]
 
 
 def key_hash(keys):
@@ -145,12 +142,17 @@ class OrderedScan:
         if biggest <= self.hot_rows:
             return
         cells = min(MAX_CELLS, max(2, -(-2 * biggest // max(1, self.hot_rows))))
-        probs = F.array(*[F.lit(i / cells) for i in range(1, cells)])
-        exprs = [F.percentile_approx(self._code(first), probs, F.lit(10 * cells)).alias("_b1")]
+        borders = hot_df.withColumn("_c1", self._code(first))
+
+        def quantiles(column, n):
+            return F.expr(f"percentile_approx({column}, array({', '.join(f'{i / n}D' for i in range(1, n))}), {10 * n})")
+
+        exprs = [quantiles("_c1", cells).alias("_b1")]
         if second:
-            exprs.append(F.percentile_approx(self._code(second), probs, F.lit(10 * cells)).alias("_b2"))
+            borders = borders.withColumn("_c2", self._code(second))
+            exprs.append(quantiles("_c2", min(cells, MAX_PARTS)).alias("_b2"))
         spark = self.df.sparkSession
-        bounds = hot_df.groupBy("_h").agg(*exprs)
+        bounds = borders.groupBy("_h").agg(*exprs)
         bounds = spark.createDataFrame(bounds.collect(), bounds.schema)  # at most MAX_HOT rows
         self.split = True
         text = isinstance(self.df.schema[first].dataType, T.StringType)
@@ -172,7 +174,7 @@ class OrderedScan:
             sub = -sub if self.order[1].startswith("-") else sub
             cell2 = F.when(F.lit(not text) & F.coalesce(repeated, F.lit(False)), sub).otherwise(0)
         cell = F.when(F.col("_b1").isNull(), F.lit(0).cast("bigint")).otherwise(
-            cell1.cast("bigint") * (4 * MAX_CELLS) + cell2
+            cell1.cast("bigint") * (4 * MAX_PARTS) + cell2
         )
         keyed = self.df.withColumn("_h", key_hash(self.keys) if self.keys else F.lit(0).cast("bigint"))
         names = self.df.columns
@@ -202,17 +204,17 @@ class OrderedScan:
             return F.lag(value, 1, None if self.split else op.default).over(ordered)
         if op.kind == "lead":
             return F.lead(value, 1, None if self.split else op.default).over(ordered)
-        back = (Window.unboundedPreceding, -1 if op.kind.endswith("strict") else Window.currentRow)
-        ahead = (1 if op.kind.endswith("strict") else Window.currentRow, Window.unboundedFollowing)
-        if op.kind.startswith("ffill"):
-            return F.last(value, ignorenulls=True).over(ordered.rowsBetween(*back))
-        return F.first(value, ignorenulls=True).over(ordered.rowsBetween(*ahead))
+        # a frame that ends at UNBOUNDED FOLLOWING is re-read for every row, so backward fills run in reverse order
+        frame = (Window.unboundedPreceding, -1 if op.kind.endswith("strict") else Window.currentRow)
+        if op.kind.startswith("bfill"):
+            ordered = self._window().orderBy(*sort_columns(self.order, reverse=True))
+        return F.last(value, ignorenulls=True).over(ordered.rowsBetween(*frame))
 
     _COMBINE = {
         "row_number": (_ABOVE, "sum"), "running_sum": (_ABOVE, "sum"), "running_max": (_ABOVE, "max"),
-        "running_min": (_ABOVE, "min"), "lag": (_ABOVE, "last"), "lead": (_BELOW, "first"),
-        "ffill": (_ABOVE, "last"), "ffill_strict": (_ABOVE, "last"), "bfill": (_BELOW, "first"),
-        "bfill_strict": (_BELOW, "first"), "key_sum": ("_all", "sum"), "key_max": ("_all", "max"), "key_min": ("_all", "min"),
+        "running_min": (_ABOVE, "min"), "lag": (_ABOVE, "last"), "lead": (_BELOW, "last"),
+        "ffill": (_ABOVE, "last"), "ffill_strict": (_ABOVE, "last"), "bfill": (_BELOW, "last"),
+        "bfill_strict": (_BELOW, "last"), "key_sum": ("_all", "sum"), "key_max": ("_all", "max"), "key_min": ("_all", "min"),
     }
 
     def _carry(self, ops):
@@ -238,13 +240,13 @@ class OrderedScan:
         summary = hot.groupBy(*self.keys, "_cell").agg(*aggs)
         by = Window.partitionBy(*(self.keys or [F.lit(1)]))
         above = by.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-        below = by.orderBy("_cell").rowsBetween(1, Window.unboundedFollowing)
+        below = by.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
         frames = {_ABOVE: above, _BELOW: below, "_all": by}
         cols = []
         for n, op in ops.items():
             side, fold = self._COMBINE[op.kind]
             s = F.col(f"_s_{n}")
-            folded = getattr(F, fold)(s, ignorenulls=True) if fold in ("first", "last") else getattr(F, fold)(s)
+            folded = F.last(s, ignorenulls=True) if fold == "last" else getattr(F, fold)(s)
             cols.append(folded.over(frames[side]).alias(f"_c_{n}"))
         return summary.select(*self.keys, "_cell", *cols)
 

@@ -22,7 +22,7 @@ def test_fuzzy_join_misses_nothing(spark):
 
 
 def test_contains_join_both_ways(spark, monkeypatch):
-    texts, pats = words(3, 80, "abC\n", 1, 40), words(4, 40, "aBc", 1, 5) + ["abcabcabcabcabc"]
+    texts, pats = words(3, 80, "abC\n", 1, 12) + [f"zz{p}yy{p[1:]}" for p in words(5, 30, "abc", 11, 26)[:20]] + words(6, 60, "xyZ", 5, 60), words(4, 40, "aBc", 4, 7) + words(5, 30, "abc", 11, 26)
     a = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     b = spark.createDataFrame([(p,) for p in pats], "p string")
     want = sorted(i for i, t in enumerate(texts) if any(p.lower() in t.lower() for p in pats))
