@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.joins import nearest_value_join
 from cohortspark.operators.lineage import durable
-from cohortspark.operators.models import fit_logit, fit_trees, score
+from cohortspark.operators.models import MAX_COHORTS, fit_logit, fit_trees, score
 from cohortspark.operators.ordered import OrderedScan, bfill, ffill, lag, row_number, running_sum
 
 
@@ -216,7 +216,9 @@ def transformed_outcome_tree(df, xs, treatment, outcome, p=None, max_depth=4, se
 def segment_uplift(df, segment, xs, treatment, outcome, min_n=100, cutoff=0.0, **tree_options):
     """Two-model uplift per segment with both arms of at least ``min_n``; smaller segments are reported unscored."""
     arm = F.col(treatment).cast("int")
-    sizes = df.groupBy(segment).agg(F.count(F.when(arm == 1, 1)).alias("t"), F.count(F.when(arm == 0, 1)).alias("c")).orderBy(segment).collect()
+    sizes = df.groupBy(segment).agg(F.count(F.when(arm == 1, 1)).alias("t"), F.count(F.when(arm == 0, 1)).alias("c")).orderBy(segment).limit(MAX_COHORTS + 1).collect()
+    if len(sizes) > MAX_COHORTS:
+        raise ValueError(f"{segment} has more than {MAX_COHORTS} values: two models each are not meant for that")
     rows = []
     for r in sizes:  # one row per segment
         if min(r.t, r.c) < min_n:

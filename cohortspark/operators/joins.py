@@ -6,7 +6,10 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from cohortspark.functions.exprs import boundary_diff, classify, micros
-from cohortspark.operators.ordered import OrderedScan, ffill, bfill, running_max
+from cohortspark.operators.ordered import OrderedScan, bfill, ffill, hot_hashes, key_hash, running_max
+
+#: parts a hot join key is spread over
+SALTS = 32
 
 
 def _list(keys):
@@ -51,14 +54,36 @@ def spine_cross(entities, start, end, name="day", step="INTERVAL 1 DAY"):
     return entities.withColumn(name, F.explode(F.sequence(as_date(start), as_date(end), F.expr(step))))
 
 
+def _salted(big, small, keys, hot_rows=None):
+    """Both sides with a ``_salt`` column: rows of big's hot keys are spread by a hash of the row, and small repeats its
+    rows of just those keys once per part. Without hot keys the sides come back as they are."""
+    hot = hot_hashes(big, keys, hot_rows)
+    if not hot:
+        return big, small, list(keys)
+    small = small.withColumns({k: F.col(k).cast(big.schema[k].dataType) for k in keys})  # equal types hash alike
+    plain = [f.name for f in big.schema.fields if not isinstance(f.dataType, T.MapType)]
+    part = F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")
+    is_hot = key_hash(keys).isin(hot)
+    big = big.withColumn("_salt", F.when(is_hot, part).otherwise(F.lit(0)))
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return big, small.withColumn("_salt", F.explode(parts)), list(keys) + ["_salt"]
+
+
+def spread_join(big, small, keys, how="left", hot_rows=None):
+    """Equi join of a large side to a side with few rows per key; hot keys of the large side meet in many tasks."""
+    b, s, on = _salted(big, small, _list(keys), hot_rows)
+    return b.join(s, on, how).drop("_salt")
+
+
 # ---------------------------------------------------------------- time joins
 
 
-def window_join(base, events, key, t0, ts, lo=0, hi=None, how="inner", include_lo=False, include_hi=True):
+def window_join(base, events, key, t0, ts, lo=0, hi=None, how="inner", include_lo=False, include_hi=True, hot_rows=None):
     """Events with t0+lo < ts <= t0+hi (seconds) on the same key.
 
     With both ends given the time is part of the equi key (buckets as wide as the window), so a key with many base
-    rows and many events only meets itself inside two buckets. Event columns other than the key are appended.
+    rows and many events only meets itself inside two buckets; event rows of a hot key are spread over many tasks.
+    Event columns other than the key are appended.
     """
     key = _list(key)
     extra = [c for c in events.columns if c not in key]
@@ -66,7 +91,7 @@ def window_join(base, events, key, t0, ts, lo=0, hi=None, how="inner", include_l
     if clash:
         raise ValueError(f"rename event columns {sorted(clash)}")
     start = micros(t0) + F.lit(int(lo * 1000000)) if lo is not None else None
-    e, b, on = events, base, list(key)
+    e, b, on = _salted(events, base, key, hot_rows)
     if lo is not None and hi is not None:
         width = max(1, int((hi - lo) * 1000000))
         stop = micros(t0) + F.lit(int(hi * 1000000))

@@ -21,6 +21,10 @@ from cohortspark.operators.ordered import value_ranks
 from cohortspark.operators.windows import hash_order, ntile_bucket, sample_fraction
 
 
+#: separate models one call may fit
+MAX_COHORTS = 200
+
+
 def assemble(df, xs, out="features"):
     doubles = df.withColumns({x: F.col(x).cast("double") for x in xs})
     return VectorAssembler(inputCols=list(xs), outputCol=out, handleInvalid="skip").transform(doubles)
@@ -32,7 +36,9 @@ def assemble(df, xs, out="features"):
 def fit_logit(df, xs, y, by=None, reg=0.0, max_iter=50):
     """Standardised logistic regression, overall or per value of ``by``: coefficient on the raw scale, odds ratio,
     percent impact of one standard deviation, AUC. Returns (terms frame, {cohort: fitted pipeline})."""
-    cohorts = [None] if by is None else [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
+    cohorts = [None] if by is None else [r[0] for r in df.select(by).distinct().orderBy(by).limit(MAX_COHORTS + 1).collect()]
+    if len(cohorts) > MAX_COHORTS:
+        raise ValueError(f"{by} has more than {MAX_COHORTS} values: one model each is not meant for that")
     names = list(xs)
     data = df.select(*([by] if by else []), F.col(y).cast("double").alias(y), *[F.col(x).cast("double").alias(x) for x in names]).persist()
     rows, models = [], {}

@@ -103,10 +103,11 @@ _ABOVE, _BELOW = "_cell_above", "_cell_below"
 class OrderedScan:
     """Add window results to ``df`` step by step: ``scan.add(prev=lag("ts")).derive(gap=...).add(n=running_sum("gap"))``.
 
-    ``order`` must be unique within a key for repeatable results, so give a tiebreak column.
+    ``order`` must be unique within a key for repeatable results, so give a tiebreak column. ``hot`` takes the result of
+    an earlier ``hot_hashes`` on the same keys and saves the sketch pass.
     """
 
-    def __init__(self, df, keys, order, hot_rows=None, reuse=None):
+    def __init__(self, df, keys, order, hot_rows=None, hot=None):
         self.keys, self.order = list(keys), list(order)
         if not self.order:
             raise ValueError("an ordered scan needs an order")
@@ -115,7 +116,7 @@ class OrderedScan:
         self.split = False
         self.df = df
         if self.keys:
-            self.hot = hot_hashes(df, self.keys, self.hot_rows)
+            self.hot = hot_hashes(df, self.keys, self.hot_rows) if hot is None else list(hot)
             if self.hot:
                 self._cut(df.withColumn("_h", key_hash(self.keys)).filter(F.col("_h").isin(self.hot)))
         else:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.exprs import boundary_diff, classify, micros
 from cohortspark.operators.aggs import distinct_entities, percentiles, share_of_total, union_sources
+from cohortspark.operators.joins import spread_join, with_totals
 from cohortspark.operators.ordered import OrderedScan, ffill, lag, lead, row_number, running_sum
 from cohortspark.operators.windows import first_per, top_n
 
@@ -48,7 +49,7 @@ def last_touch(events, keys, ts, tiebreak, is_target, touches, surface, name="at
 def flag_after_first(df, keys, ts, pred, name="pre_flag"):
     """1 up to the key's first matching event, 0 for rows after it."""
     first = df.filter(pred).groupBy(*keys).agg(F.min(ts).alias("_first"))
-    out = df.join(first, list(keys), "left")
+    out = spread_join(df, first, keys)
     return out.withColumn(name, F.when(F.col(ts) > F.col("_first"), 0).otherwise(1)).drop("_first")
 
 
@@ -99,7 +100,7 @@ def first_action(df, keys, order, event, rules, default="other", hot_rows=None):
 def session_features(events, keys, ts, event, kinds, early_seconds=(30, 120)):
     """Wide features per session: counts per kind, seconds to the first of each kind, early events, pace, ratios."""
     starts = events.groupBy(*keys).agg(F.min(ts).alias("_t0"))
-    timed = events.join(starts, list(keys)).withColumn("_s", (micros(ts) - micros("_t0")) / 1000000.0)
+    timed = spread_join(events, starts, keys, "inner").withColumn("_s", (micros(ts) - micros("_t0")) / 1000000.0)
     aggs = [F.count(F.lit(1)).alias("n_events"), F.max("_s").alias("duration_s")]
     for k in kinds:
         aggs += [F.count(F.when(F.col(event) == k, 1)).alias(f"n_{k}"), F.min(F.when(F.col(event) == k, F.col("_s"))).alias(f"s_to_first_{k}")]
@@ -146,11 +147,9 @@ def between_milestones(events, keys, ts, event, start, end, top=20, buckets=(1,
     """
     firsts = events.groupBy(*keys).agg(F.min(F.when(start, F.col(ts))).alias("_a"), F.min(F.when(end, F.col(ts))).alias("_b"))
     spans = firsts.filter(F.col("_a") < F.col("_b"))
-    inside = events.join(spans, list(keys)).filter((F.col(ts) > F.col("_a")) & (F.col(ts) < F.col("_b")))
+    inside = spread_join(events, spans, keys, "inner").filter((F.col(ts) > F.col("_a")) & (F.col(ts) < F.col("_b")))
     counts = inside.groupBy(event, *keys).agg(F.count(F.lit(1)).alias("_n")).groupBy(event).agg(
         F.sum("_n").alias("n"), F.count(F.lit(1)).alias("n_keys"))
-    from cohortspark.operators.joins import with_totals
-
     sums = with_totals(with_totals(counts, inside.agg(F.count(F.lit(1)).alias("_ev"))), spans.agg(F.count(F.lit(1)).alias("_ks")))
     table = top_n(sums.select(event, F.col("n").cast("bigint").alias("n"), "n_keys", (F.col("n") / F.col("_ev")).alias("event_share"),
                               (F.col("n_keys") / F.col("_ks")).alias("key_share")), ["-n", event], top)
@@ -179,8 +178,6 @@ def error_rates(events, session, is_error):
     median = percentiles(per, [], "_e", [0.5], ["median_errors"])
     base = per.agg(F.count(F.lit(1)).alias("n_sessions"), F.avg(F.when(F.col("_e") > 0, 1.0).otherwise(0.0)).alias("error_session_share"),
                    F.avg("_e").alias("mean_errors"))
-    from cohortspark.operators.joins import with_totals
-
     return with_totals(base, median)
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from cohortspark.functions.exprs import md5_bucket
+from cohortspark.operators.joins import spread_join
 from cohortspark.operators.ordered import (
     OrderedScan, bfill, ffill, key_sum, lag, row_number, running_sum, sort_columns, value_ranks,
 )
@@ -66,7 +67,7 @@ def pct_rank(df, value, by=(), percent="percent_rank", cume="cume_dist", hot_row
     table = table.select(*by, value,
                          F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - 1)).otherwise(0.0).alias(percent),
                          (F.col("_upto") / F.col("_total")).alias(cume))
-    return df.join(table, list(by) + [value], "left").select(*df.columns, percent, cume)
+    return spread_join(df, table, list(by) + [value], hot_rows=hot_rows).select(*df.columns, percent, cume)
 
 
 def lag_lead(df, keys, order, value, default=None, hot_rows=None):

@@ -1,10 +1,10 @@
 """Queries for joins, aggregation, windows, sorting, set operations and data quality."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from cohortspark.functions import exprs as X
 from cohortspark.operators import aggs as A, joins as J, quality as Q, windows as W
-from cohortspark.operators.ordered import OrderedScan, key_max, key_min
+from cohortspark.operators.ordered import OrderedScan, key_max, key_min, row_number
 from cohortspark.plans.common import HISTORY_SQL, UNITS_SQL, arm_of, order_history, unit_orders
 from cohortspark.plans.registry import q
 
@@ -306,8 +306,8 @@ q("w13_random_decile", lambda t: W.random_decile(t("customer").select("c_custkey
 
 
 def _positions(t):
-    w = Window.partitionBy("c_mktsegment").orderBy(F.col("c_acctbal").desc_nulls_last(), "c_custkey")
-    t("customer").withColumn("pos", F.row_number().over(w)).createOrReplaceTempView("ranked_customers")
+    ranked = OrderedScan(t("customer"), ["c_mktsegment"], ["-c_acctbal", "c_custkey"]).add(pos=row_number()).result()
+    ranked.createOrReplaceTempView("ranked_customers")
     return t.spark.sql("SELECT c_mktsegment, pos, c_custkey FROM ranked_customers ORDER BY ALL")
 
 

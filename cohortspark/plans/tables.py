@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F, types as T
 
 from cohortspark.functions import exprs as X
 from cohortspark.operators import windows as Wn
+from cohortspark.operators.ordered import OrderedScan, lag, running_sum
 from cohortspark.plans.registry import q
 from cohortspark.sources import io
 
@@ -142,7 +143,7 @@ q("p01_project", lambda t: t("lineitem").select("l_orderkey", "l_linenumber", (F
   "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, CAST(l_quantity AS INTEGER) AS qty FROM lineitem", "net", 4)
 
 q("p02_staged_alias", lambda t: t("events").withColumn("is_buy", F.when(F.col("event_type") == "purchase", 1).otherwise(0))
-  .withColumn("buys_so_far", F.sum("is_buy").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)))
+  .transform(lambda df: OrderedScan(df, ["user_id"], ["ts", "event_id"]).add(buys_so_far=running_sum("is_buy")).result())
   .select("event_id", "is_buy", "buys_so_far"),
   """
 SELECT event_id, is_buy, CAST(sum(is_buy) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS buys_so_far
@@ -249,7 +250,7 @@ SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'safari' WHEN 1 THEN 'chrome' WHEN
 q("f11_date_add", lambda t: t("orders").select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 28).alias("d28"), F.add_months(F.to_date("o_orderdate"), -1).alias("m1"), X.plus("o_orderdate", hours=36).alias("h36")),
   "SELECT o_orderkey, CAST(o_orderdate AS DATE) + 28 AS d28, CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH AS DATE) AS m1, o_orderdate + INTERVAL 36 HOUR AS h36 FROM orders")
 
-q("f12_boundary_diff", lambda t: t("events").withColumn("prev", F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+q("f12_boundary_diff", lambda t: OrderedScan(t("events"), ["user_id"], ["ts", "event_id"]).add(prev=lag("ts")).result()
   .select("event_id", *[X.boundary_diff(u, "prev", "ts").alias(u) for u in ("second", "minute", "hour", "day", "week", "month", "year")]),
   "SELECT event_id, " + ", ".join(f"date_diff('{u}', prev, ts) AS {u}" for u in ("second", "minute", "hour", "day", "month", "year"))
   + ", CAST(date_diff('day', date_trunc('week', prev), date_trunc('week', ts)) / 7 AS BIGINT) AS week FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)")

@@ -48,3 +48,18 @@ def test_hot_key_window_join_needs_no_product(spark):
     out = J.window_join(base, ev, "k", "t0", "et", 0, 120)
     assert out.count() == 2 * 2000 - 3
     assert "CartesianProduct" not in out._jdf.queryExecution().toString() and "NestedLoop" not in out._jdf.queryExecution().toString()
+
+
+def test_hot_keys_are_spread_without_changing_the_result(spark):
+    base = spark.range(60).select((F.col("id") % 5).alias("k"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id as int))").alias("t0"))
+    ev = spark.range(900).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 7).cast("int").alias("k"), "id",
+                                 F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id / 10 as int))").alias("et"))
+    for hi in (None, 1800):
+        for how in ("inner", "left"):
+            plain = J.window_join(base, ev, "k", "t0", "et", 0, hi, how=how)
+            spread = J.window_join(base, ev, "k", "t0", "et", 0, hi, how=how, hot_rows=200)
+            assert sorted(map(str, plain.select("k", "t0", "id").collect())) == sorted(map(str, spread.select("k", "t0", "id").collect()))
+    small = base.groupBy("k").agg(F.min("t0").alias("m"))
+    for how in ("inner", "left"):
+        a, b = J.spread_join(ev, small, ["k"], how), J.spread_join(ev, small, ["k"], how, hot_rows=200)
+        assert sorted(map(str, a.select("k", "id", "m").collect())) == sorted(map(str, b.select("k", "id", "m").collect()))
