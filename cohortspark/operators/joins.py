@@ -255,6 +255,8 @@ _BLOCKS = (12, 8, 6)
 _LEADS = (8, 6, 4, 3, 2, 1)
 #: grams matched inside the row at most
 _MAX_SET = 10_000
+#: short patterns searched directly at most
+_FEW = 64
 
 
 def contains_join(a, b, id_a, col_a, col_b):
@@ -262,20 +264,27 @@ def contains_join(a, b, id_a, col_a, col_b):
 
     A pattern of 2n - 1 or more characters covers a whole aligned block of n characters wherever it occurs, so such
     texts are only cut into aligned blocks and the pattern lists the blocks it can cover; short patterns are looked up
-    by their leading characters at every position. Up to ``_MAX_SET`` grams are matched inside the row; more are
-    matched by an equi join on the gram with the row id only. The whole pattern is then checked on the whole text.
+    by their leading characters at every position, or searched directly while they are few. Up to ``_MAX_SET`` grams
+    are matched inside the row; more are matched by an equi join on the gram with the row id only. The whole pattern
+    is then checked on the whole text.
     """
     pats = b.select(F.lower(F.col(col_b)).alias("_p")).filter(F.col("_p").isNotNull()).distinct()
     size = F.length("_p")
     block = classify([(size >= 2 * n - 1, n) for n in _BLOCKS], 0)
     lead = classify([(size >= n, n) for n in _LEADS], 0)
     pats = pats.withColumns({"_aligned": (block > 0).cast("int"), "_n": F.when(block > 0, block).otherwise(lead)})
+    n_short = pats.filter("_aligned = 0").count()
+    texts = a.select(F.col(id_a).alias("_id"), F.lower(F.col(col_a)).alias("_t"))
+    short_hits = None
+    if 0 < n_short <= _FEW:  # a handful of short patterns is searched directly in each text
+        few = texts.withColumn("_few", pats.filter("_aligned = 0").agg(F.collect_list("_p").alias("s")).scalar())
+        short_hits = few.filter(F.exists("_few", lambda p: F.contains(F.col("_t"), p))).select(F.col("_id").alias(id_a))
+        pats = pats.filter("_aligned = 1")
     offsets = F.sequence(F.lit(1), F.when(F.col("_aligned") == 1, F.col("_n")).otherwise(1))
     pats = pats.withColumn("_g", F.explode(F.array_distinct(F.transform(offsets, lambda i: F.col("_p").substr(i, F.col("_n"))))))
     kinds = pats.groupBy("_aligned", "_n").agg(F.count_distinct("_g").alias("n")).collect()  # one row per gram length
     if any(k["_n"] == 0 for k in kinds):
         return a.filter(F.col(col_a).isNotNull())
-    texts = a.select(F.col(id_a).alias("_id"), F.lower(F.col(col_a)).alias("_t"))
     found = None
     for k in kinds:
         n = k["_n"]
@@ -288,9 +297,13 @@ def contains_join(a, b, id_a, col_a, col_b):
             cut = F.array_distinct(cut)
         part = texts.select("_id", F.explode(cut).alias("_g")).join(mine.select("_g", "_p"), "_g").select("_id", "_p")
         found = part if found is None else found.unionByName(part)
-    if found is None:
+    if found is None and short_hits is None:
         return a.limit(0)
-    hits = found.distinct().join(texts, "_id").filter(F.contains("_t", "_p")).select(F.col("_id").alias(id_a)).distinct()
+    hits = short_hits
+    if found is not None:
+        hits = found.distinct().join(texts, "_id").filter(F.contains("_t", "_p")).select(F.col("_id").alias(id_a))
+        hits = hits if short_hits is None else hits.unionByName(short_hits)
+    hits = hits.distinct()
     return a.join(hits, id_a, "left_semi")
 
 

@@ -243,6 +243,9 @@ q("m05_filter_covariates", lambda t: t("lineitem").groupBy("l_returnflag").agg(*
 
 q("m06_logit", lambda t: M.fit_logit(_modelled(t), XS, "y")[0])
 q("m06_logit_by_cohort", lambda t: M.fit_logit(_modelled(t), XS, "y", by="c_mktsegment")[0])
+q("m06_logit_closed_form", lambda t: M.fit_logit(_modelled(t), ["a"], "y")[0].select("term", "coef", "auc"), f"""
+WITH {_MODELLED}, c AS (SELECT sum(CASE WHEN a = 1 THEN y END) AS p1, sum(CASE WHEN a = 1 THEN 1 - y END) AS q1, sum(CASE WHEN a = 0 THEN y END) AS p0, sum(CASE WHEN a = 0 THEN 1 - y END) AS q0 FROM md)
+SELECT 'a' AS term, ln(p1 / q1) - ln(p0 / q0) AS coef, (p1 * q0 + 0.5 * (p1 * q1 + p0 * q0)) / ((p1 + p0) * (q1 + q0)) AS auc FROM c""", "coef auc", 3)
 q("m07_logit_inference", lambda t: M.logit_inference(_modelled(t).withColumn("bal", F.col("c_acctbal") / 1000), ["bal", "n_orders", "a"], "y"))
 # a logit on one 0/1 feature has a closed form: group log-odds, so the fit can be checked by counting
 q("m07_logit_closed_form", lambda t: M.logit_inference(_modelled(t), ["a"], "y", robust=False).select("term", "coef", "se"), f"""

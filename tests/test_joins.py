@@ -27,6 +27,8 @@ def test_contains_join_both_ways(spark, monkeypatch):
     b = spark.createDataFrame([(p,) for p in pats], "p string")
     want = sorted(i for i, t in enumerate(texts) if any(p.lower() in t.lower() for p in pats))
     assert sorted(r.id for r in J.contains_join(a, b, "id", "t", "p").collect()) == want
+    monkeypatch.setattr(J, "_FEW", 0)
+    assert sorted(r.id for r in J.contains_join(a, b, "id", "t", "p").collect()) == want
     monkeypatch.setattr(J, "_MAX_SET", 0)
     assert sorted(r.id for r in J.contains_join(a, b, "id", "t", "p").collect()) == want
 
