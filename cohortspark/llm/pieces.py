@@ -174,14 +174,11 @@ class PieceModel:
     @lru_cache(maxsize=4096)
     def _run_ids(self, n):
         """A run of n space marks: all pieces score alike, so the leftmost pair merges first, again and again."""
-        parts = [1] * n
-        i = 0
-        while i + 1 < len(parts):
-            if parts[i] + parts[i + 1] in self.runs:
-                parts[i:i + 2] = [parts[i] + parts[i + 1]]
-                i = max(i - 1, 0)
-            else:
-                i += 1
+        parts = []
+        for _ in range(n):
+            parts.append(1)
+            while len(parts) > 1 and parts[-2] + parts[-1] in self.runs:
+                parts[-2:] = [parts[-2] + parts[-1]]
         return tuple(self.id_of[SPACE * k] for k in parts)
 
     def words(self, text):

@@ -20,3 +20,32 @@ def op5_piece_encoding(spark, folder):
     from cohortspark.llm.pieces import encode_decode
 
     return encode_decode(read(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op8_quality_rules(spark, folder):
+    from cohortspark.llm.quality import quality_verdicts
+
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    return quality_verdicts(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
+@query
+def op1_line_dedup(spark, folder):
+    from cohortspark.llm.linedup import drop_common_lines
+
+    return drop_common_lines(read(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+ORACLES["op1_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keys AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), common AS (
+  SELECT k, max(doc_id) AS last_id FROM keys WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (common.k IS NOT NULL AND doc_id <> last_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (common.k IS NULL OR doc_id = last_id), '')) AS kept_sha256
+FROM keys LEFT JOIN common USING (k) GROUP BY doc_id"""
