@@ -49,3 +49,13 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (common.k IS NOT NULL AND doc_id <> last_id) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (common.k IS NULL OR doc_id = last_id), '')) AS kept_sha256
 FROM keys LEFT JOIN common USING (k) GROUP BY doc_id"""
+
+
+@query
+def op6_decontamination(spark, folder):
+    from pyspark.sql import functions as F
+
+    from cohortspark.llm.winnow import contamination
+
+    found = contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
