@@ -59,3 +59,10 @@ def op6_decontamination(spark, folder):
 
     found = contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op10_jaccard_join(spark, folder):
+    from cohortspark.llm.jaccard import near_classes
+
+    return near_classes(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
