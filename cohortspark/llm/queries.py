@@ -66,3 +66,17 @@ def op10_jaccard_join(spark, folder):
     from cohortspark.llm.jaccard import near_classes
 
     return near_classes(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def pipeline(spark, folder):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+@query
+def op3_substring_dedup(spark, folder):
+    from cohortspark.llm.substrings import drop_repeats
+
+    return drop_repeats(read(spark, folder, "documents").select("doc_id", "text")).drop("text")
