@@ -80,3 +80,10 @@ def op3_substring_dedup(spark, folder):
     from cohortspark.llm.substrings import drop_repeats
 
     return drop_repeats(read(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op9_suffix_dedup(spark, folder):
+    from cohortspark.llm.suffixes import drop_repeated_bytes
+
+    return drop_repeated_bytes(read(spark, folder, "documents").select("doc_id", "text")).drop("text")
