@@ -87,3 +87,10 @@ def op9_suffix_dedup(spark, folder):
     from cohortspark.llm.suffixes import drop_repeated_bytes
 
     return drop_repeated_bytes(read(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op4_warc(spark, folder):
+    from cohortspark.llm.warc import archive_pages
+
+    return archive_pages(read(spark, folder, "pages"))[0].drop("record_id", "path")
