@@ -94,3 +94,11 @@ def op4_warc(spark, folder):
     from cohortspark.llm.warc import archive_pages
 
     return archive_pages(read(spark, folder, "pages"))[0].drop("record_id", "path")
+
+
+@query
+def op7_toxicity(spark, folder):
+    from cohortspark.llm.toxicity import score, train
+
+    docs = read(spark, folder, "documents")
+    return score(docs, train(docs, read(spark, folder, "labels")))
