@@ -102,3 +102,10 @@ def op7_toxicity(spark, folder):
 
     docs = read(spark, folder, "documents")
     return score(docs, train(docs, read(spark, folder, "labels")))
+
+
+@query
+def op2_html_extraction(spark, folder):
+    from cohortspark.llm.template import main_text
+
+    return main_text(read(spark, folder, "pages"))
