@@ -26,7 +26,7 @@ from cohortspark.llm.tokens import word_table
 BUCKETS = 2**18
 FACTORS = 4
 SAMPLE = 20_000
-EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.02, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 10, 128, 0.02, 1e-4
 #: Log odds: strength of the smoothing, documents a bucket needs, and the margin taken off towards 0.
 SMOOTH, LEAST, MARGIN = 10.0, 3, 1.0
 
@@ -108,7 +108,7 @@ def fit(sample, values, share):
     for label, buckets in sample:
         x = values[label][buckets]
         rows.append((label, buckets[x != 0].astype(np.int64), x[x != 0]))
-    model = [np.array([np.log(share / (1 - share))]), np.ones(BUCKETS), rng.normal(0, 0.01, (BUCKETS, FACTORS))]
+    model = [np.array([np.log(share / (1 - share))]), np.ones(BUCKETS), rng.normal(0, 0.1, (BUCKETS, FACTORS))]
     first, second = [np.zeros_like(p) for p in model], [np.zeros_like(p) for p in model]
     step = 0
     for _ in range(EPOCHS):
