@@ -9,8 +9,9 @@ of the other segments that share an anchor with a different segment, or overlap
   prefix polynomial hashes (logarithmic in the length); all comparisons of a merge level run at once in numpy.
 * Neighbours that share 100 bytes by hash are compared byte by byte (collision verification) and form classes.
 
-Each task sorts its own block of suffixes; the classes of all blocks then meet, one row per block and class, by the
-128-bit hash of their 100 bytes, so a string that a third of all documents hold is a row per block. The earliest
+Equal strings share their anchor, so segments are dealt by anchor and a class of one block is final. An anchor with more
+than ``CROWD`` open segments is dealt over several blocks; its classes meet again by the 128-bit hash of their 100
+bytes, one row per block and class, so a string that a third of all documents hold is a row per block. The earliest
 holder of a class keeps it, all others lose it.
 
 Defined cases: null and empty texts have no bytes; a missing doc_id is smaller than any other; rows that repeat a
@@ -32,8 +33,9 @@ from cohortspark.llm.tokens import Prefix, byte_values, slide
 
 WIDTH, GRAM = 100, 32
 LOWEST = -(2**63)
-#: Suffixes sorted together at most (segments are not cut; one segment has 4096 windows at most).
-BLOCK = 200_000
+#: Suffixes sorted together (a block ends with the anchor in which it reaches them), and open segments of an anchor in
+#: one block (a segment has 4096 windows at most).
+BLOCK, CROWD = 200_000, 1000
 
 
 # -- the sort --------------------------------------------------------------------------------------------------------
@@ -178,20 +180,32 @@ def suffix_classes(stretches):
     """Classes of equal windows of each block: w1, w2, least (rank key of the earliest), members (packed rank keys)."""
 
     def blocks(batches):
-        held, n = [], 0
+        held, n, last = [], 0, None
         for batch in batches:
-            for cut in range(0, batch.num_rows, 1000):
-                part = batch.slice(cut, 1000)
-                held.append(part)
-                n += int((part.column("last").to_numpy(zero_copy_only=False) - part.column("first").to_numpy(zero_copy_only=False) + 1).sum())
-                if n >= BLOCK:
+            group = np.column_stack([batch.column("anchor").to_numpy(), batch.column("salt").to_numpy()])
+            sizes = batch.column("last").to_numpy() - batch.column("first").to_numpy() + 1
+            new = np.ones(len(group), bool)
+            new[1:] = (group[1:] != group[:-1]).any(axis=1)
+            new[0] = last is not None and tuple(group[0]) != last
+            last = tuple(group[-1])
+            start = 0
+            for cut in np.r_[np.flatnonzero(new), len(group)].tolist():
+                if cut < len(group) and n + int(sizes[start:cut].sum()) < BLOCK:
+                    continue
+                held.append(batch.slice(start, cut - start))
+                n += int(sizes[start:cut].sum())
+                start = cut
+                if cut < len(group):
                     yield pa.Table.from_batches(held).combine_chunks()
                     held, n = [], 0
-        if held:
+        if held and sum(h.num_rows for h in held):
             yield pa.Table.from_batches(held).combine_chunks()
 
     def run(batches):
         for table in blocks(batches):
+            if not table.num_rows:
+                continue
+            crowded = table.column("salts").to_numpy() > 1
             doc = table.column("doc").to_numpy()
             key = table.column(TEXT_KEY).to_numpy()
             first, last = table.column("first").to_numpy(), table.column("last").to_numpy()
@@ -207,20 +221,23 @@ def suffix_classes(stretches):
             doc_, key_, at_ = doc[owner[where]], key[owner[where]], (first[owner] + shift)[where]
             heads = np.flatnonzero(~same)
             ends = np.r_[heads[1:], len(order)]
+            split = crowded[owner[where[heads]]]
             rank = np.empty(len(order), np.int64)
             by = np.lexsort((at_, key_, doc_))
             rank[by] = np.arange(len(by))
             least = by[np.minimum.reduceat(rank, heads)]
+            told = (ends - heads > 1) | split  # strings of one place are done, but where other blocks may have them
+            heads, ends, least, split = heads[told], ends[told], least[told], split[told]
             w1 = Prefix(byte_values(21)[data]).of(order[heads], order[heads] + WIDTH)
             w2 = Prefix(byte_values(22)[data]).of(order[heads], order[heads] + WIDTH)
             packed = np.column_stack([doc_, key_, at_]).astype("<i8")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(doc_[least]), pa.array(key_[least]), pa.array(at_[least]),
-                 pa.array([packed[a:b].tobytes() for a, b in zip(heads.tolist(), ends.tolist())], pa.binary())],
-                names=["w1", "w2", "doc", TEXT_KEY, "at", "members"])
+                 pa.array([packed[a:b].tobytes() for a, b in zip(heads.tolist(), ends.tolist())], pa.binary()), pa.array(split)],
+                names=["w1", "w2", "doc", TEXT_KEY, "at", "members", "split"])
 
-    dealt = stretches.repartition("anchor", "salt")
-    return dealt.mapInArrow(run, f"w1 long, w2 long, doc long, {TEXT_KEY} long, at long, members binary")
+    dealt = stretches.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+    return dealt.mapInArrow(run, f"w1 long, w2 long, doc long, {TEXT_KEY} long, at long, members binary, split boolean")
 
 
 def repeated_spans(docs):
@@ -236,14 +253,16 @@ def repeated_spans(docs):
     named = first_of.join(shared, "anchor", "left").select("s1", "s2", "holder", "anchor", (F.coalesce("shared", F.lit(False)) | F.col("loops")).alias("open"))
     named = stored(named, "segments-named")
     whole = segments.join(named.select("s1", "s2", "holder"), ["s1", "s2"]).where(place > F.col("holder")).select("doc_id", TEXT_KEY, "first", "last")
-    open_ = stored(named.where("open").select("s1", "s2", "holder", "anchor"), "open-segments")
+    crowds = named.where("open").groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("salts"))
+    open_ = stored(named.where("open").join(crowds, "anchor").select("s1", "s2", "holder", "anchor", "salts"), "open-segments")
     anchors = open_.select("anchor").distinct()
     wanted = bitmap(anchors, "anchor", anchors.count())
-    texts = segment_rows(rows, known, wanted).join(open_.select("s1", "s2", "holder"), ["s1", "s2"]).where(place == F.col("holder"))
-    stretches = texts.select(doc.alias("doc"), TEXT_KEY, "first", "last", "anchor", "bytes", F.pmod(F.xxhash64("s1"), F.lit(16)).alias("salt")).dropDuplicates(["doc", TEXT_KEY, "first", "last"])
+    texts = segment_rows(rows, known, wanted).join(open_.select("s1", "s2", "holder", "salts"), ["s1", "s2"]).where(place == F.col("holder"))
+    stretches = texts.select(doc.alias("doc"), TEXT_KEY, "first", "last", "anchor", "bytes", "salts", F.pmod(F.xxhash64("s1"), "salts").cast("int").alias("salt")).dropDuplicates(["doc", TEXT_KEY, "first", "last"])
     classes = stored(suffix_classes(stretches), "suffix-classes")
-    earliest = classes.groupBy("w1", "w2").agg(F.min(F.struct("doc", TEXT_KEY, "at")).alias("least"), F.count(F.lit(1)).alias("blocks"))
-    joined = classes.join(earliest, ["w1", "w2"]).where((F.length("members") > 24) | (F.col("blocks") > 1)).select("members", F.col("least.doc").alias("d"), F.col(f"least.{TEXT_KEY}").alias("k"), F.col("least.at").alias("p"))
+    met = classes.where("split").groupBy("w1", "w2").agg(F.min(F.struct("doc", TEXT_KEY, "at")).alias("least"), F.count(F.lit(1)).alias("blocks"))
+    split = classes.where("split").join(met, ["w1", "w2"]).where((F.length("members") > 24) | (F.col("blocks") > 1)).select("members", F.col("least.doc").alias("d"), F.col(f"least.{TEXT_KEY}").alias("k"), F.col("least.at").alias("p"))
+    joined = classes.where(~F.col("split")).select("members", F.col("doc").alias("d"), F.col(TEXT_KEY).alias("k"), F.col("at").alias("p")).unionByName(split)
 
     def later(batch):
         blobs = batch.column("members").to_pylist()
