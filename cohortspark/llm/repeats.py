@@ -38,7 +38,7 @@ class Rows:
     def smallest(self, k):
         """The smallest k-gram of the window at each place: its anchor."""
         if k not in self.low:
-            self.low = {k: slide(self.grams(k), self.width - k + 1, np.minimum) if len(self.values) >= self.width else np.zeros(0, np.uint64)}
+            self.low[k] = slide(self.grams(k), self.width - k + 1, np.minimum) if len(self.values) >= self.width else np.zeros(0, np.uint64)
         return self.low[k]
 
     def candidates(self, levels):

@@ -1,8 +1,8 @@
 """Suffix-array dedup: hash-compared suffix sort of the texts' repeated parts.
 
-A 100-byte string can only repeat if the smallest 32-gram in it does. One map-side combined count finds these anchors; a
-bitmap of limited size takes them back to the scan, where consecutive windows with repeated anchors form segments. A
-segment whose whole text stands earlier (smaller doc_id, or the same document earlier) is decided at once. The suffixes
+A 100-byte string can only repeat if the smallest 32-gram in it does, and then only if its smallest 64-gram does. Two
+map-side combined counts find these anchors; a bitmap of limited size takes each back to the scan, where consecutive
+windows with repeated anchors form segments. A segment whose whole text stands earlier (smaller doc_id, or the same document earlier) is decided at once. The suffixes
 of the other segments that share an anchor with a different segment, or overlap themselves, are sorted:
 
 * ``sort_suffixes`` is a mergesort whose comparisons find the common extension of two suffixes by binary search over
@@ -32,6 +32,7 @@ from cohortspark.llm.repeats import Rows, merge_spans
 from cohortspark.llm.tokens import Prefix, byte_values, slide
 
 WIDTH, GRAM = 100, 32
+LEVELS = (GRAM, 64)
 LOWEST = -(2**63)
 #: Suffixes sorted together (a block ends with the anchor in which it reaches them), and open segments of an anchor in
 #: one block (a segment has 4096 windows at most).
@@ -120,35 +121,40 @@ def _rows(part):
     return Rows(byte_values(5)[data], off, WIDTH), data
 
 
-def _places(seq, ok):
-    """Places of the smallest grams of the windows in ``ok``, each once, with all ties."""
-    g = seq.grams(GRAM)
+def _places(seq, ok, k):
+    """Places of the smallest k-grams of the windows in ``ok``, each once, with all ties."""
+    g = seq.grams(k)
     if not ok.any():
         return g, np.zeros(0, np.int64)
-    low = np.where(ok, seq.smallest(GRAM), np.uint64(0))
-    pad = np.zeros(WIDTH - GRAM, np.uint64)
-    return g, np.flatnonzero(slide(np.r_[pad, low, pad], WIDTH - GRAM + 1, np.maximum) == g)
+    low = np.where(ok, seq.smallest(k), np.uint64(0))
+    pad = np.zeros(WIDTH - k, np.uint64)
+    return g, np.flatnonzero(slide(np.r_[pad, low, pad], WIDTH - k + 1, np.maximum) == g)
 
 
-def repeated_anchors(rows):
+def _tests(sent):
+    return [(k, lambda h, held=held, bits=bits: in_bitmap((held.value, bits), h)) for k, held, bits in sent]
+
+
+def repeated_anchors(rows, sent, k):
+    """(hash) of the smallest k-grams of candidate windows that stand in two places or more."""
+
     def run(batch):
+        tests = _tests(sent)
         for part in row_chunks(batch, 500_000):
             seq, _ = _rows(part)
-            g, places = _places(seq, seq.candidates([]))
+            g, places = _places(seq, seq.candidates(tests), k)
             yield {"hash": g[places].view(np.int64)}
 
     return arrow_map(rows, run, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
 
 
-def segment_rows(rows, known, wanted=None):
+def segment_rows(rows, sent, wanted=None):
     """doc_id, text key, first, last, s1, s2, anchor, loops (the segment overlaps itself); with ``wanted`` (a bitmap of
     anchors) only those segments, with the bytes they cover."""
-    context = rows.sparkSession.sparkContext
-    held, bits = context.broadcast(known[0]), known[1]
-    pick = wanted and (context.broadcast(wanted[0]), wanted[1])
+    pick = wanted and (rows.sparkSession.sparkContext.broadcast(wanted[0]), wanted[1])
 
     def run(batch):
-        tests = [(GRAM, lambda h: in_bitmap((held.value, bits), h))]
+        tests = _tests(sent)
         for part in row_chunks(batch, 500_000):
             seq, data = _rows(part)
             ok = seq.candidates(tests)
@@ -159,7 +165,7 @@ def segment_rows(rows, known, wanted=None):
             if not len(first):
                 continue
             s1, s2 = seq.names(first, last)
-            g, places = _places(seq, ok)
+            g, places = _places(seq, ok, GRAM)
             a, b = np.searchsorted(places, first), np.searchsorted(places, last + WIDTH - GRAM, side="right")
             size = b - a
             owner = np.repeat(np.arange(len(first)), size)
@@ -243,10 +249,13 @@ def suffix_classes(stretches):
 def repeated_spans(docs):
     """(doc_id, text key, spans): per document the byte spans [first, end) that also stand earlier."""
     rows = keyed(docs)
-    again = stored(repeated_anchors(rows), "repeated-anchors")
-    known = bitmap(again, "hash", again.count())
+    context, sent = docs.sparkSession.sparkContext, []
+    for k in LEVELS:
+        again = stored(repeated_anchors(rows, sent, k), f"repeated-{k}")
+        held, bits = bitmap(again, "hash", again.count())
+        sent.append((k, context.broadcast(held), bits))
     doc = F.coalesce("doc_id", F.lit(LOWEST))
-    segments = stored(segment_rows(rows, known), "byte-segments")
+    segments = stored(segment_rows(rows, sent), "byte-segments")
     place = F.struct(doc.alias("doc"), TEXT_KEY, "first")
     first_of = stored(segments.groupBy("s1", "s2").agg(F.min(place).alias("holder"), F.min("anchor").alias("anchor"), F.max("loops").alias("loops")), "segment-holders")
     shared = first_of.groupBy("anchor").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x != y").select("anchor", F.lit(True).alias("shared"))
@@ -257,7 +266,7 @@ def repeated_spans(docs):
     open_ = stored(named.where("open").join(crowds, "anchor").select("s1", "s2", "holder", "anchor", "salts"), "open-segments")
     anchors = open_.select("anchor").distinct()
     wanted = bitmap(anchors, "anchor", anchors.count())
-    texts = segment_rows(rows, known, wanted).join(open_.select("s1", "s2", "holder", "salts"), ["s1", "s2"]).where(place == F.col("holder"))
+    texts = segment_rows(rows, sent, wanted).join(open_.select("s1", "s2", "holder", "salts"), ["s1", "s2"]).where(place == F.col("holder"))
     stretches = texts.select(doc.alias("doc"), TEXT_KEY, "first", "last", "anchor", "bytes", "salts", F.pmod(F.xxhash64("s1"), "salts").cast("int").alias("salt")).dropDuplicates(["doc", TEXT_KEY, "first", "last"])
     classes = stored(suffix_classes(stretches), "suffix-classes")
     met = classes.where("split").groupBy("w1", "w2").agg(F.min(F.struct("doc", TEXT_KEY, "at")).alias("least"), F.count(F.lit(1)).alias("blocks"))
