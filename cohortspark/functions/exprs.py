@@ -218,9 +218,14 @@ def hash_bucket(c, n):
     return F.pmod(F.xxhash64(col(c)), F.lit(n)).cast("int")
 
 
+def md5_bucket64(c):
+    """The first 32 bits of md5 as a number."""
+    return F.conv(F.substring(F.md5(col(c).cast("string")), 1, 8), 16, 10).cast("bigint")
+
+
 def md5_bucket(c, n):
     """Bucket 0..n-1 from the first 8 hex digits of md5: reproducible in other engines."""
-    return (F.conv(F.substring(F.md5(col(c).cast("string")), 1, 8), 16, 10).cast("bigint") % n).cast("int")
+    return (md5_bucket64(c) % n).cast("int")
 
 
 def bin_edges(c, edges, labels=None):

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from cohortspark.functions.exprs import prob1, safe_div
 from cohortspark.functions.tails import norm_sf2
 from cohortspark.operators.aggs import percentiles
-from cohortspark.operators.ordered import value_ranks
-from cohortspark.operators.windows import hash_order, ntile_bucket, sample_fraction
+from cohortspark.operators.ordered import OrderedScan, key_sum, row_number, value_ranks
+from cohortspark.operators.windows import hash_order, in_fraction, ntile_bucket, sample_fraction
 
 
 #: separate models one call may fit
@@ -26,8 +26,9 @@ MAX_COHORTS = 200
 
 
 def assemble(df, xs, out="features"):
+    """Feature vectors. A NULL feature is an error, never a dropped row: impute first (``prep.impute``)."""
     doubles = df.withColumns({x: F.col(x).cast("double") for x in xs})
-    return VectorAssembler(inputCols=list(xs), outputCol=out, handleInvalid="skip").transform(doubles)
+    return VectorAssembler(inputCols=list(xs), outputCol=out, handleInvalid="error").transform(doubles)
 
 
 # ---------------------------------------------------------------- logistic regression
@@ -46,7 +47,7 @@ def fit_logit(df, xs, y, by=None, reg=0.0, max_iter=50):
         for cohort in cohorts:
             part = data if by is None else data.filter(F.col(by) == cohort)
             model = Pipeline(stages=[
-                VectorAssembler(inputCols=names, outputCol="_raw", handleInvalid="skip"),
+                VectorAssembler(inputCols=names, outputCol="_raw", handleInvalid="error"),
                 StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
                 LogisticRegression(labelCol=y, regParam=reg, maxIter=max_iter),
             ]).fit(part)
@@ -204,11 +205,10 @@ def fit_gbt(df, xs, y, task="classification", **options):
 def split(df, key, frac=0.8, seed=0, strata=None):
     """Train/test split repeatable by key hash; with ``strata`` the share is exact within each stratum."""
     if strata is None:
-        train = sample_fraction(df, key, frac, seed)
-        return train, df.join(train.select(key), key, "left_anti")
-    coded = ntile_bucket(df.withColumn("_ho", hash_order(key, seed)), ["_ho", key], 100, by=[strata], name="_cut").drop("_ho")
-    cut = int(round(frac * 100))
-    return coded.filter(F.col("_cut") <= cut).drop("_cut"), coded.filter(F.col("_cut") > cut).drop("_cut")
+        return sample_fraction(df, key, frac, seed), df.filter(~in_fraction(key, frac, seed))
+    scan = OrderedScan(df.withColumn("_ho", hash_order(key, seed)), [strata], ["_ho", key]).add(_rn=row_number(), _all=key_sum(F.lit(1)))
+    coded = scan.derive(_in=F.col("_rn") <= F.round(F.col("_all") * F.lit(float(frac)))).result().drop("_ho", "_rn", "_all")
+    return coded.filter("_in").drop("_in"), coded.filter("NOT _in").drop("_in")
 
 
 def evaluate(pred, score_col, label, cutoff=0.5, hot_rows=None):

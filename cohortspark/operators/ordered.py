@@ -302,13 +302,14 @@ class OrderedScan:
         return self.df.drop("_h", "_cell") if self.split else self.df
 
 
-def value_ranks(df, value, by=(), weight=None, hot_rows=None):
+def value_ranks(df, value, by=(), weight=None, hot_rows=None, nulls=False):
     """Per distinct value: rows (or summed weight), rows before it, rows up to it, rows in total.
 
-    Ties are pre-aggregated on the map side, so what is ordered is the table of distinct values.
+    Ties are pre-aggregated on the map side, so what is ordered is the table of distinct values. With ``nulls`` NULL is
+    a value of its own, before all others.
     """
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("_n"))
+    counts = (df if nulls else df.filter(F.col(value).isNotNull())).groupBy(*by, value).agg(n.alias("_n"))
     scan = OrderedScan(counts, list(by), [value], hot_rows=hot_rows)
     return scan.add(_upto=running_sum("_n"), _total=key_sum("_n")).result().withColumn(
         "_before", F.col("_upto") - F.col("_n"))

@@ -100,15 +100,33 @@ def lookback_features(snapshots, events, unit, snap, ts, windows, metrics):
     return snapshots.join(inside.groupBy(unit, snap).agg(*aggs), [unit, snap], "left")
 
 
-def stage_recency(base, events, unit, t0, ts, stages):
-    """Days since and number of each stage's events before t0."""
-    prior = base.join(events.withColumnRenamed(ts, "_ts"), unit).filter(F.col("_ts") < F.col(t0))
-    aggs = []
-    for n, c in stages.items():
-        aggs += [F.datediff(F.to_date(F.first(t0)), F.to_date(F.max(F.when(c, F.col("_ts"))))).alias(f"days_since_{n}"),
-                 F.count(F.when(c, 1)).alias(f"n_{n}")]
-    out = base.join(prior.groupBy(unit).agg(*aggs), unit, "left")
-    return out.withColumns({f"n_{n}": F.coalesce(F.col(f"n_{n}"), F.lit(0)) for n in stages})
+def stage_recency(base, events, unit, t0, ts, stages, whole_days=False):
+    """Per exposure (unit, t0): days since and number of each stage's events before t0.
+
+    With ``whole_days`` only events up to the day before t0 count, events are folded to days before they meet the
+    exposures, and each stage also gets ``has_``, ``first_day_``, ``last_day_`` and ``n_days_``.
+    """
+    exposures = base.select(unit, t0).distinct()
+    if not whole_days:
+        prior = exposures.join(events.withColumnRenamed(ts, "_ts"), unit).filter(F.col("_ts") < F.col(t0))
+        aggs = []
+        for n, c in stages.items():
+            aggs += [F.datediff(F.to_date(t0), F.to_date(F.max(F.when(c, F.col("_ts"))))).alias(f"days_since_{n}"),
+                     F.count(F.when(c, 1)).alias(f"n_{n}")]
+        found, counts = prior.groupBy(unit, t0).agg(*aggs), [f"n_{n}" for n in stages]
+    else:
+        days = events.groupBy(unit, F.to_date(ts).alias("_day")).agg(*[F.count(F.when(c, 1)).alias(f"_n_{n}") for n, c in stages.items()])
+        prior = exposures.join(days, unit).filter(F.col("_day") < F.to_date(t0))
+        aggs = []
+        for n in stages:
+            day = F.when(F.col(f"_n_{n}") > 0, F.col("_day"))
+            aggs += [F.datediff(F.to_date(t0), F.max(day)).alias(f"days_since_{n}"), F.sum(f"_n_{n}").alias(f"n_{n}"), F.count(day).alias(f"n_days_{n}"),
+                     F.min(day).alias(f"first_day_{n}"), F.max(day).alias(f"last_day_{n}")]
+        found, counts = prior.groupBy(unit, t0).agg(*aggs), [f"{p}_{n}" for n in stages for p in ("n", "n_days")]
+    renamed = found.withColumnsRenamed({unit: "_u", t0: "_t"})
+    out = base.join(renamed, base[unit].eqNullSafe(renamed["_u"]) & base[t0].eqNullSafe(renamed["_t"]), "left").drop("_u", "_t")
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts})
+    return out.withColumns({f"has_{n}": (F.col(f"n_{n}") > 0).cast("int") for n in stages}) if whole_days else out
 
 
 def message_sequence(messages, unit, campaign, message_id, sent, hot_rows=None):

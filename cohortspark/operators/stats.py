@@ -105,34 +105,42 @@ def mann_whitney(df, arm, treatment, control, metric, hot_rows=None):
 
 
 def ols(df, y, xs):
-    """Least squares with intercept from X'X and X'y (one aggregate); returns (DataFrame of terms, dict of fit).
+    """Least squares with intercept; returns (DataFrame of terms, dict of fit).
 
-    Only (p+1)^2 sums reach the driver.
+    Two aggregates: means and deviations first, then the sums of products of standardised columns, so covariates far
+    from zero (times in microseconds) lose no precision. Only (p+1)^2 sums reach the driver.
     """
     import numpy as np
 
     names = ["intercept"] + list(xs)
-    cols = [F.lit(1.0)] + [F.col(x).cast("double") for x in xs]
-    p, yy = len(cols), F.col(y).cast("double")
+    yy = F.col(y).cast("double")
     data = df.filter(yy.isNotNull())
     for x in xs:
         data = data.filter(F.col(x).isNotNull())
-    aggs = [F.sum(cols[i] * cols[j]).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)]
-    aggs += [F.sum(cols[i] * yy).alias(f"b{i}") for i in range(p)] + [F.sum(yy * yy).alias("yy")]
-    row = data.agg(*aggs).first()
-    xtx = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            xtx[i, j] = xtx[j, i] = row[f"a{i}_{j}"] or 0.0
-    xty = np.array([row[f"b{i}"] or 0.0 for i in range(p)])
-    n = xtx[0, 0]
-    inv = np.linalg.pinv(xtx)
-    beta = inv @ xty
-    sse = max(0.0, float((row["yy"] or 0.0) - beta @ xty))
-    sst = float((row["yy"] or 0.0) - xty[0] ** 2 / n) if n else 0.0
-    dof = n - p
+    m = len(xs)
+    raw = [F.col(x).cast("double") for x in xs] + [yy]
+    row = data.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(raw) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    n = float(row["n"])
+    mean = np.array([row[f"m{i}"] or 0.0 for i in range(m + 1)])
+    scale = np.array([row[f"s{i}"] or 0.0 for i in range(m + 1)])
+    scale[scale == 0] = 1.0
+    z = [(c - F.lit(float(mean[i]))) / F.lit(float(scale[i])) for i, c in enumerate(raw)]
+    row = data.agg(*[F.sum(z[i] * z[j]).alias(f"a{i}_{j}") for i in range(m + 1) for j in range(i, m + 1)]).first()
+    zz = np.zeros((m + 1, m + 1))
+    for i in range(m + 1):
+        for j in range(i, m + 1):
+            zz[i, j] = zz[j, i] = row[f"a{i}_{j}"] or 0.0
+    inv = np.linalg.pinv(zz[:m, :m])
+    gamma = inv @ zz[:m, m]
+    slopes = gamma * scale[m] / scale[:m]
+    beta = np.r_[mean[m] - slopes @ mean[:m], slopes]
+    sst = float(zz[m, m]) * scale[m] ** 2
+    sse = max(0.0, float(zz[m, m] - gamma @ zz[:m, m])) * scale[m] ** 2
+    dof = n - m - 1
     sigma2 = sse / dof if dof > 0 else float("nan")
-    se = np.sqrt(np.maximum(np.diag(inv) * sigma2, 0.0))
+    shape = inv / np.outer(scale[:m], scale[:m])
+    se = np.sqrt(np.maximum(np.r_[1 / n + mean[:m] @ shape @ mean[:m] if n else 0.0, np.diag(shape)] * sigma2, 0.0))
+    p = m + 1
     terms = [(names[i], float(beta[i]), float(se[i]), float(beta[i] / se[i]) if se[i] > 0 else None, float(dof)) for i in range(p)]
     out = df.sparkSession.createDataFrame(terms, "term string, coef double, se double, t double, dof double")
     out = out.withColumns({"p_value": t_sf2("t", "dof"), "ci_low": F.col("coef") - Z95 * F.col("se"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
-from cohortspark.functions.exprs import md5_bucket
+from cohortspark.functions.exprs import md5_bucket64
 from cohortspark.operators.joins import spread_join
 from cohortspark.operators.ordered import (
     OrderedScan, bfill, ffill, key_sum, lag, row_number, running_sum, sort_columns, value_ranks,
@@ -62,12 +62,20 @@ def ntile_bucket(df, order, n, by=(), name="bucket", hot_rows=None):
 
 
 def pct_rank(df, value, by=(), percent="percent_rank", cume="cume_dist", hot_rows=None):
-    """PERCENT_RANK and CUME_DIST, ranked on distinct values and joined back."""
-    table = value_ranks(df, value, by, hot_rows=hot_rows)
-    table = table.select(*by, value,
+    """PERCENT_RANK and CUME_DIST, ranked on distinct values and joined back. NULLs rank first, as one value."""
+    keys = list(by) + [value]
+    table = value_ranks(df, value, by, hot_rows=hot_rows, nulls=True)
+    table = table.select(*keys,
                          F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - 1)).otherwise(0.0).alias(percent),
                          (F.col("_upto") / F.col("_total")).alias(cume))
-    return spread_join(df, table, list(by) + [value], hot_rows=hot_rows).select(*df.columns, percent, cume)
+    # an equi join drops NULL keys: join on whether the key is NULL and on its text instead
+    parts = [f"_p{i}" for i in range(2 * len(keys))]
+
+    def coded(frame):
+        pairs = [c for k in keys for c in (F.col(k).isNull(), F.coalesce(F.col(k).cast("string"), F.lit("")))]
+        return frame.withColumns(dict(zip(parts, pairs)))
+
+    return spread_join(coded(df), coded(table).drop(*keys), parts, hot_rows=hot_rows).select(*df.columns, percent, cume)
 
 
 def lag_lead(df, keys, order, value, default=None, hot_rows=None):
@@ -131,9 +139,15 @@ def sample_per_group(df, group, n, key, seed=0):
     return top_n_per(keyed, group, ["_ho", key], n).drop("_ho")
 
 
-def sample_fraction(df, key, fraction, seed=0, steps=10000):
-    """About ``fraction`` of the keys, the same ones on every run."""
-    return df.filter(md5_bucket(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))), steps) < int(fraction * steps))
+def in_fraction(key, fraction, seed=0):
+    """Whether a key belongs to the sampled ``fraction``: its first 32 md5 bits are below that share of 2**32."""
+    bits = 2**32
+    return md5_bucket64(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed)))) < int(round(fraction * bits))
+
+
+def sample_fraction(df, key, fraction, seed=0):
+    """About ``fraction`` of the keys (to 1 in 2**32), the same ones on every run."""
+    return df.filter(in_fraction(key, fraction, seed))
 
 
 def limit_dimension(df, dim, n, weight=None):

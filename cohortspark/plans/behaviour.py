@@ -245,6 +245,14 @@ WITH x AS (SELECT user_id, max(ts) AS t0 FROM events GROUP BY 1)
 SELECT x.user_id, x.t0, date_diff('day', CAST(max(CASE WHEN event_type = 'view' THEN ts END) AS DATE), CAST(t0 AS DATE)) AS days_since_view, count(CASE WHEN event_type = 'view' THEN 1 END) AS n_view,
   date_diff('day', CAST(max(CASE WHEN event_type = 'purchase' THEN ts END) AS DATE), CAST(t0 AS DATE)) AS days_since_purchase, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS n_purchase
 FROM x LEFT JOIN events e ON e.user_id = x.user_id AND e.ts < t0 GROUP BY 1, 2""")
+q("e29_stage_recency_exposures", lambda t: P.stage_recency(t("orders").join(t("events").select(F.col("user_id").alias("o_custkey")).distinct(), "o_custkey").select(F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 20).alias("k")).distinct().select("user_id", F.expr("TIMESTAMP_NTZ '2024-01-02' + make_dt_interval(CAST(k AS INT))").alias("t0")), t("events"), "user_id", "t0", "ts", {"view": is_type("view"), "purchase": is_type("purchase")}, whole_days=True), """
+WITH x AS (SELECT DISTINCT o_custkey AS user_id, TIMESTAMP '2024-01-02' + to_days(CAST(o_orderkey % 20 AS INTEGER)) AS t0 FROM orders WHERE o_custkey IN (SELECT user_id FROM events)),
+e AS (SELECT user_id, CAST(ts AS DATE) AS d, event_type FROM events)
+SELECT x.user_id, x.t0, date_diff('day', max(d) FILTER (event_type = 'view'), CAST(t0 AS DATE)) AS days_since_view, count(*) FILTER (event_type = 'view') AS n_view, count(DISTINCT d) FILTER (event_type = 'view') AS n_days_view,
+  min(d) FILTER (event_type = 'view') AS first_day_view, max(d) FILTER (event_type = 'view') AS last_day_view, CAST(count(*) FILTER (event_type = 'view') > 0 AS INTEGER) AS has_view,
+  date_diff('day', max(d) FILTER (event_type = 'purchase'), CAST(t0 AS DATE)) AS days_since_purchase, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(DISTINCT d) FILTER (event_type = 'purchase') AS n_days_purchase,
+  min(d) FILTER (event_type = 'purchase') AS first_day_purchase, max(d) FILTER (event_type = 'purchase') AS last_day_purchase, CAST(count(*) FILTER (event_type = 'purchase') > 0 AS INTEGER) AS has_purchase
+FROM x LEFT JOIN e ON e.user_id = x.user_id AND e.d < CAST(t0 AS DATE) GROUP BY 1, 2""")
 
 
 def _messages(t):

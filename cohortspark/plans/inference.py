@@ -263,9 +263,16 @@ q("m11_gbt_importance", lambda t: M.fit_gbt(_modelled(t), XS + ["a"], "y", max_i
 q("m11_gbt_regression", lambda t: M.fit_gbt(_modelled(t), ["c_acctbal", "n_orders"], "spend", task="regression", max_iter=5, max_depth=3)[0])
 q("m11_random_forest", lambda t: M.fit_gbt(_modelled(t), XS, "y", kind="forest", max_iter=5, max_depth=3)[0])
 q("m12_split", lambda t: M.split(t("customer").select("c_custkey"), "c_custkey", 0.8, 3)[0],
-  "SELECT c_custkey FROM customer WHERE CAST('0x' || substring(md5(c_custkey || '|3'), 1, 8) AS BIGINT) % 10000 < 8000")
+  "SELECT c_custkey FROM customer WHERE CAST('0x' || substring(md5(c_custkey || '|3'), 1, 8) AS BIGINT) < 3435973837")
 q("m12_split_stratified", lambda t: M.split(t("customer").select("c_custkey", "c_mktsegment"), "c_custkey", 0.75, 3, "c_mktsegment")[1].groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")),
-  "SELECT c_mktsegment, count(*) AS n FROM (SELECT c_mktsegment, ntile(100) OVER (PARTITION BY c_mktsegment ORDER BY md5(c_custkey || '|3'), c_custkey) AS k FROM customer) WHERE k > 75 GROUP BY 1")
+  "SELECT c_mktsegment, count(*) AS n FROM (SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(c_custkey || '|3'), c_custkey) AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) WHERE k > round(0.75 * n) GROUP BY 1")
+q("m12_split_fine", lambda t: M.split(t("orders").select("o_orderkey"), "o_orderkey", 0.995, 3)[1],
+  "SELECT o_orderkey FROM orders WHERE CAST('0x' || substring(md5(o_orderkey || '|3'), 1, 8) AS BIGINT) >= 4273492460")
+q("x18_ols_large_covariate", lambda t: ST.ols(t("events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), (F.lit(5.0) + F.col("event_id") % 7 + F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("y")), "y", ["micros"])[0].select("term", "coef", "se"), """
+WITH x AS (SELECT epoch_us(ts) / 3.6e9 AS h, 5.0 + event_id % 7 + epoch_us(ts) / 3.6e9 AS y FROM events), m AS (SELECT avg(h) AS mh, avg(y) AS my, count(*) AS n FROM x),
+s AS (SELECT sum((h - mh) * (h - mh)) AS hh, sum((h - mh) * (y - my)) AS hy, sum((y - my) * (y - my)) AS yy, any_value(mh) AS mh, any_value(my) AS my, any_value(n) AS n FROM x, m)
+SELECT 'intercept' AS term, my - hy / hh * mh AS coef, sqrt((yy - hy * hy / hh) / (n - 2) * (1.0 / n + mh * mh / hh)) AS se FROM s
+UNION ALL SELECT 'micros', hy / hh / 3.6e9, sqrt((yy - hy * hy / hh) / (n - 2) / hh) / 3.6e9 FROM s""", floats="coef se")
 
 
 def _scored(t):

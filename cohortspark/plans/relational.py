@@ -243,6 +243,9 @@ q("w03_ntile", lambda t: W.ntile_bucket(W.ntile_bucket(t("orders").select("o_ord
 SELECT o_orderkey, o_orderpriority, o_totalprice, CAST(ntile(10) OVER (ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS decile,
        CAST(ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS quartile FROM orders""")
 
+q("w04_percent_rank_nulls", lambda t: W.pct_rank(t("orders").select("o_orderkey", F.expr("CASE WHEN o_totalprice > 100000 THEN o_orderpriority END").alias("p")), "p").select("o_orderkey", "percent_rank", "cume_dist"),
+  """SELECT o_orderkey, percent_rank() OVER (ORDER BY p NULLS FIRST) AS percent_rank, cume_dist() OVER (ORDER BY p NULLS FIRST) AS cume_dist
+FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN o_orderpriority END AS p FROM orders)""", floats="percent_rank cume_dist")
 q("w04_percent_rank", lambda t: W.pct_rank(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity").withColumn("top30", (F.col("percent_rank") >= 0.7).cast("int")),
   "SELECT l_orderkey, l_linenumber, l_quantity, percent_rank() OVER (ORDER BY l_quantity) AS percent_rank, cume_dist() OVER (ORDER BY l_quantity) AS cume_dist, CASE WHEN percent_rank() OVER (ORDER BY l_quantity) >= 0.7 THEN 1 ELSE 0 END AS top30 FROM lineitem",
   "percent_rank cume_dist")

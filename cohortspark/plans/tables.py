@@ -98,13 +98,13 @@ FROM events GROUP BY 1""", "total", 4)
 
 
 def _update(t):
-    late = t("orders").filter("o_orderdate >= '2001-01-01'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("last_price"))
-    return io.update_from(t("customer").select("c_custkey", "c_mktsegment"), late, ["c_custkey"], ["last_price"], F.col("new_last_price") > 100000)
+    late = t("orders").filter("o_orderdate >= '2001-01-01'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("last_price"), "o_orderdate", "o_orderkey")
+    return io.update_from(t("customer").select("c_custkey", "c_mktsegment"), late, ["c_custkey"], ["last_price"], F.col("new_last_price") > 100000, ["o_orderdate", "o_orderkey"])
 
 
 q("s09_update_from", _update, """
 SELECT c_custkey, c_mktsegment, CASE WHEN p > 100000 THEN p END AS last_price
-FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS p FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1) u ON c_custkey = o_custkey""")
+FROM customer LEFT JOIN (SELECT o_custkey, o_totalprice AS p FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) u ON c_custkey = o_custkey""")
 
 q("s10_preview", lambda t: io.preview(t("orders").select("o_orderkey", "o_totalprice"), 10, ["o_orderkey"]),
   "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10")

@@ -80,8 +80,13 @@ def infer_ddl(df, name):
 
 
 def scratch_path(spark, label):
-    """New path under the cluster's shared ``spark.checkpoint.dir``; a local folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cohortspark-")
+    """New path under the cluster's shared ``spark.checkpoint.dir``. Only a local session may leave that unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="cohortspark-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -127,14 +132,20 @@ def upsert_partition(df, path, part_col):
     return spark.read.parquet(path)
 
 
-def update_from(target, updates, keys, cols, condition=None):
-    """UPDATE ... FROM: set ``cols`` on rows with a match in ``updates`` (one update per key, latest by value order).
+def update_from(target, updates, keys, cols, condition=None, order=None):
+    """UPDATE ... FROM: set ``cols`` on rows with a match in ``updates``.
 
+    ``order`` names the columns that tell updates of one key apart: the last one wins (end it with a unique column).
+    Without it a key may have several updates only if they set the same values; else the query fails.
     ``condition`` is an optional boolean over target columns and the new values named ``new_<col>``.
     """
-    new = updates.select(*keys, *[F.col(c).alias(f"new_{c}") for c in cols])
-    value = F.struct(*[F.col(f"new_{c}") for c in cols])
-    new = new.groupBy(*keys).agg(F.max(value).alias("_new"))
+    value = F.struct(*[F.col(c).alias(f"new_{c}") for c in cols])
+    if order:
+        latest = F.max_by(value, F.struct(*[F.col(c) for c in order]))
+    else:
+        clash = F.min(value) != F.max(value)
+        latest = F.when(clash, F.raise_error(F.lit("several updates for one key: name an order"))).otherwise(F.max(value))
+    new = updates.groupBy(*keys).agg(latest.alias("_new"))
     joined = target.join(new, list(keys), "left")
     joined = joined.select("*", *[F.col(f"_new.new_{c}").alias(f"new_{c}") for c in cols])
     hit = F.col("_new").isNotNull()

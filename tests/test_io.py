@@ -38,8 +38,24 @@ def test_upsert_partition_is_idempotent(spark, tmp_path):
 def test_update_from(spark):
     target = spark.createDataFrame([(1, 5), (2, 6)], "k long, v long")
     up = spark.createDataFrame([(1, 7), (1, 8), (3, 9)], "k long, v long")
-    assert sorted(map(tuple, io.update_from(target, up, ["k"], ["v"]).collect())) == [(1, 8), (2, 6)]
-    assert sorted(map(tuple, io.update_from(target, up, ["k"], ["v"], F.col("new_v") < 8).collect())) == [(1, 5), (2, 6)]
+    up = up.withColumn("at", -F.col("v"))
+    assert sorted(map(tuple, io.update_from(target, up, ["k"], ["v"], order=["at"]).collect())) == [(1, 7), (2, 6)]
+    assert sorted(map(tuple, io.update_from(target, up, ["k"], ["v"], F.col("new_v") < 7, ["at"]).collect())) == [(1, 5), (2, 6)]
+    with pytest.raises(Exception, match="several updates"):
+        io.update_from(target, up, ["k"], ["v"]).collect()
+    assert sorted(map(tuple, io.update_from(target, up.select("k", F.lit(4).cast("long").alias("v")), ["k"], ["v"]).collect())) == [(1, 4), (2, 6)]
+
+
+def test_scratch_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        io.scratch_path(Session, "x")
 
 
 def test_write_modes(spark, tmp_path):
