@@ -1,5 +1,6 @@
 """Helpers the operators of this subpackage share: row keys, Arrow plumbing, scratch tables."""
 
+import gc
 import tempfile
 import uuid
 
@@ -21,10 +22,17 @@ def shared_path(spark, label):
 
 
 def stored(df, label):
-    """Write the frame to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    path = shared_path(df.sparkSession, label)
+    """Write the frame to the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    Spark drops the shuffle files of finished steps when the driver collects its garbage; asking for that here keeps a
+    job of many steps from holding all of them until its end."""
+    spark, schema = df.sparkSession, df.schema
+    path = shared_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def keyed(docs, id_col="doc_id", text_col="text"):
