@@ -1,8 +1,8 @@
 """Suffix-array dedup: hash-compared suffix sort of the texts' repeated parts.
 
-A 100-byte string can only repeat if the smallest 32-gram in it does, and then only if its smallest 64-gram does. Two
-map-side combined counts find these anchors; a bitmap of limited size takes each back to the scan, where consecutive
-windows with repeated anchors form segments. A segment whose whole text stands earlier (smaller doc_id, or the same document earlier) is decided at once. The suffixes
+A 100-byte string can only repeat if the smallest 32-gram in it does. A map-side combined count finds these anchors; a
+bitmap of limited size takes them back to the scan, where consecutive windows with repeated anchors form segments. A
+segment whose whole text stands earlier (smaller doc_id, or the same document earlier) is decided at once. The suffixes
 of the other segments that share an anchor with a different segment, or overlap themselves, are sorted:
 
 * ``sort_suffixes`` is a mergesort whose comparisons find the common extension of two suffixes by binary search over
@@ -32,7 +32,7 @@ from cohortspark.llm.repeats import Rows, merge_spans
 from cohortspark.llm.tokens import Prefix, byte_values, slide
 
 WIDTH, GRAM = 100, 32
-LEVELS = (GRAM, 64)
+LEVELS = (GRAM,)
 LOWEST = -(2**63)
 #: Suffixes sorted together (a block ends with the anchor in which it reaches them), and open segments of an anchor in
 #: one block (a segment has 4096 windows at most).
@@ -149,7 +149,7 @@ def repeated_anchors(rows, sent, k):
 
 
 def segment_rows(rows, sent, wanted=None):
-    """doc_id, text key, first, last, s1, s2, anchor, loops (the segment overlaps itself); with ``wanted`` (a bitmap of
+    """doc_id, text key, first, last, anchor and name (two hashes of 64 bits that tell its text), loops (it overlaps itself); with ``wanted`` (a bitmap of
     anchors) only those segments, with the bytes they cover."""
     pick = wanted and (rows.sparkSession.sparkContext.broadcast(wanted[0]), wanted[1])
 
@@ -164,7 +164,7 @@ def segment_rows(rows, sent, wanted=None):
                 first, last, anchor = first[mine], last[mine], anchor[mine]
             if not len(first):
                 continue
-            s1, s2 = seq.names(first, last)
+            name = seq.names(first, last)[0]
             g, places = _places(seq, ok, GRAM)
             a, b = np.searchsorted(places, first), np.searchsorted(places, last + WIDTH - GRAM, side="right")
             size = b - a
@@ -173,13 +173,13 @@ def segment_rows(rows, sent, wanted=None):
             loops = np.bincount(owner, weights=g[inside] == anchor[owner], minlength=len(first)) > 1
             row = seq.row[first]
             take, base = pa.array(row), seq.off[row]
-            out = {"doc_id": part.column("doc_id").take(take), TEXT_KEY: part.column(TEXT_KEY).take(take), "first": first - base, "last": last - base, "s1": s1, "s2": s2, "anchor": anchor.view(np.int64), "loops": loops}
+            out = {"doc_id": part.column("doc_id").take(take), TEXT_KEY: part.column(TEXT_KEY).take(take), "first": first - base, "last": last - base, "name": name, "anchor": anchor.view(np.int64), "loops": loops}
             if pick is not None:
                 raw = data.tobytes()
                 out["bytes"] = [raw[x:y] for x, y in zip(first.tolist(), (last + WIDTH).tolist())]
             yield out
 
-    return arrow_map(rows, run, f"doc_id long, {TEXT_KEY} long, first long, last long, s1 long, s2 long, anchor long, loops boolean" + (", bytes binary" if wanted else ""))
+    return arrow_map(rows, run, f"doc_id long, {TEXT_KEY} long, first long, last long, name long, anchor long, loops boolean" + (", bytes binary" if wanted else ""))
 
 
 def suffix_classes(stretches):
@@ -257,17 +257,17 @@ def repeated_spans(docs):
     doc = F.coalesce("doc_id", F.lit(LOWEST))
     segments = stored(segment_rows(rows, sent), "byte-segments")
     place = F.struct(doc.alias("doc"), TEXT_KEY, "first")
-    first_of = stored(segments.groupBy("s1", "s2").agg(F.min(place).alias("holder"), F.min("anchor").alias("anchor"), F.max("loops").alias("loops")), "segment-holders")
-    shared = first_of.groupBy("anchor").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x != y").select("anchor", F.lit(True).alias("shared"))
-    named = first_of.join(shared, "anchor", "left").select("s1", "s2", "holder", "anchor", (F.coalesce("shared", F.lit(False)) | F.col("loops")).alias("open"))
+    first_of = segments.groupBy("anchor", "name").agg(F.min(place).alias("holder"), F.max("loops").alias("loops"))
+    shared = first_of.groupBy("anchor").agg(F.min("name").alias("x"), F.max("name").alias("y")).where("x != y").select("anchor", F.lit(True).alias("shared"))
+    named = first_of.join(shared, "anchor", "left").select("anchor", "name", "holder", (F.coalesce("shared", F.lit(False)) | F.col("loops")).alias("open"))
     named = stored(named, "segments-named")
-    whole = segments.join(named.select("s1", "s2", "holder"), ["s1", "s2"]).where(place > F.col("holder")).select("doc_id", TEXT_KEY, "first", "last")
+    whole = segments.join(named.select("anchor", "name", "holder"), ["anchor", "name"]).where(place > F.col("holder")).select("doc_id", TEXT_KEY, "first", "last")
     crowds = named.where("open").groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("salts"))
-    open_ = stored(named.where("open").join(crowds, "anchor").select("s1", "s2", "holder", "anchor", "salts"), "open-segments")
+    open_ = stored(named.where("open").join(crowds, "anchor").select("anchor", "name", "holder", "salts"), "open-segments")
     anchors = open_.select("anchor").distinct()
     wanted = bitmap(anchors, "anchor", anchors.count())
-    texts = segment_rows(rows, sent, wanted).join(open_.select("s1", "s2", "holder", "salts"), ["s1", "s2"]).where(place == F.col("holder"))
-    stretches = texts.select(doc.alias("doc"), TEXT_KEY, "first", "last", "anchor", "bytes", "salts", F.pmod(F.xxhash64("s1"), "salts").cast("int").alias("salt")).dropDuplicates(["doc", TEXT_KEY, "first", "last"])
+    texts = segment_rows(rows, sent, wanted).join(open_, ["anchor", "name"]).where(place == F.col("holder"))
+    stretches = texts.select(doc.alias("doc"), TEXT_KEY, "first", "last", "anchor", "bytes", "salts", F.pmod(F.xxhash64("name"), "salts").cast("int").alias("salt")).dropDuplicates(["doc", TEXT_KEY, "first", "last"])
     classes = stored(suffix_classes(stretches), "suffix-classes")
     met = classes.where("split").groupBy("w1", "w2").agg(F.min(F.struct("doc", TEXT_KEY, "at")).alias("least"), F.count(F.lit(1)).alias("blocks"))
     split = classes.where("split").join(met, ["w1", "w2"]).where((F.length("members") > 24) | (F.col("blocks") > 1)).select("members", F.col("least.doc").alias("d"), F.col(f"least.{TEXT_KEY}").alias("k"), F.col("least.at").alias("p"))
