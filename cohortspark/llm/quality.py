@@ -101,11 +101,10 @@ def calibrate(measured, labels, risk=RISK, delta=DELTA, rules=RULES, stratum="st
                                    F.count_if(F.col("_tune") & (F.col("_good") == 0) & above).alias("n_hits"),
                                    F.count_if(F.col("_tune") & (F.col("_good") == 1) & above).alias("n_lost")))
     grid = rows.groupBy("stratum").agg(F.array(*counts).alias("_c"))
-    n_strata = F.count(F.lit(1))
-    level = grid.agg(n_strata.alias("_strata"))
-    cells = grid.select("stratum", F.inline("_c"))
+    cells = stored(grid.select("stratum", F.inline("_c")), "quality-grid")
+    n_strata = max(1, cells.select("stratum").distinct().count())
     share = risk / len(rules)
-    tested = cells.join(F.broadcast(level)).withColumn("log_level", F.log(F.lit(delta) / (F.col("_strata") * len(rules))))
+    tested = cells.withColumn("log_level", F.log(F.lit(delta / (n_strata * len(rules)))))
     k, n = F.col("n_rejected"), F.col("n_good")
     log_bound = F.when((n > 0) & (k < n * share), log_binomial_cdf(F.when(k < n * share, k).otherwise(0), F.greatest(n, F.lit(1)), share)).otherwise(0.0)
     judged = tested.withColumn("bound", log_bound).withColumn("passed", F.col("bound") <= F.col("log_level"))
