@@ -56,7 +56,7 @@ def training_rows(docs, labels):
 
     rows = keyed(docs).where("doc_id IS NOT NULL").where(~is_held_out(F.col("doc_id"))).select("doc_id", "text")
     found = arrow_map(rows, run, "doc_id long, buckets binary")
-    return found.join(known, found["doc_id"] == known["_id"]).select("doc_id", "toxic", "buckets")
+    return found.join(known.hint("merge"), found["doc_id"] == known["_id"]).select("doc_id", "toxic", "buckets")
 
 
 def bucket_counts(rows):
@@ -141,7 +141,12 @@ def train(docs, labels, sample=SAMPLE):
         return {"constant": share}
     counts, share = bucket_counts(rows), n1 / (n0 + n1)
     values = {label: odds(counts, n0, n1, own=label) for label in (0, 1)}
-    chosen = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic", "buckets").orderBy("h", "doc_id").limit(sample).select("toxic", "buckets")
+    # one task orders the sample: counts by the hash's upper 16 bits tell which rows can be in it
+    hashed = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("cell", F.shiftright("h", 48))
+    cells = sorted((r["cell"], r["count"]) for r in hashed.groupBy("cell").count().collect())
+    full = np.searchsorted(np.cumsum([c for _, c in cells]), sample)
+    last = cells[min(int(full), len(cells) - 1)][0]
+    chosen = hashed.where(F.col("cell") <= last).orderBy("h", "doc_id").limit(sample).select("toxic", "buckets")
 
     def run(batches):
         got = []
