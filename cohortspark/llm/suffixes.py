@@ -10,8 +10,9 @@ of the other segments that share an anchor with a different segment, or overlap
 * Neighbours that share 100 bytes by hash are compared byte by byte (collision verification) and form classes.
 
 Equal strings share their anchor, so segments are dealt by anchor and a class of one block is final. An anchor with more
-than ``CROWD`` open segments is dealt over several blocks; its classes meet again by the 128-bit hash of their 100
-bytes, one row per block and class, so a string that a third of all documents hold is a row per block. The earliest
+than ``CROWD`` open windows is dealt over several blocks; its classes meet again by the 128-bit hash of their 100
+bytes, one row per block and class, so a string that a third of all documents hold is a row per block. Of their strings
+with one place in a block only those travel whose hash a count finds in several blocks (a bitmap tells). The earliest
 holder of a class keeps it, all others lose it.
 
 Defined cases: null and empty texts have no bytes; a missing doc_id is smaller than any other; rows that repeat a
@@ -34,9 +35,9 @@ from cohortspark.llm.tokens import Prefix, byte_values, slide
 WIDTH, GRAM = 100, 32
 LEVELS = (GRAM,)
 LOWEST = -(2**63)
-#: Suffixes sorted together (a block ends with the anchor in which it reaches them), and open segments of an anchor in
-#: one block (a segment has 4096 windows at most).
-BLOCK, CROWD = 200_000, 1000
+PLACE = ("doc", TEXT_KEY, "at")
+#: Suffixes sorted together (a block ends with the anchor in which it reaches them), and those of one anchor in a block.
+BLOCK, CROWD = 150_000, 120_000
 
 
 # -- the sort --------------------------------------------------------------------------------------------------------
@@ -183,7 +184,8 @@ def segment_rows(rows, sent, wanted=None):
 
 
 def suffix_classes(stretches):
-    """Classes of equal windows of each block: w1, w2, least (rank key of the earliest), members (packed rank keys)."""
+    """Classes of equal windows of each block: w1, w2, least (rank key of the earliest), members (packed rank keys; null
+    where the earliest is the only one)."""
 
     def blocks(batches):
         held, n, last = [], 0, None
@@ -239,13 +241,25 @@ def suffix_classes(stretches):
             packed = np.column_stack([doc_, key_, at_]).astype("<i8")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(doc_[least]), pa.array(key_[least]), pa.array(at_[least]),
-                 pa.array([packed[a:b].tobytes() for a, b in zip(heads.tolist(), ends.tolist())], pa.binary()), pa.array(split)],
+                 pa.array([packed[a:b].tobytes() if b - a > 1 else None for a, b in zip(heads.tolist(), ends.tolist())], pa.binary()), pa.array(split)],
                 names=["w1", "w2", "doc", TEXT_KEY, "at", "members", "split"])
 
     dealt = stretches.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     return dealt.mapInArrow(run, f"w1 long, w2 long, doc long, {TEXT_KEY} long, at long, members binary, split boolean")
 
 
+def meeting_classes(split, several):
+    """Of the classes of split anchors those with several places, or whose hash ``several`` (a bitmap) holds."""
+    held, bits = split.sparkSession.sparkContext.broadcast(several[0]), several[1]
+
+    def run(batches):
+        for batch in batches:
+            told = in_bitmap((held.value, bits), batch.column("w1").to_numpy())
+            yield batch.filter(pa.array(told | batch.column("members").is_valid().to_numpy(zero_copy_only=False)))
+
+    return split.mapInArrow(run, split.schema)
+
+
 def repeated_spans(docs):
     """(doc_id, text key, spans): per document the byte spans [first, end) that also stand earlier."""
     rows = keyed(docs)
@@ -257,24 +271,28 @@ def repeated_spans(docs):
     doc = F.coalesce("doc_id", F.lit(LOWEST))
     segments = stored(segment_rows(rows, sent), "byte-segments")
     place = F.struct(doc.alias("doc"), TEXT_KEY, "first")
-    first_of = segments.groupBy("anchor", "name").agg(F.min(place).alias("holder"), F.max("loops").alias("loops"))
+    first_of = segments.groupBy("anchor", "name").agg(F.min(place).alias("holder"), F.max("loops").alias("loops"), F.max(F.expr("last - first + 1")).alias("windows"))
     shared = first_of.groupBy("anchor").agg(F.min("name").alias("x"), F.max("name").alias("y")).where("x != y").select("anchor", F.lit(True).alias("shared"))
-    named = first_of.join(shared, "anchor", "left").select("anchor", "name", "holder", (F.coalesce("shared", F.lit(False)) | F.col("loops")).alias("open"))
+    named = first_of.join(shared, "anchor", "left").select("anchor", "name", "holder", "windows", (F.coalesce("shared", F.lit(False)) | F.col("loops")).alias("open"))
     named = stored(named, "segments-named")
     whole = segments.join(named.select("anchor", "name", "holder"), ["anchor", "name"]).where(place > F.col("holder")).select("doc_id", TEXT_KEY, "first", "last")
-    crowds = named.where("open").groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("salts"))
+    crowds = named.where("open").groupBy("anchor").agg(F.ceil(F.sum("windows") / CROWD).cast("int").alias("salts"))
     open_ = stored(named.where("open").join(crowds, "anchor").select("anchor", "name", "holder", "salts"), "open-segments")
     anchors = open_.select("anchor").distinct()
     wanted = bitmap(anchors, "anchor", anchors.count())
     texts = segment_rows(rows, sent, wanted).join(open_, ["anchor", "name"]).where(place == F.col("holder"))
     stretches = texts.select(doc.alias("doc"), TEXT_KEY, "first", "last", "anchor", "bytes", "salts", F.pmod(F.xxhash64("name"), "salts").cast("int").alias("salt")).dropDuplicates(["doc", TEXT_KEY, "first", "last"])
     classes = stored(suffix_classes(stretches), "suffix-classes")
-    met = classes.where("split").groupBy("w1", "w2").agg(F.min(F.struct("doc", TEXT_KEY, "at")).alias("least"), F.count(F.lit(1)).alias("blocks"))
-    split = classes.where("split").join(met, ["w1", "w2"]).where((F.length("members") > 24) | (F.col("blocks") > 1)).select("members", F.col("least.doc").alias("d"), F.col(f"least.{TEXT_KEY}").alias("k"), F.col("least.at").alias("p"))
-    joined = classes.where(~F.col("split")).select("members", F.col("doc").alias("d"), F.col(TEXT_KEY).alias("k"), F.col("at").alias("p")).unionByName(split)
+    least = [F.col(f"least.{c}").alias(x) for c, x in zip(PLACE, "dkp")]
+    several = stored(classes.where("split").groupBy("w1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1"), "split-strings")
+    meeting = stored(meeting_classes(classes.where("split"), bitmap(several, "w1", several.count())), "split-classes")
+    met = meeting.groupBy("w1", "w2").agg(F.min(F.struct(*PLACE)).alias("least"), F.count(F.lit(1)).alias("blocks"))
+    split = meeting.join(met, ["w1", "w2"]).where(F.col("members").isNotNull() | (F.col("blocks") > 1)).select("members", *PLACE, *least)
+    joined = classes.where(~F.col("split")).select("members", *PLACE, *[F.col(c).alias(x) for c, x in zip(PLACE, "dkp")]).unionByName(split)
 
     def later(batch):
-        blobs = batch.column("members").to_pylist()
+        alone = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in PLACE]).astype("<i8")
+        blobs = [b if b is not None else one.tobytes() for b, one in zip(batch.column("members").to_pylist(), alone)]
         size = [len(b) // 24 for b in blobs]
         m = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 3)
         least = np.column_stack([np.repeat(batch.column(c).to_numpy(zero_copy_only=False), size) for c in ("d", "k", "p")])
@@ -283,12 +301,12 @@ def repeated_spans(docs):
         new = np.ones(len(gone), bool)
         new[1:] = (gone[1:, :2] != gone[:-1, :2]).any(axis=1) | (np.diff(gone[:, 2]) > 1)
         start = np.flatnonzero(new)
-        end = np.r_[start[1:], len(gone)] - 1
+        end = np.r_[start[1:], len(gone)][:len(start)] - 1
         docs_ = gone[start, 0]
         return {"doc_id": pa.array(docs_, mask=docs_ == LOWEST), TEXT_KEY: gone[start, 1], "first": gone[start, 2], "last": gone[end, 2]}
 
     spans = whole.unionByName(arrow_map(joined, later, f"doc_id long, {TEXT_KEY} long, first long, last long"))
-    return spans.groupBy("doc_id", TEXT_KEY).agg(F.collect_list(F.struct("first", F.expr(f"last + {WIDTH}").alias("end"))).alias("spans"))
+    return stored(spans.groupBy("doc_id", TEXT_KEY).agg(F.collect_list(F.struct("first", F.expr(f"last + {WIDTH}").alias("end"))).alias("spans")), "repeated-spans")
 
 
 def drop_repeated_bytes(docs):
