@@ -1,8 +1,5 @@
 """The registered queries of this subpackage, and the SQL that checks those SQL can express."""
 
-import os
-import sys
-
 QUERIES, ORACLES = {}, {}
 
 
@@ -109,3 +106,45 @@ def op2_html_extraction(spark, folder):
     from cohortspark.llm.template import main_text
 
     return main_text(read(spark, folder, "pages"))
+
+
+@query
+def op11_vector_codes(spark, folder):
+    from pyspark.sql import functions as F
+
+    from cohortspark.llm.codes import compress, digest
+
+    coded, books = compress(read(spark, folder, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest(books or [])).alias("codebooks_sha256"))
+
+
+def _codes_sql():
+    """Two rounds over parts as rows: (vec_id, part, place, component) against (part, entry, place, component)."""
+    assign = """a{r} AS (
+  SELECT vec_id, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (
+    SELECT x.vec_id, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v)) AS d
+    FROM x JOIN b{r} AS b ON x.part = b.part AND x.place = b.place GROUP BY ALL) GROUP BY ALL)"""
+    refine = """b{n} AS (
+  SELECT b.part, b.entry, b.place, coalesce(s.v, b.v) AS v FROM b{r} AS b LEFT JOIN (
+    SELECT x.part, a.entry, x.place, CAST(floor(sum(x.v) / count(*)) AS BIGINT) AS v
+    FROM x JOIN a{r} AS a ON x.vec_id = a.vec_id AND x.part = a.part GROUP BY ALL) AS s
+  ON b.part = s.part AND b.entry = s.entry AND b.place = s.place)"""
+    steps = [assign.format(r=0), refine.format(r=0, n=1), assign.format(r=1), refine.format(r=1, n=2), assign.format(r=2)]
+    return """
+WITH kept AS (
+  SELECT vec_id, label, embedding, len(embedding) // 16 AS width FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), x AS (
+  SELECT vec_id, (i - 1) // width AS part, (i - 1) % width AS place, CAST(floor(256 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS v
+  FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM kept)
+), b0 AS (
+  SELECT x.part, s.entry, x.place, x.v FROM x JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64) AS s USING (vec_id)
+), """ + ", ".join(steps) + """, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id
+), books AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books"""
+
+
+ORACLES["op11_vector_codes"] = _codes_sql()
