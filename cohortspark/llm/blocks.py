@@ -8,38 +8,39 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import shuffle_parts
+from cohortspark.llm.common import shared_path, shuffle_parts
 
 #: bytes of text one block takes in (a longer text is a block of its own)
 BLOCK_BYTES = 4_000_000
 
 
-def pack(values):
-    """Zstandard frame of an array, byte planes apart; integers as differences (ascending runs become small numbers)."""
+def pack(values, ascending=True):
+    """Zstandard frame of an array of integers, byte planes apart; ascending runs as differences, which are small."""
     values = np.ascontiguousarray(values)
     kind = values.dtype.str
-    if values.dtype.kind in "iu" and len(values):
+    if ascending and len(values):
         with np.errstate(over="ignore"):
             values = np.concatenate([values[:1], values[1:] - values[:-1]])
     planes = values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T
-    return kind.encode().ljust(4) + zstandard.ZstdCompressor(level=1).compress(len(values).to_bytes(8, "little") + planes.tobytes())
+    return (kind + "+-"[not ascending]).encode().ljust(4) + zstandard.ZstdCompressor(level=1).compress(len(values).to_bytes(8, "little") + planes.tobytes())
 
 
 def unpack(data):
-    kind = np.dtype(bytes(data[:4]).decode().strip())
+    name = bytes(data[:4]).decode().strip()
+    kind = np.dtype(name[:-1])
     raw = zstandard.ZstdDecompressor().decompress(bytes(data[4:]))
     n = int.from_bytes(raw[:8], "little")
     planes = np.frombuffer(raw, np.uint8, offset=8).reshape(kind.itemsize, n)
     values = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-    if kind.kind in "iu" and n:
+    if name[-1] == "+" and n:
         with np.errstate(over="ignore"):
             values = np.cumsum(values, dtype=kind)
     return values
 
 
-def pack_many(*arrays):
+def pack_many(*arrays, ascending=True):
     """Several arrays in one value."""
-    parts = [pack(a) for a in arrays]
+    parts = [pack(a, ascending) for a in arrays]
     return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
 
@@ -115,3 +116,17 @@ def map_groups(df, keys, order, fn, schema, parts=None):
 def text_bytes(docs, text_col="text"):
     """Bytes of all texts, by one aggregate."""
     return docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("b")).first()["b"] or 0
+
+
+def kinds_stored(df, label, kind="kind"):
+    """Write a frame with a text column ``kind`` to the shared folder, one folder for each kind; returns a function that
+    reads the rows of one kind."""
+    import gc
+
+    spark, schema = df.sparkSession, df.schema
+    path = shared_path(spark, label)
+    df.write.partitionBy(kind).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return lambda value: spark.read.schema(schema).parquet(path).filter(F.col(kind) == value).drop(kind)

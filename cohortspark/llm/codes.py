@@ -69,7 +69,7 @@ def _blocks(vectors, vec_col, dim, scale, kept):
                     known, code = np.unique(values[:, j], return_inverse=True)
                     dictionaries.append([str(v) for v in known.tolist()])
                     codes.append(code.astype(np.uint16))
-                yield {"dictionaries": [dictionaries], "codes": [pack_many(*codes)],
+                yield {"dictionaries": [dictionaries], "codes": [pack_many(*codes, ascending=False)],
                        **{f"c{i}": [batch.column(batch.schema.names.index(n)).to_pylist()] for i, n in enumerate(names)}}
 
     fields = [T.StructField("dictionaries", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("codes", T.BinaryType())]

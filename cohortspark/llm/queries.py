@@ -148,3 +148,10 @@ FROM coded JOIN kept USING (vec_id), books"""
 
 
 ORACLES["op11_vector_codes"] = _codes_sql()
+
+
+@query
+def op12_token_alignment(spark, folder):
+    from cohortspark.llm.align import align
+
+    return align(read(spark, folder, "documents").select("doc_id", "text"))
