@@ -155,3 +155,14 @@ def op12_token_alignment(spark, folder):
     from cohortspark.llm.align import align
 
     return align(read(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_lm_scoring(spark, folder):
+    from pyspark.sql import functions as F
+
+    from cohortspark.llm.lm import score, train
+
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
+    docs = read(spark, folder, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    return score(docs, train(docs.filter(~F.col("held_out"))))
