@@ -6,10 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from cohortspark.functions.exprs import boundary_diff, classify, micros
-from cohortspark.operators.ordered import OrderedScan, bfill, ffill, hot_hashes, key_hash, running_max
-
-#: parts a hot join key is spread over
-SALTS = 32
+from cohortspark.operators.ordered import HOT_ROWS, OrderedScan, bfill, ffill, hot_keys, null_safe_join, running_max
 
 
 def _list(keys):
@@ -55,24 +52,27 @@ def spine_cross(entities, start, end, name="day", step="INTERVAL 1 DAY"):
 
 
 def _salted(big, small, keys, hot_rows=None):
-    """Both sides with a ``_salt`` column: rows of big's hot keys are spread by a hash of the row, and small repeats its
-    rows of just those keys once per part. Without hot keys the sides come back as they are."""
-    hot = hot_hashes(big, keys, hot_rows)
-    if not hot:
+    """Both sides with a ``_salt`` column: rows of big's hot keys are spread by a hash of the row over as many parts as
+    their number asks for, and small repeats its rows of just those keys once per part. Without hot keys the sides come
+    back as they are."""
+    table = hot_keys(big, keys, hot_rows)
+    if table is None:
         return big, small, list(keys)
-    small = small.withColumns({k: F.col(k).cast(big.schema[k].dataType) for k in keys})  # equal types hash alike
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    parts = table.select(*keys, F.ceil(F.lit(2) * F.col("_rows") / F.lit(max(1, limit))).cast("int").alias("_parts"))
     plain = [f.name for f in big.schema.fields if not isinstance(f.dataType, T.MapType)]
-    part = F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")
-    is_hot = key_hash(keys).isin(hot)
-    big = big.withColumn("_salt", F.when(is_hot, part).otherwise(F.lit(0)))
-    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return big, small.withColumn("_salt", F.explode(parts)), list(keys) + ["_salt"]
+    salt = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*plain), F.col("_parts")).cast("int"))
+    big = null_safe_join(big, parts, keys).withColumn("_salt", salt).drop("_parts")
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    small = null_safe_join(small, parts, keys).withColumn("_salt", F.explode(salts)).drop("_parts")
+    return big, small, list(keys) + ["_salt"]
 
 
-def spread_join(big, small, keys, how="left", hot_rows=None):
-    """Equi join of a large side to a side with few rows per key; hot keys of the large side meet in many tasks."""
+def spread_join(big, small, keys, how="left", hot_rows=None, null_safe=False):
+    """Equi join of a large side to a side with few rows per key; hot keys of the large side meet in many tasks.
+    ``null_safe``: NULL keys meet NULL keys."""
     b, s, on = _salted(big, small, _list(keys), hot_rows)
-    return b.join(s, on, how).drop("_salt")
+    return (null_safe_join(b, s, on, how) if null_safe else b.join(s, on, how)).drop("_salt")
 
 
 # ---------------------------------------------------------------- time joins

@@ -1,23 +1,21 @@
 """Window scans that survive hot keys and whole-table orders.
 
-``OrderedScan`` gives the usual window results (lag, fill, running totals, row number) per key. Keys of ordinary size
-use a plain Spark window. A key with too many rows for one task, or no key at all, is cut into cells by ranges of the
-order columns: rows are windowed inside (key, cell), and what must cross a cell border is carried by a table with one
-row per (hot key, cell), which is small by construction and therefore safe to broadcast. No row is dropped or sampled.
+``OrderedScan`` gives the usual window results (lag, fill, running totals, row number) per key. A key whose rows fit one
+task uses a plain Spark window. Keys with more rows, any number of them, and orders over a whole table are dealt by
+ranges of (key, all order columns) with ``repartitionByRange``; the range a row is in is its cell. Rows are windowed
+inside (key, cell), and what must cross a cell border comes from a carry table with one row per (key, cell), joined on
+both. No border is searched, nothing is capped, and no row is dropped or sampled.
 """
 
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Window, functions as F, types as T
+from pyspark.sql import Window, functions as F
+
+from cohortspark.operators.lineage import durable
 
 #: rows one task may hold in a single window partition
 HOT_ROWS = 4_000_000
-#: hot keys tracked at most; a key beyond these has under 1/2000 of the rows
-MAX_HOT = 256
-MAX_CELLS = 8192
-#: parts a single order value is cut into by the tiebreak at most
-MAX_PARTS = 256
 
 
 def _name(order):
@@ -33,16 +31,33 @@ def key_hash(keys):
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def hot_hashes(df, keys, hot_rows=None):
-    """Hashes of keys with more than ``hot_rows`` rows: one sketch pass, no shuffle, at most MAX_HOT values returned."""
+def hot_keys(df, keys, hot_rows=None):
+    """Table of the keys with more than ``hot_rows`` rows: the key columns, ``_rows``, and ``_kid``, a number per key.
+
+    None if there is no such key. It has at most one row per ``hot_rows`` rows of ``df``; keys are only counted where the
+    frame has more rows than that, and counts are combined before they are shuffled."""
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    top = (
-        df.select(key_hash(keys).alias("_h"))
-        .agg(F.expr(f"approx_top_k(_h, {MAX_HOT}, 8192)").alias("top"))
-        .select(F.expr(f"transform(filter(top, t -> t.count > {int(hot_rows)}), t -> t.item)").alias("hot"))
-        .first()
-    )
-    return list(top.hot or [])
+    if df.select(F.lit(1)).count() <= hot_rows:
+        return None
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > int(hot_rows))
+    table = durable(counts.withColumn("_kid", F.monotonically_increasing_id()))
+    return None if table.isEmpty() else table
+
+
+def hot_hashes(df, keys, hot_rows=None):
+    """Hashes of the keys with more than ``hot_rows`` rows."""
+    table = hot_keys(df, keys, hot_rows)
+    return [] if table is None else [r["h"] for r in table.select(key_hash(keys).alias("h")).collect()]
+
+
+def null_safe_join(df, table, keys, how="left"):
+    """Equi join in which NULL keys meet NULL keys; the table's key columns are dropped."""
+    renamed = table.select(*[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_j_{k}"))
+        on = same if on is None else on & same
+    return df.join(renamed, on, how).drop(*[f"_j_{k}" for k in keys])
 
 
 @dataclass
@@ -98,101 +113,60 @@ def key_min(value):
 
 
 _ABOVE, _BELOW = "_cell_above", "_cell_below"
+_IDS = ["_kid", "_cell"]
 
 
 class OrderedScan:
     """Add window results to ``df`` step by step: ``scan.add(prev=lag("ts")).derive(gap=...).add(n=running_sum("gap"))``.
 
-    ``order`` must be unique within a key for repeatable results, so give a tiebreak column. ``hot`` takes the result of
-    an earlier ``hot_hashes`` on the same keys and saves the sketch pass.
+    ``order`` must be unique within a key for repeatable results, so give a tiebreak column. A key that holds more than
+    ``hot_rows`` rows is cut into cells of about half as many.
     """
 
-    def __init__(self, df, keys, order, hot_rows=None, hot=None):
+    def __init__(self, df, keys, order, hot_rows=None):
         self.keys, self.order = list(keys), list(order)
         if not self.order:
             raise ValueError("an ordered scan needs an order")
         self.hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-        self.hot = []
-        self.split = False
-        self.df = df
+        self.columns = df.columns
+        self.plain, self.cut = df, None
         if self.keys:
-            self.hot = hot_hashes(df, self.keys, self.hot_rows) if hot is None else list(hot)
-            if self.hot:
-                self._cut(df.withColumn("_h", key_hash(self.keys)).filter(F.col("_h").isin(self.hot)))
+            table = hot_keys(df, self.keys, self.hot_rows)
+            if table is not None:
+                marked = null_safe_join(df, table.drop("_rows"), self.keys)
+                self.plain = marked.filter(F.col("_kid").isNull()).drop("_kid")
+                rows = table.agg(F.sum("_rows").alias("n")).first()["n"]
+                self.cut = self._cells(marked.filter(F.col("_kid").isNotNull()), rows)
         else:
-            self._cut(df.withColumn("_h", F.lit(0).cast("bigint")))
-
-    # ------------------------------------------------------------ cells
-
-    def _code(self, name):
-        """Column whose value order agrees with the column's order and that quantiles can be taken of."""
-        kind = self.df.schema[name].dataType
-        if isinstance(kind, T.StringType):
-            hexed = F.rpad(F.hex(F.substring(F.encode(F.col(name), "utf-8"), 1, 6)), 12, "0")
-            return F.conv(hexed, 16, 10).cast("bigint")
-        if isinstance(kind, T.BooleanType):
-            return F.col(name).cast("int")
-        return F.col(name)
-
-    def _cut(self, hot_df):
-        """Cell borders from approximate quantiles of the order columns, one small row per hot key."""
-        first = _name(self.order[0])
-        second = _name(self.order[1]) if len(self.order) > 1 else None
-        counts = hot_df.groupBy("_h").count().collect()
-        biggest = max((r["count"] for r in counts), default=0)
-        if biggest <= self.hot_rows:
-            return
-        cells = min(MAX_CELLS, max(2, -(-2 * biggest // max(1, self.hot_rows))))
-        borders = hot_df.withColumn("_c1", self._code(first))
-
-        def quantiles(column, n):
-            return F.expr(f"percentile_approx({column}, array({', '.join(f'{i / n}D' for i in range(1, n))}), {10 * n})")
-
-        exprs = [quantiles("_c1", cells).alias("_b1")]
-        if second:
-            borders = borders.withColumn("_c2", self._code(second))
-            exprs.append(quantiles("_c2", min(cells, MAX_PARTS)).alias("_b2"))
-        spark = self.df.sparkSession
-        bounds = borders.groupBy("_h").agg(*exprs)
-        bounds = spark.createDataFrame(bounds.collect(), bounds.schema)  # at most MAX_HOT rows
-        self.split = True
-        text = isinstance(self.df.schema[first].dataType, T.StringType)
-        code1 = self._code(first)
-        b1 = F.array_distinct("_b1")
-        below = F.size(F.filter(b1, lambda b: b < code1))
-        at = F.lit(0) if text else F.array_contains(b1, code1).cast("int")
-        cell1 = F.coalesce(2 * below + at, F.lit(-1))
-        cell1 = F.when(code1.isNull(), -1).otherwise(cell1)
-        if self.order[0].startswith("-"):
-            cell1 = -cell1
-        cell2 = F.lit(0)
-        if second:
-            code2 = self._code(second)
-            # a value that fills several quantile steps is cut again by the tiebreak
-            repeated = F.size(F.filter("_b1", lambda b: b == code1)) > 1
-            sub = F.size(F.filter(F.array_distinct("_b2"), lambda b: b < code2)) + 1
-            sub = F.when(code2.isNull(), 0).otherwise(sub)
-            sub = -sub if self.order[1].startswith("-") else sub
-            cell2 = F.when(F.lit(not text) & F.coalesce(repeated, F.lit(False)), sub).otherwise(0)
-        cell = F.when(F.col("_b1").isNull(), F.lit(0).cast("bigint")).otherwise(
-            cell1.cast("bigint") * (4 * MAX_PARTS) + cell2
-        )
-        keyed = self.df.withColumn("_h", key_hash(self.keys) if self.keys else F.lit(0).cast("bigint"))
-        names = self.df.columns
-        self.df = keyed.join(F.broadcast(bounds), "_h", "left").select(*names, "_h", cell.alias("_cell"))
+            rows = df.select(F.lit(1)).count()
+            if rows > self.hot_rows:
+                self.plain, self.cut = None, self._cells(df.withColumn("_kid", F.lit(0).cast("bigint")), rows)
 
-    # ------------------------------------------------------------ windows
+    @property
+    def split(self):
+        return self.cut is not None
 
-    def _window(self):
-        parts = self.keys + (["_cell"] if self.split else [])
-        if not parts:  # size checked in __init__: at most hot_rows rows
-            parts = [F.lit(1)]
-        return Window.partitionBy(*parts)
+    @property
+    def df(self):
+        """The rows with the results so far; where keys were cut, with the number of each row's cell (-1: not cut)."""
+        if not self.split:
+            return self.plain
+        cut = self.cut.drop("_kid")
+        return cut if self.plain is None else self.plain.withColumn("_cell", F.lit(-1)).unionByName(cut)
+
+    def _cells(self, rows, count):
+        """Rows with their cell: the range of (key, order columns) they fall in. Written out, because every later step
+        must see the same ranges."""
+        cells = max(2, -(-2 * count // max(1, self.hot_rows)))
+        dealt = rows.repartitionByRange(cells, "_kid", *sort_columns(self.order))
+        return durable(dealt.withColumn("_cell", F.spark_partition_id()))
 
-    def _inside(self, op):
+    # ------------------------------------------------------------ windows
+
+    def _inside(self, op, by, split):
         """The op within one window partition."""
-        ordered = self._window().orderBy(*sort_columns(self.order))
-        whole = self._window()
+        whole = Window.partitionBy(*(by or [F.lit(1)]))  # without keys: at most hot_rows rows
+        ordered = whole.orderBy(*sort_columns(self.order))
         upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         value = op.value if not isinstance(op.value, str) else F.col(op.value)
         if op.kind == "row_number":
@@ -202,13 +176,13 @@ class OrderedScan:
         if op.kind.startswith("key_"):
             return getattr(F, op.kind[4:])(value).over(whole)
         if op.kind == "lag":
-            return F.lag(value, 1, None if self.split else op.default).over(ordered)
+            return F.lag(value, 1, None if split else op.default).over(ordered)
         if op.kind == "lead":
-            return F.lead(value, 1, None if self.split else op.default).over(ordered)
+            return F.lead(value, 1, None if split else op.default).over(ordered)
         # a frame that ends at UNBOUNDED FOLLOWING is re-read for every row, so backward fills run in reverse order
         frame = (Window.unboundedPreceding, -1 if op.kind.endswith("strict") else Window.currentRow)
         if op.kind.startswith("bfill"):
-            ordered = self._window().orderBy(*sort_columns(self.order, reverse=True))
+            ordered = whole.orderBy(*sort_columns(self.order, reverse=True))
         return F.last(value, ignorenulls=True).over(ordered.rowsBetween(*frame))
 
     _COMBINE = {
@@ -219,13 +193,12 @@ class OrderedScan:
     }
 
     def _carry(self, ops):
-        """One row per (hot key, cell): what the cell needs from the cells before and after it."""
-        hot = self.df.filter(F.col("_h").isin(self.hot)) if self.keys else self.df
-        ranked = Window.partitionBy(*self.keys, "_cell").orderBy(*sort_columns(self.order))
+        """One row per (key, cell): what the cell needs from the key's cells before and after it."""
+        ranked = Window.partitionBy(*_IDS).orderBy(*sort_columns(self.order))
         values = {n: (F.lit(1) if op.kind == "row_number" else F.col(op.value) if isinstance(op.value, str) else op.value)
                   for n, op in ops.items()}
-        hot = hot.select(*self.keys, "_cell", F.row_number().over(ranked).alias("_rn"),
-                         *[v.alias(f"_v_{n}") for n, v in values.items()])
+        hot = self.cut.select(*_IDS, F.row_number().over(ranked).alias("_rn"),
+                              *[v.alias(f"_v_{n}") for n, v in values.items()])
         aggs = []
         for n, op in ops.items():
             v, kind = F.col(f"_v_{n}"), op.kind
@@ -238,8 +211,8 @@ class OrderedScan:
                 aggs.append(F.min_by(F.when(present, boxed), F.when(present, F.col("_rn"))).alias(f"_s_{n}"))
             else:
                 aggs.append(getattr(F, self._COMBINE[kind][1])(v).alias(f"_s_{n}"))
-        summary = hot.groupBy(*self.keys, "_cell").agg(*aggs)
-        by = Window.partitionBy(*(self.keys or [F.lit(1)]))
+        summary = hot.groupBy(*_IDS).agg(*aggs)
+        by = Window.partitionBy("_kid")
         above = by.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
         below = by.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
         frames = {_ABOVE: above, _BELOW: below, "_all": by}
@@ -249,30 +222,14 @@ class OrderedScan:
             s = F.col(f"_s_{n}")
             folded = F.last(s, ignorenulls=True) if fold == "last" else getattr(F, fold)(s)
             cols.append(folded.over(frames[side]).alias(f"_c_{n}"))
-        return summary.select(*self.keys, "_cell", *cols)
-
-    # ------------------------------------------------------------ public
+        return summary.select(*_IDS, *cols)
 
-    def add(self, **ops):
-        inside = {n: self._inside(op) for n, op in ops.items()}
-        if not self.split:
-            self.df = self.df.withColumns(inside)
-            return self
-        carry = self._carry(ops)
-        if self.keys:
-            carry = carry.select(*[F.col(k).alias(f"_k_{k}") for k in self.keys], F.col("_cell").alias("_k_cell"),
-                                 *[f"_c_{n}" for n in ops])
-            match = F.col("_cell") == F.col("_k_cell")
-            for k in self.keys:
-                match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        else:
-            carry = carry.withColumnRenamed("_cell", "_k_cell")
-            match = F.col("_cell") == F.col("_k_cell")
-        ranked = self.df.withColumns({f"_i_{n}": c for n, c in inside.items()})
-        edge = self._window().orderBy(*sort_columns(self.order))
+    def _add_cut(self, ops):
+        ranked = self.cut.withColumns({f"_i_{n}": self._inside(op, _IDS, True) for n, op in ops.items()})
+        edge = Window.partitionBy(*_IDS).orderBy(*sort_columns(self.order))
         ranked = ranked.withColumns({"_first": F.row_number().over(edge) == 1,
                                      "_last": F.lead(F.lit(1)).over(edge).isNull()})
-        joined = ranked.join(F.broadcast(carry), match, "left")
+        joined = ranked.join(self._carry(ops), _IDS, "left")
         out = {}
         for n, op in ops.items():
             i, c = F.col(f"_i_{n}"), F.col(f"_c_{n}")
@@ -290,16 +247,25 @@ class OrderedScan:
                 out[n] = F.coalesce(c, i)
             else:
                 out[n] = (F.greatest if op.kind == "running_max" else F.least)(i, c)
-        kept = [c for c in self.df.columns if c not in out]
-        self.df = joined.select(*kept, *[e.alias(n) for n, e in out.items()])
+        kept = [c for c in self.cut.columns if c not in out]
+        return joined.select(*kept, *[e.alias(n) for n, e in out.items()])
+
+    # ------------------------------------------------------------ public
+
+    def add(self, **ops):
+        if self.plain is not None:
+            self.plain = self.plain.withColumns({n: self._inside(op, self.keys, False) for n, op in ops.items()})
+        if self.split:
+            self.cut = self._add_cut(ops)
         return self
 
     def derive(self, **cols):
-        self.df = self.df.withColumns(cols)
+        self.plain = None if self.plain is None else self.plain.withColumns(cols)
+        self.cut = self.cut.withColumns(cols) if self.split else None
         return self
 
     def result(self):
-        return self.df.drop("_h", "_cell") if self.split else self.df
+        return self.df.drop("_cell") if self.split else self.df
 
 
 def value_ranks(df, value, by=(), weight=None, hot_rows=None, nulls=False):

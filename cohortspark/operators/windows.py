@@ -34,16 +34,7 @@ def ranks(df, by, value, descending=False, rank="rank", dense="dense_rank", hot_
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     scan = OrderedScan(counts, by, [order], hot_rows=hot_rows).add(**{"_upto": running_sum("_n"), dense: row_number()})
     table = scan.result().withColumn(rank, F.col("_upto") - F.col("_n") + 1).drop("_upto", "_n")
-    return _null_safe_join(df, table, list(by) + [value])
-
-
-def _null_safe_join(df, table, keys, how="left"):
-    renamed = table.select(*[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in table.columns if c not in keys])
-    on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_j_{k}"))
-        on = same if on is None else on & same
-    return df.join(renamed, on, how).drop(*[f"_j_{k}" for k in keys])
+    return spread_join(df, table, list(by) + [value], hot_rows=hot_rows, null_safe=True)
 
 
 def ntile_of(rn, total, n):
@@ -68,14 +59,7 @@ def pct_rank(df, value, by=(), percent="percent_rank", cume="cume_dist", hot_row
     table = table.select(*keys,
                          F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - 1)).otherwise(0.0).alias(percent),
                          (F.col("_upto") / F.col("_total")).alias(cume))
-    # an equi join drops NULL keys: join on whether the key is NULL and on its text instead
-    parts = [f"_p{i}" for i in range(2 * len(keys))]
-
-    def coded(frame):
-        pairs = [c for k in keys for c in (F.col(k).isNull(), F.coalesce(F.col(k).cast("string"), F.lit("")))]
-        return frame.withColumns(dict(zip(parts, pairs)))
-
-    return spread_join(coded(df), coded(table).drop(*keys), parts, hot_rows=hot_rows).select(*df.columns, percent, cume)
+    return spread_join(df, table, keys, hot_rows=hot_rows, null_safe=True)
 
 
 def lag_lead(df, keys, order, value, default=None, hot_rows=None):
@@ -103,9 +87,11 @@ def fill_by_rank(df, keys, order, value, rank, name, default=0, hot_rows=None):
     return scan.derive(**{name: pick}).result().drop("_kr", "_pv", "_pr", "_nv", "_nr")
 
 
-def over_partition(df, keys, aggs):
-    """Unordered window aggregates as an aggregate joined back, so a hot group is combined before it is shuffled."""
-    return _null_safe_join(df, df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()]), list(keys))
+def over_partition(df, keys, aggs, hot_rows=None):
+    """Unordered window aggregates as an aggregate joined back: a hot group is combined before it is shuffled, and its
+    rows meet the result in many tasks."""
+    table = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
+    return spread_join(df, table, list(keys), hot_rows=hot_rows, null_safe=True)
 
 
 def running_share(df, order, value, by=(), total="running_total", share="running_share", hot_rows=None):

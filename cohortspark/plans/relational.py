@@ -250,6 +250,17 @@ q("w04_percent_rank", lambda t: W.pct_rank(t("lineitem").select("l_orderkey", "l
   "SELECT l_orderkey, l_linenumber, l_quantity, percent_rank() OVER (ORDER BY l_quantity) AS percent_rank, cume_dist() OVER (ORDER BY l_quantity) AS cume_dist, CASE WHEN percent_rank() OVER (ORDER BY l_quantity) >= 0.7 THEN 1 ELSE 0 END AS top30 FROM lineitem",
   "percent_rank cume_dist")
 
+# positive and negative zero are one value
+q("w04_percent_rank_zeros", lambda t: W.pct_rank(t("customer").select("c_custkey", F.expr("CASE c_custkey % 3 WHEN 0 THEN -0.0D WHEN 1 THEN 0.0D ELSE c_acctbal END").alias("v")), "v").select("c_custkey", "percent_rank", "cume_dist"),
+  """SELECT c_custkey, percent_rank() OVER (ORDER BY v) AS percent_rank, cume_dist() OVER (ORDER BY v) AS cume_dist
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN 0.0 ELSE c_acctbal END AS v FROM customer)""", "percent_rank cume_dist")
+# the same results from cells: the whole table, and four keys of a quarter of the rows each, count as too large for one task
+q("w03_ntile_in_cells", lambda t: W.ntile_bucket(t("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), ["l_shipdate", "l_orderkey", "l_linenumber"], 10, name="decile", hot_rows=5000),
+  "SELECT l_orderkey, l_linenumber, l_shipdate, CAST(ntile(10) OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS INTEGER) AS decile FROM lineitem")
+q("w05_lag_lead_in_cells", lambda t: W.lag_lead(t("customer").select("c_custkey", "c_mktsegment", "c_name"), ["c_mktsegment"], ["-c_name", "c_custkey"], "c_custkey", hot_rows=200),
+  """SELECT c_custkey, c_mktsegment, c_name, lag(c_custkey) OVER w AS prev_c_custkey, lead(c_custkey) OVER w AS next_c_custkey
+FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_name DESC, c_custkey)""")
+
 q("w05_lag_lead", lambda t: W.lag_lead(t("orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderstatus", "none"),
   """
 SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus, lag(o_orderstatus, 1, 'none') OVER w AS prev_o_orderstatus, lead(o_orderstatus, 1, 'none') OVER w AS next_o_orderstatus

@@ -70,3 +70,33 @@ def test_an_order_is_required(spark):
         OrderedScan(skewed(spark), ["k"], [])
     with pytest.raises(ValueError):
         W.top_n_per(skewed(spark), ["k"], [], 1)
+
+
+def test_a_thousand_hot_keys_are_all_cut(spark):
+    df = spark.range(4000).select("id", (F.col("id") % 1000).alias("k"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("t"))
+    scan = OrderedScan(df, ["k"], ["t", "id"], hot_rows=3)
+    assert scan.plain.count() == 0 and scan.cut.groupBy("k").agg(F.count_distinct("_cell").alias("n")).filter("n > 1").count() > 900
+    plain = OrderedScan(df, ["k"], ["t", "id"]).add(n=row_number(), prev=lag("id")).result()
+    assert rows(plain, ["id", "n", "prev"]) == rows(scan.add(n=row_number(), prev=lag("id")).result(), ["id", "n", "prev"])
+
+
+def test_names_with_one_long_prefix_are_cut(spark):
+    df = spark.range(20_000).select("id", F.concat(F.lit("the same long beginning of every name "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name"))
+    scan = OrderedScan(df, [], ["-name"], hot_rows=1000)
+    assert scan.df.groupBy("_cell").count().agg(F.max("count")).first()[0] <= 1000
+    got = scan.add(n=row_number()).result()
+    assert got.filter(F.col("n") != 20_000 - F.col("id")).count() == 0
+
+
+def test_null_and_float_keys_when_cut(spark):
+    data = [(None, i) for i in range(40)] + [(float("nan"), i) for i in range(40)] + [(0.0, i) for i in range(20)] + [(-0.0, 20 + i) for i in range(20)] + [(1.0, 0)]
+    df = spark.createDataFrame(data, "k double, i long")
+    for hot_rows in (None, 10):
+        out = OrderedScan(df, ["k"], ["i"], hot_rows=hot_rows).add(n=row_number(), s=key_sum(F.lit(1))).result()
+        assert out.filter(F.col("n") != F.col("i") + 1).count() == 0 and out.filter("s = 40").count() == 120
+        shares = W.pct_rank(df, "k", hot_rows=hot_rows).groupBy("percent_rank", "cume_dist").count().collect()
+        assert sorted((round(r[0], 6), round(r[1], 6), r[2]) for r in shares) == [(0.0, round(40 / 121, 6), 40), (round(40 / 120, 6), round(80 / 121, 6), 40), (round(80 / 120, 6), round(81 / 121, 6), 1), (round(81 / 120, 6), 1.0, 40)]
+        both = W.over_partition(df, ["k"], {"total": F.count(F.lit(1))}, hot_rows=hot_rows)
+        assert both.filter("total = 40").count() == 120
+        ranked = W.ranks(df, [], "k", hot_rows=hot_rows).groupBy("rank", "dense_rank").count().orderBy("rank").collect()
+        assert [tuple(r) for r in ranked] == [(1, 1, 40), (41, 2, 40), (81, 3, 1), (82, 4, 40)]
