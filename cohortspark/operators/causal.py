@@ -11,17 +11,15 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.joins import nearest_value_join
 from cohortspark.operators.lineage import durable
-from cohortspark.operators.models import MAX_COHORTS, fit_logit, fit_trees, score
-from cohortspark.operators.ordered import OrderedScan, bfill, ffill, lag, row_number, running_sum
+from cohortspark.operators.logits import fit_logits
+from cohortspark.operators.models import fit_trees, score
+from cohortspark.operators.ordered import OrderedScan, bfill, ffill, lag, null_safe_join, row_number, running_sum
 
 
 def propensity(df, unit, arm, xs, name="propensity"):
     """Add P(arm = 1 | xs) from a logistic regression."""
-    from cohortspark.functions.exprs import prob1
-
-    _, models = fit_logit(df, xs, arm)
-    scored = models[None].transform(df.withColumn(arm, F.col(arm).cast("double")).withColumns({x: F.col(x).cast("double") for x in xs}))
-    return scored.select(unit, F.col(arm).cast("int").alias(arm), *xs, prob1("probability").alias(name))
+    frame = df.select(unit, F.col(arm).cast("int").alias(arm), *[F.col(x).cast("double").alias(x) for x in xs])
+    return fit_logits(frame, xs, arm).transform(frame, name)
 
 
 def caliper_width(df, score_col, multiple):
@@ -213,22 +211,20 @@ def transformed_outcome_tree(df, xs, treatment, outcome, p=None, max_depth=4, se
     return score(model, df, xs, "uplift", "regression"), model
 
 
-def segment_uplift(df, segment, xs, treatment, outcome, min_n=100, cutoff=0.0, **tree_options):
-    """Two-model uplift per segment with both arms of at least ``min_n``; smaller segments are reported unscored."""
+def segment_uplift(df, segment, xs, treatment, outcome, min_n=100, cutoff=0.0, reg=0.0):
+    """Two logistic outcome models per segment with both arms of at least ``min_n``, all of them iterated together:
+    mean uplift and the share with an uplift above ``cutoff``. Smaller segments are reported unscored."""
     arm = F.col(treatment).cast("int")
-    sizes = df.groupBy(segment).agg(F.count(F.when(arm == 1, 1)).alias("t"), F.count(F.when(arm == 0, 1)).alias("c")).orderBy(segment).limit(MAX_COHORTS + 1).collect()
-    if len(sizes) > MAX_COHORTS:
-        raise ValueError(f"{segment} has more than {MAX_COHORTS} values: two models each are not meant for that")
-    rows = []
-    for r in sizes:  # one row per segment
-        if min(r.t, r.c) < min_n:
-            rows.append((str(r[segment]), r.t, r.c, None, None))
-            continue
-        part = df.filter(F.col(segment) == r[segment])
-        pred = TLearner(xs, treatment, outcome, **tree_options).fit(part).predict(part)
-        s = pred.agg(F.avg("uplift").alias("u"), F.avg(F.when(F.col("uplift") > cutoff, 1.0).otherwise(0.0)).alias("share")).first()
-        rows.append((str(r[segment]), r.t, r.c, s.u, s.share))
-    return df.sparkSession.createDataFrame(rows, "segment string, n_treated long, n_control long, mean_uplift double, targeted_share double")
+    data = df.select(F.col(segment).alias("segment"), arm.alias("_a"), *xs, F.col(outcome).cast("double").alias("_y"))
+    sizes = data.groupBy("segment").agg(F.count(F.when(F.col("_a") == 1, 1)).alias("n_treated"), F.count(F.when(F.col("_a") == 0, 1)).alias("n_control"))
+    large = sizes.filter(F.least("n_treated", "n_control") >= min_n).select("segment", F.lit(True).alias("_large"))
+    fitted = null_safe_join(data, large, ["segment"], "inner").drop("_large")
+    model = fit_logits(fitted, xs, "_y", ["segment", "_a"], reg)
+    for side in (1, 0):
+        fitted = model.transform(fitted.withColumn("_own", F.col("_a")).withColumn("_a", F.lit(side)), f"_p{side}").withColumn("_a", F.col("_own")).drop("_own")
+    gain = F.col("_p1") - F.col("_p0")
+    found = fitted.groupBy("segment").agg(F.avg(gain).alias("mean_uplift"), F.avg(F.when(gain > cutoff, 1.0).otherwise(0.0)).alias("targeted_share"))
+    return null_safe_join(sizes.withColumn("_s", F.col("segment")), found, ["segment"]).select(F.col("_s").cast("string").alias("segment"), "n_treated", "n_control", "mean_uplift", "targeted_share")
 
 
 def daily_metric(events, ts, metric):

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,14 +17,12 @@ from pyspark.sql import functions as F
 from cohortspark.functions.exprs import prob1, safe_div
 from cohortspark.functions.tails import norm_sf2
 from cohortspark.operators.aggs import percentiles
-from cohortspark.operators.ordered import OrderedScan, key_sum, row_number, value_ranks
+from cohortspark.operators.joins import with_totals
+from cohortspark.operators.logits import auc_by, fit_logits, refuse_nulls
+from cohortspark.operators.ordered import OrderedScan, key_sum, null_safe_join, row_number, running_sum
 from cohortspark.operators.windows import hash_order, in_fraction, ntile_bucket, sample_fraction
 
 
-#: separate models one call may fit
-MAX_COHORTS = 200
-
-
 def assemble(df, xs, out="features"):
     """Feature vectors. A NULL feature is an error, never a dropped row: impute first (``prep.impute``)."""
     doubles = df.withColumns({x: F.col(x).cast("double") for x in xs})
@@ -34,33 +32,25 @@ def assemble(df, xs, out="features"):
 # ---------------------------------------------------------------- logistic regression
 
 
-def fit_logit(df, xs, y, by=None, reg=0.0, max_iter=50):
-    """Standardised logistic regression, overall or per value of ``by``: coefficient on the raw scale, odds ratio,
-    percent impact of one standard deviation, AUC. Returns (terms frame, {cohort: fitted pipeline})."""
-    cohorts = [None] if by is None else [r[0] for r in df.select(by).distinct().orderBy(by).limit(MAX_COHORTS + 1).collect()]
-    if len(cohorts) > MAX_COHORTS:
-        raise ValueError(f"{by} has more than {MAX_COHORTS} values: one model each is not meant for that")
-    names = list(xs)
-    data = df.select(*([by] if by else []), F.col(y).cast("double").alias(y), *[F.col(x).cast("double").alias(x) for x in names]).persist()
-    rows, models = [], {}
-    try:
-        for cohort in cohorts:
-            part = data if by is None else data.filter(F.col(by) == cohort)
-            model = Pipeline(stages=[
-                VectorAssembler(inputCols=names, outputCol="_raw", handleInvalid="error"),
-                StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-                LogisticRegression(labelCol=y, regParam=reg, maxIter=max_iter),
-            ]).fit(part)
-            scaler, lr = model.stages[1], model.stages[2]
-            auc = evaluate(model.transform(part).select(y, prob1("probability").alias("score")), "score", y).first()["auc"]
-            for x, beta, sd in zip(names, lr.coefficients.toArray(), scaler.std.toArray()):
-                raw = float(beta / sd) if sd else 0.0
-                rows.append((None if cohort is None else str(cohort), x, raw, math.exp(raw), float(beta), (math.exp(beta) - 1) * 100.0, auc))
-            models[cohort] = model
-    finally:
-        data.unpersist()
-    schema = "cohort string, term string, coef double, odds_ratio double, coef_per_sd double, pct_impact_per_sd double, auc double"
-    return df.sparkSession.createDataFrame(rows, schema), models
+def fit_logit(df, xs, y, by=None, reg=0.0, max_iter=50, key=None, test=0.0, seed=0):
+    """Standardised logistic regression, overall or per value of ``by`` (all values iterated together): coefficient on
+    the raw scale, odds ratio, percent impact of one standard deviation, AUC on the rows fitted and, with a share
+    ``test`` of the values of ``key`` held out, on those. Returns (terms frame, fitted ``Logits``)."""
+    names, groups = list(xs), [] if by is None else [by]
+    held_out = F.lit(False) if not test else ~in_fraction(key, 1.0 - test, seed)
+    data = df.withColumn("_test", held_out)
+    model = fit_logits(data.filter(~F.col("_test")), names, y, groups, reg, max_iter)
+    scored = model.transform(data.select(*groups, *names, F.col(y).cast("int").alias("_y"), "_test"), "_p")
+    auc = auc_by(scored, "_p", "_y", [*groups, "_test"])
+    auc = auc.groupBy(*groups).agg(F.max(F.when(~F.col("_test"), F.col("auc"))).alias("auc"), F.max(F.when(F.col("_test"), F.col("auc"))).alias("auc_test"))
+    place = F.posexplode(F.array(*[F.lit(x) for x in names])).alias("_i", "term")
+    cohort = F.col(by).cast("string") if groups else F.lit(None).cast("string")
+    table = null_safe_join(model.cohorts, auc, groups) if groups else with_totals(model.cohorts, auc)
+    table = table.select(cohort.alias("cohort"), "_beta", "_sd", "auc", "auc_test", place)
+    beta, sd = F.element_at("_beta", F.col("_i") + 2), F.element_at("_sd", F.col("_i") + 1)
+    raw = F.when(sd > 0, beta / sd).otherwise(0.0)
+    return table.select("cohort", "term", raw.alias("coef"), F.exp(raw).alias("odds_ratio"), beta.alias("coef_per_sd"),
+                        ((F.exp(beta) - 1) * 100.0).alias("pct_impact_per_sd"), "auc", "auc_test"), model
 
 
 def _sums(frame, xs, y, beta, inv=None):
@@ -105,9 +95,10 @@ def _sums(frame, xs, y, beta, inv=None):
 
 def logit_inference(df, xs, y, robust=True, max_iter=30, tol=1e-9):
     """Maximum-likelihood logit with HC3 (or model) standard errors, p, CI, odds ratios, average marginal effects and
-    McFadden's pseudo R2. Newton steps use one distributed pass each; only p x p sums are collected."""
+    McFadden's pseudo R2. Newton steps use one distributed pass each; only p x p sums are collected. NULL or NaN values
+    are an error, as in every fit here."""
     xs = list(xs)
-    frame = df.select(*[F.col(x).cast("double").alias(x) for x in xs], F.col(y).cast("double").alias(y)).dropna().persist()
+    frame = refuse_nulls(df.select(*xs, y), [*xs, y]).persist()
     try:
         beta = np.zeros(len(xs) + 1)
         s = _sums(frame, xs, y, beta.tolist())
@@ -215,7 +206,7 @@ def evaluate(pred, score_col, label, cutoff=0.5, hot_rows=None):
     """One row: n, positives, exact ROC AUC (tie-aware rank sum), log loss and the confusion counts."""
     y, s = F.col(label).cast("int"), F.col(score_col)
     per = pred.filter(s.isNotNull()).groupBy(score_col).agg(F.sum(y).alias("_pos"), F.count(F.lit(1)).alias("_n"))
-    ranked = value_ranks(per, score_col, weight="_n", hot_rows=hot_rows).join(per.select(score_col, "_pos"), score_col)
+    ranked = OrderedScan(per, [], [score_col], hot_rows=hot_rows).add(_upto=running_sum("_n")).derive(_before=F.col("_upto") - F.col("_n")).result()
     c = F.least(F.greatest(s, F.lit(1e-15)), F.lit(1 - 1e-15))
     n, p = F.col("_n"), F.col("_pos")
     loss = -(p * F.log(c) + (n - p) * F.log(1 - c))
@@ -236,8 +227,6 @@ def score_deciles(df, score_col, label, key, n=10, hot_rows=None):
     table = cut.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("converters"), F.avg(y.cast("double")).alias("rate"),
                                       F.min(score_col).alias("min_score"), F.max(score_col).alias("max_score"), F.avg(score_col).alias("mean_score"))
     table = table.join(percentiles(cut, ["decile"], score_col, [0.5], ["median_score"], hot_rows=hot_rows), "decile")
-    from cohortspark.operators.joins import with_totals
-
     bottom = cut.filter(F.col("decile") == n).agg(F.avg(y.cast("double")).alias("_b"))
     return with_totals(table, bottom).withColumn("lift_vs_bottom", safe_div("rate", "_b")).drop("_b")
 
@@ -267,8 +256,6 @@ def cluster_sessions(df, xs, k_range, seed=7, max_iter=20):
 
 def profile_clusters(df, cluster, xs):
     """Size, share and feature means per cluster in one grouped pass."""
-    from cohortspark.operators.joins import with_totals
-
     table = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"mean_{x}") for x in xs])
     return with_totals(table, df.agg(F.count(F.lit(1)).alias("_t"))).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
 

@@ -246,11 +246,34 @@ q("m06_logit_by_cohort", lambda t: M.fit_logit(_modelled(t), XS, "y", by="c_mkts
 q("m06_logit_closed_form", lambda t: M.fit_logit(_modelled(t), ["a"], "y")[0].select("term", "coef", "auc"), f"""
 WITH {_MODELLED}, c AS (SELECT sum(CASE WHEN a = 1 THEN y END) AS p1, sum(CASE WHEN a = 1 THEN 1 - y END) AS q1, sum(CASE WHEN a = 0 THEN y END) AS p0, sum(CASE WHEN a = 0 THEN 1 - y END) AS q0 FROM md)
 SELECT 'a' AS term, ln(p1 / q1) - ln(p0 / q0) AS coef, (p1 * q0 + 0.5 * (p1 * q1 + p0 * q0)) / ((p1 + p0) * (q1 + q0)) AS auc FROM c""", "coef auc", 3)
+
+
+def _binary(t):
+    """Line items with a 0/1 feature and target and 200 cohorts."""
+    return t("lineitem").select((F.col("l_partkey") % 200).alias("cohort"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k"),
+                                (F.col("l_quantity") > 25).cast("int").alias("a"), (F.col("l_tax") > 0.04).cast("int").alias("x"), (F.col("l_discount") > 0.05).cast("int").alias("y"))
+
+
+# cells of a saturated model, per cohort, train and test by the first 32 bits of md5; cohorts with an empty cell have no finite fit
+_BINARY = """b AS (SELECT l_partkey % 200 AS cohort, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS a, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS y,
+  CAST('0x' || substring(md5(l_orderkey || '-' || l_linenumber || '|0'), 1, 8) AS BIGINT) >= 3435973837 AS test FROM lineitem),
+c AS (SELECT cohort, sum(CASE WHEN a = 1 AND NOT test THEN y END) AS p1, sum(CASE WHEN a = 1 AND NOT test THEN 1 - y END) AS q1, sum(CASE WHEN a = 0 AND NOT test THEN y END) AS p0, sum(CASE WHEN a = 0 AND NOT test THEN 1 - y END) AS q0,
+  sum(CASE WHEN a = 1 AND test THEN y ELSE 0 END) AS tp1, sum(CASE WHEN a = 1 AND test THEN 1 - y ELSE 0 END) AS tq1, sum(CASE WHEN a = 0 AND test THEN y ELSE 0 END) AS tp0, sum(CASE WHEN a = 0 AND test THEN 1 - y ELSE 0 END) AS tq0 FROM b GROUP BY 1)"""
+q("m06_logit_cohorts_held_out", lambda t: M.fit_logit(_binary(t), ["a"], "y", by="cohort", key="k", test=0.2)[0].filter("abs(coef) > 1e-9").select("cohort", "coef", "odds_ratio", "auc", "auc_test"), f"""
+WITH {_BINARY}, s AS (SELECT *, p1 * q0 > p0 * q1 AS up FROM c WHERE p1 * q0 <> p0 * q1 AND least(p1, q1, p0, q0) > 0)
+SELECT CAST(cohort AS VARCHAR) AS cohort, ln(p1 * q0 / (p0 * q1)) AS coef, p1 * q0 / (p0 * q1) AS odds_ratio,
+  (CASE WHEN up THEN p1 * q0 ELSE p0 * q1 END + 0.5 * (p1 * q1 + p0 * q0)) / ((p1 + p0) * (q1 + q0)) AS auc,
+  (CASE WHEN up THEN tp1 * tq0 ELSE tp0 * tq1 END + 0.5 * (tp1 * tq1 + tp0 * tq0)) / nullif((tp1 + tp0) * (tq1 + tq0), 0) AS auc_test FROM s""", "coef odds_ratio auc auc_test")
 q("m07_logit_inference", lambda t: M.logit_inference(_modelled(t).withColumn("bal", F.col("c_acctbal") / 1000), ["bal", "n_orders", "a"], "y"))
 # a logit on one 0/1 feature has a closed form: group log-odds, so the fit can be checked by counting
 q("m07_logit_closed_form", lambda t: M.logit_inference(_modelled(t), ["a"], "y", robust=False).select("term", "coef", "se"), f"""
 WITH {_MODELLED}, c AS (SELECT sum(CASE WHEN a = 1 THEN y END) AS p1, sum(CASE WHEN a = 1 THEN 1 - y END) AS q1, sum(CASE WHEN a = 0 THEN y END) AS p0, sum(CASE WHEN a = 0 THEN 1 - y END) AS q0 FROM md)
 SELECT 'intercept' AS term, ln(p0 / q0) AS coef, sqrt(1 / p0 + 1 / q0) AS se FROM c UNION ALL SELECT 'a', ln(p1 / q1) - ln(p0 / q0), sqrt(1 / p0 + 1 / q0 + 1 / p1 + 1 / q1) FROM c""", "coef se", 5)
+# on one 0/1 feature every row of a group has the leverage 1 / rows of the group
+q("m07_logit_robust", lambda t: M.logit_inference(_modelled(t), ["a"], "y").select("term", "coef", "se"), f"""
+WITH {_MODELLED}, c AS (SELECT sum(CASE WHEN a = 1 THEN y END) AS p1, sum(CASE WHEN a = 1 THEN 1 - y END) AS q1, sum(CASE WHEN a = 0 THEN y END) AS p0, sum(CASE WHEN a = 0 THEN 1 - y END) AS q0 FROM md),
+v AS (SELECT *, (1 / p0 + 1 / q0) / pow(1 - 1 / (p0 + q0), 2) AS v0, (1 / p1 + 1 / q1) / pow(1 - 1 / (p1 + q1), 2) AS v1 FROM c)
+SELECT 'intercept' AS term, ln(p0 / q0) AS coef, sqrt(v0) AS se FROM v UNION ALL SELECT 'a', ln(p1 / q1) - ln(p0 / q0), sqrt(v0 + v1) FROM v""", "coef se", 5)
 q("m08_glm_binomial", lambda t: M.glm_binomial(_modelled(t).withColumn("rate", F.least(F.col("n_orders") / 25.0, F.lit(1.0))), ["c_acctbal", "a"], "rate")[0])
 q("m08_glm_closed_form", lambda t: M.glm_binomial(_modelled(t).withColumn("rate", F.least(F.col("n_orders") / 25.0, F.lit(1.0))), ["a"], "rate")[0].select("term", "coef"), f"""
 WITH {_MODELLED}, r AS (SELECT a, least(greatest(n_orders / 25.0, 1e-6), 1 - 1e-6) AS r FROM md), m AS (SELECT avg(CASE WHEN a = 1 THEN r END) AS m1, avg(CASE WHEN a = 0 THEN r END) AS m0 FROM r)
@@ -404,7 +427,15 @@ q("m29_attribution_positions", lambda t: SQ.attribution_summary(_touch(t), "boug
 q("m29_top_stores", lambda t: SQ.top_entities(_touch(t).withColumn("store", F.col("event_id") % 60), "store", "score", 10, 100).withColumn("mean_score", F.round("mean_score", 6)),
   f"WITH {_TOUCH} SELECT event_id % 60 AS store, count(*) AS n, avg(score) AS mean_score FROM w GROUP BY 1 HAVING count(*) >= 100 ORDER BY mean_score DESC, store LIMIT 10", "mean_score")
 
-q("m30_segment_uplift", lambda t: CI.segment_uplift(_modelled(t), "c_mktsegment", XS, "a", "y", min_n=50, **_TREE))
+q("m30_segment_uplift", lambda t: CI.segment_uplift(_modelled(t), "c_mktsegment", XS, "a", "y", min_n=50))
+# one 0/1 feature: the models give the rates of its groups
+q("m30_segment_uplift_rates", lambda t: CI.segment_uplift(_binary(t), "cohort", ["x"], "a", "y", min_n=20, cutoff=0.01), """
+WITH b AS (SELECT l_partkey % 200 AS cohort, l_quantity > 25 AS a, l_tax > 0.04 AS x, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS y FROM lineitem),
+n AS (SELECT cohort, count(*) FILTER (a) AS n_treated, count(*) FILTER (NOT a) AS n_control FROM b GROUP BY 1),
+g AS (SELECT cohort, x, count(*) AS n, avg(y) FILTER (a) - avg(y) FILTER (NOT a) AS gain FROM b GROUP BY 1, 2)
+SELECT CAST(cohort AS VARCHAR) AS segment, n_treated, n_control, CASE WHEN least(n_treated, n_control) >= 20 THEN sum(gain * g.n) / sum(g.n) END AS mean_uplift,
+  CASE WHEN least(n_treated, n_control) >= 20 THEN sum(CASE WHEN gain > 0.01 THEN g.n ELSE 0 END) / sum(g.n) END AS targeted_share
+FROM n JOIN g USING (cohort) GROUP BY cohort, n_treated, n_control""", "mean_uplift targeted_share", 5)
 
 
 def _levels(t):
