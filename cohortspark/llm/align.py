@@ -218,7 +218,7 @@ def _cut_blocks(docs, text_col, kept, paths, with_groups):
                 radix = radix_of(keys, a.size)
                 starts = np.flatnonzero(np.concatenate([[True], radix[1:] != radix[:-1]])[:len(radix)])
                 for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(radix)]):
-                    yield {"kind": ["runs"], "block": [block], "radix": [int(radix[s])], "first": [int(keys[s])], "data": [pack_many(keys[s:e], sizes[s:e])], **blank}
+                    yield {"kind": ["runs"], "block": [block], "radix": [int(radix[s])], "first": [int(keys[s])], "data": [pack_many(keys[s:e], sizes[s:e].astype(np.int32), ascending=1)], **blank}
 
     fields = [T.StructField("kind", T.StringType()), T.StructField("block", T.LongType()), T.StructField("radix", T.IntegerType()),
               T.StructField("first", T.LongType()), T.StructField("data", T.BinaryType()),
@@ -253,7 +253,7 @@ def merge_runs(frames):
                 push(keys[cut:], counts[cut:])
         if not parts:
             return None
-        keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
         by = np.argsort(keys, kind="stable")
         keys, counts = keys[by], counts[by]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -281,7 +281,7 @@ def _merge_level(runs, groups):
     def merge(key, rows):
         for keys, counts in merge_runs(_frames(rows)):
             for s in range(0, len(keys), FRAME):
-                yield {"radix": [key[0]], "block": [key[1]], "first": [int(keys[s])], "data": [pack_many(keys[s:s + FRAME], counts[s:s + FRAME])]}
+                yield {"radix": [key[0]], "block": [key[1]], "first": [int(keys[s])], "data": [pack_many(keys[s:s + FRAME], counts[s:s + FRAME], ascending=1)]}
 
     dealt = runs.select("radix", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), "first", "data")
     return map_groups(dealt, ["radix", "group"], ["first"], merge, "radix int, block long, first long, data binary")
@@ -300,7 +300,7 @@ def count_pairs(runs, blocks):
             best = np.repeat(np.maximum.reduceat(counts, first), np.diff(np.append(first, len(keys))))
             marked = 2 * counts + (counts == best)
             for s in range(0, len(keys), FRAME):
-                yield {"radix": [key[0]], "first": [int(keys[s])], "data": [pack_many(keys[s:s + FRAME], marked[s:s + FRAME])]}
+                yield {"radix": [key[0]], "first": [int(keys[s])], "data": [pack_many(keys[s:s + FRAME], marked[s:s + FRAME], ascending=1)]}
 
     return map_groups(runs.select("radix", "first", "data"), ["radix"], ["first"], merge, "radix int, first long, data binary")
 

@@ -3,6 +3,8 @@
 A block is what one task reads at a time (a bounded stretch of rows). What the corpus has to count is sent per block
 and part as one packed array instead of one row per value, and answers come back the same way."""
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -14,33 +16,42 @@ from cohortspark.llm.common import shared_path, shuffle_parts
 BLOCK_BYTES = 4_000_000
 
 
-def pack(values, ascending=True):
-    """Zstandard frame of an array of integers, byte planes apart; ascending runs as differences, which are small."""
+_HEAD = struct.Struct("<3s3s?QQ")
+
+
+def pack(values, ascending=False):
+    """Zstandard frame of an array of integers, byte planes apart. ``ascending``: they are in order, so their differences
+    are stored, in as few bytes as the largest of them needs."""
     values = np.ascontiguousarray(values)
-    kind = values.dtype.str
-    if ascending and len(values):
-        with np.errstate(over="ignore"):
-            values = np.concatenate([values[:1], values[1:] - values[:-1]])
+    kind, n, first = values.dtype, len(values), 0
+    if ascending and n:
+        first = int(values[0]) % 2**64
+        values = np.diff(values.astype(np.uint64))
+        width = next(w for w in (1, 2, 4, 8) if w == 8 or int(values.max(initial=0)) >> 8 * w == 0)
+        values = values.astype(f"<u{width}")
     planes = values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T
-    return (kind + "+-"[not ascending]).encode().ljust(4) + zstandard.ZstdCompressor(level=1).compress(len(values).to_bytes(8, "little") + planes.tobytes())
+    return _HEAD.pack(kind.str.encode(), values.dtype.str.encode(), ascending, n, first) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(data):
-    name = bytes(data[:4]).decode().strip()
-    kind = np.dtype(name[:-1])
-    raw = zstandard.ZstdDecompressor().decompress(bytes(data[4:]))
-    n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(raw, np.uint8, offset=8).reshape(kind.itemsize, n)
-    values = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-    if name[-1] == "+" and n:
-        with np.errstate(over="ignore"):
-            values = np.cumsum(values, dtype=kind)
-    return values
-
-
-def pack_many(*arrays, ascending=True):
-    """Several arrays in one value."""
-    parts = [pack(a, ascending) for a in arrays]
+    data = bytes(data)
+    kind, held, ascending, n, first = _HEAD.unpack_from(data)
+    kind, held = np.dtype(kind.decode()), np.dtype(held.decode())
+    raw = zstandard.ZstdDecompressor().decompress(data[_HEAD.size:])
+    planes = np.frombuffer(raw, np.uint8).reshape(held.itemsize, len(raw) // held.itemsize)
+    values = np.ascontiguousarray(planes.T).reshape(-1).view(held)
+    if not ascending or not n:
+        return values.astype(kind, copy=False)
+    out = np.empty(n, np.uint64)
+    out[0] = first
+    np.cumsum(values, dtype=np.uint64, out=out[1:])
+    out[1:] += np.uint64(first)
+    return out.astype(kind)
+
+
+def pack_many(*arrays, ascending=0):
+    """Several arrays in one value, the first so many of them ascending."""
+    parts = [pack(a, i < ascending) for i, a in enumerate(arrays)]
     return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
 
@@ -53,6 +64,12 @@ def unpack_many(data):
     return out
 
 
+def distinct(values):
+    """Sorted distinct values, by sorting (``np.unique`` without counts hashes, which takes many times as long here)."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])[:len(values)]]
+
+
 def concat_ranges(starts, sizes):
     """starts[0], starts[0] + 1, ... (sizes[0] of them), then the same for the next."""
     sizes = np.asarray(sizes, np.int64)

@@ -21,21 +21,23 @@ Nulls and empty texts are one end mark. Repeated rows are scored and counted eac
 texts are taken whole; extra columns stay. Without training documents every count is 0.
 """
 
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cohortspark.llm.blocks import block_ids, map_groups, map_rows, pack, pack_many, text_bytes, unpack, unpack_many
+from cohortspark.llm.blocks import block_ids, distinct, map_groups, map_rows, pack, pack_many, text_bytes, unpack, unpack_many
 from cohortspark.llm.common import row_chunks, stored
 from cohortspark.llm.tokens import mix
 
 #: text of one block
 BLOCK_BYTES = 8_000_000
 #: training text behind one shard of the filter
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 4_000_000
 #: hash functions of the filter; bits per entry follow
 HASHES = 8
 #: prior rows behind a bigram's and a trigram's history
@@ -76,19 +78,20 @@ class Block:
     """Words of a block of texts as places in its own dictionary; the end mark closes every text."""
 
     def __init__(self, texts):
-        known, flat = {END: 0}, []
+        known, flat = defaultdict(count().__next__), []
+        known[END]  # place 0
         self.sizes = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
             # on bytes, lower() is A-Z and split() is at white space of ASCII only
             words = text.encode().lower().split() if text else []
             words.append(END)
-            flat += [known.setdefault(w, len(known)) for w in words]
+            flat.extend(map(known.__getitem__, words))
             self.sizes[i] = len(words)
         self.words, self.places = list(known), np.array(flat, np.int32)
         self.hashes = word_hashes(self.words)
 
     def dump(self):
-        return pack_many(self.places, self.sizes, ascending=False), pack_words(self.words)
+        return pack_many(self.places, self.sizes), pack_words(self.words)
 
     @classmethod
     def load(cls, data, words):
@@ -215,13 +218,13 @@ def train(docs, text_col="text", strength=STRENGTH):
     size = text_bytes(docs)
     shards, bits = max(1, -(-size // SHARD_BYTES)), key_bits(size)
 
-    def count(batches):
+    def counted(batches):
         for _, block in _blocks(batches):
             keys, counts = np.unique(block.grams(bits)[0], return_counts=True)
             used = np.bincount(block.places, minlength=len(block.words))
             for s, a, b, at in _by_shard(block, keys, bits, shards):
-                yield {"shard": [s], "data": [pack_many(keys[a:b], counts[a:b].astype(np.int32))],
-                       "words": [pack_words([block.words[k] for k in at.tolist()]) if len(at) else None], "counts": [pack(used[at], False)]}
+                yield {"shard": [s], "data": [pack_many(keys[a:b], counts[a:b].astype(np.int32), ascending=1)],
+                       "words": [pack_words([block.words[k] for k in at.tolist()]) if len(at) else None], "counts": [pack(used[at])]}
 
     def shard(key, rows):
         parts, words = [], {}
@@ -232,10 +235,10 @@ def train(docs, text_col="text", strength=STRENGTH):
                     words[w] = words.get(w, 0) + n
         size_, data = fill(*_sum_equal(*(np.concatenate([p[i] for p in parts]).astype(t) for i, t in ((0, np.uint64), (1, np.int64)))))
         yield {"shard": [key[0]], "bits": [size_], "data": [data], "words": [pack_words(list(words)) if words else None],
-               "counts": [pack(np.array(list(words.values()), np.int64), False)], "tokens": [sum(words.values())], "distinct": [len(words)], "documents": [words.get(END, 0)]}
+               "counts": [pack(np.array(list(words.values()), np.int64))], "tokens": [sum(words.values())], "distinct": [len(words)], "documents": [words.get(END, 0)]}
 
-    counted = map_rows(docs, count, "shard int, data binary, words binary, counts binary")
-    built = map_groups(counted, ["shard"], [], shard, "shard int, bits long, data binary, words binary, counts binary, tokens long, distinct long, documents long")
+    parts = map_rows(docs, counted, "shard int, data binary, words binary, counts binary")
+    built = map_groups(parts, ["shard"], [], shard, "shard int, bits long, data binary, words binary, counts binary, tokens long, distinct long, documents long")
     built = stored(built, "lm-shards")
     total = built.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "documents")]).first()
     return Model(built.select("shard", "bits", "data", "words", "counts"), shards, bits, total["tokens"], total["distinct"], total["documents"], tuple(strength), size)
@@ -252,9 +255,9 @@ def _answers(parts, model, salts):
         for batch in batches:
             for r in batch.to_pylist():
                 block = Block.load(r["data"], r["words"])
-                keys = np.unique(block.grams(bits)[0])
+                keys = distinct(block.grams(bits)[0])
                 for s, a, b, at in _by_shard(block, keys, bits, shards):
-                    yield {"block": [r["block"]], "shard": [s], "data": [pack(keys[a:b])], "words": [pack_words([block.words[k] for k in at.tolist()]) if len(at) else None]}
+                    yield {"block": [r["block"]], "shard": [s], "data": [pack(keys[a:b], True)], "words": [pack_words([block.words[k] for k in at.tolist()]) if len(at) else None]}
 
     def answer(key, rows):
         size = data = None
@@ -267,7 +270,7 @@ def _answers(parts, model, salts):
             keys = unpack(r["data"])
             levels = probe(keys, size, data) if data else np.zeros(len(keys), np.uint8)
             counts = [known.get(w, 0) for w in unpack_words(r["words"])] if r["words"] is not None else []
-            yield {"block": [r["block"]], "part": [key[0]], "data": [pack_many(levels, np.array(counts, np.int64), ascending=False)]}
+            yield {"block": [r["block"]], "part": [key[0]], "data": [pack_many(levels, np.array(counts, np.int64))]}
 
     none = F.lit(None)
     asked = map_rows(parts.select("block", "data", "words"), ask, "block long, shard int, data binary, words binary")

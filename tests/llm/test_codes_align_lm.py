@@ -19,12 +19,13 @@ def test_packed_arrays():
     from cohortspark.llm.blocks import concat_ranges, pack, pack_many, unpack, unpack_many
 
     rng = np.random.default_rng(1)
-    for a in (np.array([2**64 - 1, 0, 7], np.uint64), np.array([-5, 2**31 - 1], np.int32), np.zeros(0, np.int64), rng.integers(0, 255, 1000, dtype=np.uint8)):
-        for ascending in (True, False):
-            b = unpack(pack(a, ascending))
-            assert b.dtype == a.dtype and (a == b).all()
-    x, y = unpack_many(pack_many(np.arange(5), np.array([1], np.uint16)))
-    assert x.tolist() == [0, 1, 2, 3, 4] and y.tolist() == [1] and unpack_many(pack_many()) == []
+    for a in (np.array([2**64 - 1, 0, 7], np.uint64), np.array([-5, 2**31 - 1], np.int32), np.zeros(0, np.int64), rng.integers(0, 255, 1000, dtype=np.uint8), np.array([-(2**63), 2**63 - 1])):
+        for ascending in (False, True):
+            b = unpack(pack(np.sort(a) if ascending else a, ascending))
+            assert b.dtype == a.dtype and (b == (np.sort(a) if ascending else a)).all()
+    assert len(pack(np.arange(10**6) * 3, True)) < 200
+    x, y = unpack_many(pack_many(np.arange(5), np.array([4, 1], np.uint16), ascending=1))
+    assert x.tolist() == [0, 1, 2, 3, 4] and y.tolist() == [4, 1] and unpack_many(pack_many()) == []
     assert concat_ranges([5, 1, 9], [2, 0, 3]).tolist() == [5, 6, 9, 10, 11]
 
 
