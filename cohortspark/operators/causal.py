@@ -2,18 +2,17 @@
 
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml import Pipeline
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from cohortspark.operators.joins import nearest_value_join
+from cohortspark.operators.joins import asof_prior, nearest_value_join
 from cohortspark.operators.lineage import durable
 from cohortspark.operators.logits import fit_logits
 from cohortspark.operators.models import fit_trees, score
-from cohortspark.operators.ordered import OrderedScan, bfill, ffill, lag, null_safe_join, row_number, running_sum
+from cohortspark.operators.ordered import OrderedScan, null_safe_join, row_number, running_sum
 
 
 def propensity(df, unit, arm, xs, name="propensity"):
@@ -36,104 +35,145 @@ def match_with_replacement(df, unit, arm, score_col, caliper):
         "treated_id", F.col("match_id").alias("control_id"), "treated_score", F.col("match_value").alias("control_score"), F.col("match_gap").alias("gap"))
 
 
-#: distinct scores of one independent cluster that a single task may settle
-CLUSTER_LIMIT = 10_000
+#: distinct scores one task settles at a time
+CELL_SCORES = 50_000
 
 
-def _settle_cluster(caliper):
-    """Mutual-nearest matching of one cluster of (score, units left) rows, the same rule as the distributed rounds."""
+def _settle_cell(caliper):
+    """Pairs of one cell of scores that are nearest to each other whatever happens outside, and what stays open.
+
+    Rows: score, units left (treated above, control below 0), units used, and the nearest treated and control scores
+    outside the cell (``_lt _lc _rt _rc``). Every score waits in a heap with its nearest live score of the other arm, by
+    gap, then by the lower score. When it is its turn, both are nearest to each other, unless one of them has a nearer
+    partner outside or waits for one that is open; then it is open too. Partners only become fewer, outside as well, so
+    what is settled holds. Scores without a partner in reach leave.
+    """
+    import heapq
+
+    inf = float("inf")
 
     def settle(pdf):
-        pdf = pdf.sort_values("_s")
-        s, nt, nc = pdf["_s"].to_numpy(), pdf["_nt"].to_numpy().copy(), pdf["_nc"].to_numpy().copy()
-        ut, uc = pdf["_ut"].to_numpy().copy(), pdf["_uc"].to_numpy().copy()
-        index, out = np.arange(len(s)), []
-
-        def nearest(alive):
-            """Index of the nearest live score per row within the caliper, else -1; the lower one on a tie."""
-            at = np.flatnonzero(alive)
-            if len(at) == 0:
-                return np.full(len(s), -1)
-            right = np.searchsorted(at, index, side="left")
-            lo = np.where(right < len(at), np.where(at[np.minimum(right, len(at) - 1)] == index, right, right - 1), right - 1)
-            before = np.where(lo >= 0, at[np.maximum(lo, 0)], -1)
-            after = np.where(right < len(at), at[np.minimum(right, len(at) - 1)], -1)
-            down = np.where(before >= 0, s - s[before], np.inf)
-            up = np.where(after >= 0, s[after] - s, np.inf)
-            pick = np.where(down <= up, before, after)
-            return np.where(np.minimum(down, up) <= caliper, pick, -1)
-
-        while True:
-            to_c, to_t = nearest(nc > 0), nearest(nt > 0)
-            asks = np.flatnonzero((nt > 0) & (to_c >= 0))
-            pairs = [(i, to_c[i]) for i in asks if to_t[to_c[i]] == i]
-            if not pairs:
-                break
-            for i, j in pairs:
-                n = min(nt[i], nc[j])
-                out.append((s[i], s[j], ut[i], uc[j], n))
-                nt[i], ut[i], nc[j], uc[j] = nt[i] - n, ut[i] + n, nc[j] - n, uc[j] + n
-        return pd.DataFrame(out, columns=["_ts", "_cs", "_ut", "_uc", "_n"])
+        pdf = pdf.sort_values("_s", ignore_index=True)
+        s, left = pdf["_s"].tolist(), pdf["_left"].tolist()
+        used = [pdf["_ut"].tolist(), pdf["_uc"].tolist()]
+        n = len(s)
+        # nearest live place of an arm (0 treated, 1 control) at or above, at or below a place: pointers that skip the dead
+        arm = [int(x < 0) for x in left]
+        up = [[k if arm[k] == side else k + 1 for k in range(n)] + [n] for side in (0, 1)]
+        down = [[0] + [k if arm[k - 1] == side else k - 1 for k in range(1, n + 1)] for side in (0, 1)]  # by place + 1
+
+        def find(pointers, k):
+            end = k
+            while pointers[end] != end:
+                end = pointers[end]
+            while pointers[k] != end:
+                pointers[k], k = end, pointers[k]
+            return end
+
+        def edge(name, missing):
+            value = pdf[name].iloc[0]
+            return missing if pd.isna(value) else float(value)
+
+        below = (edge("_lt", -inf), edge("_lc", -inf))
+        above = (edge("_rt", inf), edge("_rc", inf))
+
+        def nearest(k):
+            """(gap, lower score, place) of the nearest live score of the other arm in the cell; the lower one of two."""
+            side = 1 - arm[k]
+            lo, hi = find(down[side], k + 1) - 1, find(up[side], k)
+            low = s[k] - s[lo] if lo >= 0 else inf
+            high = s[hi] - s[k] if hi < n else inf
+            return (low, s[lo], lo) if low <= high and lo >= 0 else (high, s[k], hi)
+
+        def outside_first(k, gap, partner):
+            side = 1 - arm[k]
+            low, high = s[k] - below[side], above[side] - s[k]
+            return low < gap or high < gap or (low == gap and partner > k)
+
+        opened, out, heap = [False] * n, [], []
+
+        def wait(k):
+            gap, lower, j = nearest(k)
+            if gap <= caliper:
+                heapq.heappush(heap, (gap, lower, k, j))
+
+        for k in range(n):
+            wait(k)
+        while heap:
+            gap, _, i, j = heapq.heappop(heap)
+            if not left[i] or opened[i]:
+                continue
+            if not left[j]:
+                wait(i)
+                continue
+            if opened[j] or outside_first(i, gap, j) or outside_first(j, gap, i):
+                opened[i] = True
+                opened[j] = opened[j] or outside_first(j, gap, i)
+                continue
+            t, c = (i, j) if left[i] > 0 else (j, i)
+            units = min(left[t], -left[c])
+            out.append((True, s[t], s[c], used[0][t], used[1][c], units))
+            left[t], left[c] = left[t] - units, left[c] + units
+            used[0][t], used[1][c] = used[0][t] + units, used[1][c] + units
+            for k in (t, c):
+                if not left[k]:
+                    up[arm[k]][k], down[arm[k]][k + 1] = k + 1, k
+                else:
+                    wait(k)
+        for k in range(n):
+            side = 1 - arm[k]
+            if left[k] and min(nearest(k)[0], s[k] - below[side], above[side] - s[k]) <= caliper:
+                out.append((False, s[k], None, used[0][k], used[1][k], left[k]))
+        return pd.DataFrame(out, columns=["_paired", "_s", "_cs", "_ut", "_uc", "_left"])
 
     return settle
 
 
-def _nearest(before, after, caliper):
-    lower, upper = F.col("_s") - F.col(before), F.col(after) - F.col("_s")
-    pick = F.when(upper.isNull() | (lower <= upper), F.col(before)).otherwise(F.col(after))
-    return F.when(F.abs(pick - F.col("_s")) <= F.lit(float(caliper)), pick)
+def _cells_with_neighbours(state, cells):
+    """Rows by ranges of the score, each with the nearest scores of both arms outside its range."""
+    cut = durable(state.repartitionByRange(cells, "_s").withColumn("_cell", F.spark_partition_id()))
+    t, c = F.when(F.col("_left") > 0, F.col("_s")), F.when(F.col("_left") < 0, F.col("_s"))
+    edges = cut.groupBy("_cell").agg(F.max(t).alias("_xt"), F.max(c).alias("_xc"), F.min(t).alias("_nt"), F.min(c).alias("_nc"))
+    by = Window.partitionBy(F.lit(0))  # one row per cell
+    before = by.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    after = by.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select("_cell", F.last("_xt", True).over(before).alias("_lt"), F.last("_xc", True).over(before).alias("_lc"),
+                         F.last("_nt", True).over(after).alias("_rt"), F.last("_nc", True).over(after).alias("_rc"))
+    return cut.join(edges, "_cell")
 
 
 def match_without_replacement(df, unit, arm, score_col, caliper, hot_rows=None, cluster_limit=None):
-    """Greedy nearest 1:1 matching, each control used once.
+    """Greedy nearest 1:1 matching, each control used once; of equal gaps the pair with the lower score goes first.
 
-    The state is one row per distinct score with the treated and control units left. In every round each side of a
-    mutually nearest pair of scores gives up min(left, left) units at once, so ties of any size settle in one round.
-    Scores further apart than the caliper never meet, so the live scores fall into independent clusters; once the
-    largest has at most ``cluster_limit`` scores every cluster is settled in a task of its own. Until then the rounds
-    run distributed, with the state written out per round.
+    The state is one row per distinct score with the units its larger arm has left (equal scores pair off first, so ties
+    of any size are one step). In each round the scores are cut into ranges of about ``cluster_limit`` at most, and a task
+    contracts its range: every pair that is nearest to each other whatever happens outside is settled, chains of them to
+    their end. Only chains that lead over a border stay, so few rows are left for the next round, which cuts elsewhere.
+    The state is written out per round.
     """
-    cluster_limit = CLUSTER_LIMIT if cluster_limit is None else cluster_limit
+    cell_scores = CELL_SCORES if cluster_limit is None else cluster_limit
     base = df.filter(F.col(arm).isin(0, 1) & F.col(score_col).isNotNull()).select(
         F.col(unit).alias("_u"), F.col(arm).cast("int").alias("_a"), F.col(score_col).cast("double").alias("_s"))
     units = durable(OrderedScan(base, ["_a", "_s"], ["_u"], hot_rows=hot_rows).add(_k=row_number()).result())
-    state = durable(units.groupBy("_s").agg(F.count(F.when(F.col("_a") == 1, 1)).alias("_nt"), F.count(F.when(F.col("_a") == 0, 1)).alias("_nc"))
-                    .withColumns({"_ut": F.lit(0).cast("bigint"), "_uc": F.lit(0).cast("bigint")}))
-    rounds = []
-    while True:
-        scan = OrderedScan(state, [], ["_s"], hot_rows=hot_rows)
-        scan.derive(_tv=F.when(F.col("_nt") > 0, F.col("_s")), _cv=F.when(F.col("_nc") > 0, F.col("_s")))
-        scan.add(_prev=lag("_s"), _pt=ffill("_tv"), _ft=bfill("_tv"), _pc=ffill("_cv"), _fc=bfill("_cv"))
-        apart = F.col("_prev").isNull() | (F.col("_s") - F.col("_prev") > F.lit(float(caliper)))
-        near = durable(scan.derive(_new=F.when(apart, 1).otherwise(0)).add(_cluster=running_sum("_new")).result())
-        largest = near.groupBy("_cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n
-        if largest is None:
-            break
-        if largest <= cluster_limit:
-            live = near.select("_cluster", "_s", "_nt", "_nc", "_ut", "_uc")
-            rounds.append(durable(live.groupBy("_cluster").applyInPandas(
-                _settle_cluster(float(caliper)), "_ts double, _cs double, _ut long, _uc long, _n long")))
-            break
-        asks = near.filter(F.col("_nt") > 0).select(F.col("_s").alias("_ts"), _nearest("_pc", "_fc", caliper).alias("_cs"), "_nt", "_ut")
-        gives = near.filter(F.col("_nc") > 0).select(F.col("_s").alias("_cs"), _nearest("_pt", "_ft", caliper).alias("_ts"), "_nc", "_uc")
-        pairs = durable(asks.join(gives, ["_ts", "_cs"]).withColumn("_n", F.least("_nt", "_nc")).select("_ts", "_cs", "_ut", "_uc", "_n"))
-        if pairs.isEmpty():
-            break
-        rounds.append(pairs)
-        took_t = pairs.select(F.col("_ts").alias("_s"), F.col("_n").alias("_dt"))
-        took_c = pairs.select(F.col("_cs").alias("_s"), F.col("_n").alias("_dc"))
-        state = state.join(took_t, "_s", "left").join(took_c, "_s", "left")
-        dt, dc = F.coalesce("_dt", F.lit(0)), F.coalesce("_dc", F.lit(0))
-        state = state.select("_s", (F.col("_nt") - dt).alias("_nt"), (F.col("_nc") - dc).alias("_nc"), (F.col("_ut") + dt).alias("_ut"), (F.col("_uc") + dc).alias("_uc"))
-        state = durable(state.filter((F.col("_nt") > 0) | (F.col("_nc") > 0)))
-    spark = df.sparkSession
-    unit_type = df.schema[unit].dataType.simpleString()
-    if not rounds:
-        return spark.createDataFrame([], f"treated_id {unit_type}, control_id {unit_type}, treated_score double, control_score double, gap double")
-    pairs = reduce(lambda a, b: a.unionByName(b), rounds)
-    t = units.filter("_a = 1").join(pairs.withColumnRenamed("_ts", "_s"), "_s").filter((F.col("_k") > F.col("_ut")) & (F.col("_k") <= F.col("_ut") + F.col("_n")))
-    t = t.select(F.col("_u").alias("treated_id"), F.col("_s").alias("treated_score"), F.col("_cs").alias("control_score"),
-                 (F.col("_uc") + F.col("_k") - F.col("_ut")).alias("_k"))
+    counts = durable(units.groupBy("_s").agg(F.count(F.when(F.col("_a") == 1, 1)).alias("_nt"), F.count(F.when(F.col("_a") == 0, 1)).alias("_nc")))
+    same = F.least("_nt", "_nc")
+    settled = [counts.filter(same > 0).select("_s", F.col("_s").alias("_cs"), F.lit(0).cast("bigint").alias("_ut"), F.lit(0).cast("bigint").alias("_uc"), same.alias("_left"))]
+    state = counts.select("_s", (F.col("_nt") - F.col("_nc")).alias("_left"), same.alias("_ut"), same.alias("_uc")).filter("_left <> 0")
+    n, extra = state.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while n:
+        cells = -(-n // cell_scores) + extra
+        done = durable(_cells_with_neighbours(state, min(cells, n)).groupBy("_cell").applyInPandas(
+            _settle_cell(float(caliper)), "_paired boolean, _s double, _cs double, _ut long, _uc long, _left long"))
+        settled.append(done.filter("_paired").drop("_paired"))
+        state = done.filter("NOT _paired").select("_s", "_left", "_ut", "_uc")
+        before, n = n, state.count()
+        extra = 0 if n < before else extra + 1  # a border ran through the only pairs: cut elsewhere
+        extra = 0 if n <= cell_scores else extra
+    pairs = reduce(lambda a, b: a.unionByName(b), settled).withColumnRenamed("_left", "_n")
+    # a score's units are numbered; a pair of scores takes the numbers after those used before it
+    t = asof_prior(units.filter("_a = 1"), pairs, "_s", "_k", "_ut", ["_ut", "_cs", "_uc", "_n"], hot_rows=hot_rows).filter(F.col("_k") <= F.col("prior__ut") + F.col("prior__n"))
+    t = t.select(F.col("_u").alias("treated_id"), F.col("_s").alias("treated_score"), F.col("prior__cs").alias("control_score"),
+                 (F.col("prior__uc") + F.col("_k") - F.col("prior__ut")).alias("_k"))
     c = units.filter("_a = 0").select(F.col("_s").alias("control_score"), "_k", F.col("_u").alias("control_id"))
     return t.join(c, ["control_score", "_k"]).select("treated_id", "control_id", "treated_score", "control_score",
                                                       F.abs(F.col("treated_score") - F.col("control_score")).alias("gap"))

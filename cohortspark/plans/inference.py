@@ -339,6 +339,19 @@ q("m18_match_with_replacement", lambda t: CI.psm_match(_modelled(t), "c_custkey"
 WITH {_MODELLED}, w AS (SELECT 0.001 * stddev_samp(c_acctbal) AS cal FROM md),
 p AS (SELECT t.c_custkey AS treated_id, c.c_custkey AS control_id, abs(t.c_acctbal - c.c_acctbal) AS gap, row_number() OVER (PARTITION BY t.c_custkey ORDER BY round(abs(t.c_acctbal - c.c_acctbal), 6), c.c_acctbal, c.c_custkey) AS rn FROM md t, md c WHERE t.a = 1 AND c.a = 0)
 SELECT treated_id, control_id, gap FROM p, w WHERE rn = 1 AND gap <= cal""", "gap")
+
+def _whole_scores(t):
+    return _modelled(t).select("c_custkey", "a", F.floor(F.col("c_acctbal") / 5).alias("s"))
+
+
+# greedy over all pairs within reach in order of gap, lower score and ids; one row of the recursion per pair
+q("m18_match_whole_scores", lambda t: CI.match_without_replacement(_whole_scores(t), "c_custkey", "a", "s", 1.0, cluster_limit=100).select("treated_id", "control_id", "gap"), f"""
+WITH RECURSIVE {_MODELLED}, sc AS (SELECT c_custkey AS id, a, floor(c_acctbal / 5) AS s FROM md),
+p AS (SELECT t.id AS t, c.id AS c, abs(t.s - c.s) AS gap, row_number() OVER (ORDER BY abs(t.s - c.s), least(t.s, c.s), t.id, c.id) AS r FROM sc t JOIN sc c ON t.a = 1 AND c.a = 0 AND abs(t.s - c.s) <= 1),
+g AS (SELECT 0 AS r, CAST([] AS BIGINT[]) AS ts, CAST([] AS BIGINT[]) AS cs, false AS took
+  UNION ALL SELECT p.r, CASE WHEN free THEN list_append(ts, t) ELSE ts END, CASE WHEN free THEN list_append(cs, c) ELSE cs END, free
+  FROM (SELECT g.r + 1 AS n, ts, cs FROM g) JOIN p ON p.r = n, LATERAL (SELECT NOT list_contains(ts, t) AND NOT list_contains(cs, c) AS free))
+SELECT t AS treated_id, c AS control_id, CAST(gap AS DOUBLE) AS gap FROM g JOIN p ON g.r = p.r WHERE took""")
 q("m18_match_without_replacement", lambda t: CI.psm_match(_modelled(t), "c_custkey", "a", XS))
 q("m18_match_balance", lambda t: ST.balance(_modelled(t).join(
     CI.psm_match(_modelled(t), "c_custkey", "a", XS).select(F.explode(F.array("treated_id", "control_id")).alias("c_custkey")), "c_custkey"), "a", 1, 0, XS))
