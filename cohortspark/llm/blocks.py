@@ -4,6 +4,7 @@ A block is what one task reads at a time (a bounded stretch of rows). What the c
 and part as one packed array instead of one row per value, and answers come back the same way."""
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,20 @@ BLOCK_BYTES = 4_000_000
 _HEAD = struct.Struct("<3s3s?QQ")
 
 
+@lru_cache(maxsize=None)
+def _zstd():
+    """One compressor and decompressor per process: making them costs more than a small frame."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def squeeze(data):
+    return _zstd()[0].compress(data)
+
+
+def unsqueeze(data):
+    return _zstd()[1].decompress(bytes(data))
+
+
 def pack(values, ascending=False):
     """Zstandard frame of an array of integers, byte planes apart. ``ascending``: they are in order, so their differences
     are stored, in as few bytes as the largest of them needs."""
@@ -30,14 +45,14 @@ def pack(values, ascending=False):
         width = next(w for w in (1, 2, 4, 8) if w == 8 or int(values.max(initial=0)) >> 8 * w == 0)
         values = values.astype(f"<u{width}")
     planes = values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T
-    return _HEAD.pack(kind.str.encode(), values.dtype.str.encode(), ascending, n, first) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _HEAD.pack(kind.str.encode(), values.dtype.str.encode(), ascending, n, first) + squeeze(planes.tobytes())
 
 
 def unpack(data):
     data = bytes(data)
     kind, held, ascending, n, first = _HEAD.unpack_from(data)
     kind, held = np.dtype(kind.decode()), np.dtype(held.decode())
-    raw = zstandard.ZstdDecompressor().decompress(data[_HEAD.size:])
+    raw = unsqueeze(data[_HEAD.size:])
     planes = np.frombuffer(raw, np.uint8).reshape(held.itemsize, len(raw) // held.itemsize)
     values = np.ascontiguousarray(planes.T).reshape(-1).view(held)
     if not ascending or not n:

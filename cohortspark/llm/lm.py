@@ -27,10 +27,9 @@ from itertools import count
 
 import numpy as np
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cohortspark.llm.blocks import block_ids, distinct, map_groups, map_rows, pack, pack_many, text_bytes, unpack, unpack_many
+from cohortspark.llm.blocks import block_ids, distinct, map_groups, map_rows, pack, pack_many, squeeze, text_bytes, unpack, unpack_many, unsqueeze
 from cohortspark.llm.common import row_chunks, stored
 from cohortspark.llm.tokens import mix
 
@@ -117,11 +116,11 @@ class Block:
 
 
 def pack_words(words):
-    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+    return squeeze(b"\n".join(words))
 
 
 def unpack_words(data):
-    return zstandard.ZstdDecompressor().decompress(bytes(data)).split(b"\n")
+    return unsqueeze(data).split(b"\n")
 
 
 def _join(left, right):
@@ -317,7 +316,7 @@ def score(docs, model, text_col="text"):
     struct = T.StructType([T.StructField("block", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("words", T.BinaryType()), *lists])
     size = text_bytes(docs)
     parts = stored(map_rows(docs, cut, struct), "lm-blocks")
-    answers = _answers(parts, model, max(1, round(size / max(1, model.text_bytes))))
+    answers = stored(_answers(parts, model, max(1, round(size / max(1, model.text_bytes)))), "lm-answers")
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in struct.fields[2:]]
     rows = parts.withColumn("part", F.lit(-1)).unionByName(answers.select("block", "part", "data", *blank))
 
