@@ -1,11 +1,9 @@
 """Enrichment, window, as-of, SCD, proximity and text joins. No operator here builds a Cartesian product."""
 
-import math
-
-import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from cohortspark.functions.exprs import boundary_diff, classify, micros
+from cohortspark.operators.lineage import durable
 from cohortspark.operators.ordered import HOT_ROWS, OrderedScan, bfill, ffill, hot_keys, null_safe_join, running_max
 
 
@@ -250,139 +248,157 @@ def device_user_map(events, device, user, ts):
 
 # ---------------------------------------------------------------- text joins
 
-#: aligned block lengths, and lengths of the leading characters of shorter patterns
+#: lengths of the blocks texts are cut into, and of the grams of patterns too short for those
 _BLOCKS = (12, 8, 6)
-_LEADS = (8, 6, 4, 3, 2, 1)
-#: grams matched inside the row at most
-_MAX_SET = 10_000
-#: short patterns searched directly at most
-_FEW = 64
+_SHORT = (8, 6, 4, 3, 2, 1)
 
 
 def contains_join(a, b, id_a, col_a, col_b):
     """Rows of a whose text contains (any letter case) the text of some row of b.
 
-    A pattern of 2n - 1 or more characters covers a whole aligned block of n characters wherever it occurs, so such
-    texts are only cut into aligned blocks and the pattern lists the blocks it can cover; short patterns are looked up
-    by their leading characters at every position, or searched directly while they are few. Up to ``_MAX_SET`` grams
-    are matched inside the row; more are matched by an equi join on the gram with the row id only. The whole pattern
-    is then checked on the whole text.
+    Texts are cut into blocks of n characters. Wherever a pattern of 2n - 1 or more characters occurs, some of its grams
+    of n characters are whole blocks: all those at places of one remainder modulo n. So for every remainder the pattern
+    is indexed by the gram there that the fewest texts hold, or not at all if no text holds one of them. Patterns too
+    short for blocks are indexed by their rarest gram among all grams of the texts. Only texts that hold such a gram
+    are searched for the whole pattern.
     """
     pats = b.select(F.lower(F.col(col_b)).alias("_p")).filter(F.col("_p").isNotNull()).distinct()
     size = F.length("_p")
-    block = classify([(size >= 2 * n - 1, n) for n in _BLOCKS], 0)
-    lead = classify([(size >= n, n) for n in _LEADS], 0)
-    pats = pats.withColumns({"_aligned": (block > 0).cast("int"), "_n": F.when(block > 0, block).otherwise(lead)})
-    n_short = pats.filter("_aligned = 0").count()
-    texts = a.select(F.col(id_a).alias("_id"), F.lower(F.col(col_a)).alias("_t"))
-    short_hits = None
-    if 0 < n_short <= _FEW:  # a handful of short patterns is searched directly in each text
-        few = texts.withColumn("_few", pats.filter("_aligned = 0").agg(F.collect_list("_p").alias("s")).scalar())
-        short_hits = few.filter(F.exists("_few", lambda p: F.contains(F.col("_t"), p))).select(F.col("_id").alias(id_a))
-        pats = pats.filter("_aligned = 1")
-    offsets = F.sequence(F.lit(1), F.when(F.col("_aligned") == 1, F.col("_n")).otherwise(1))
-    pats = pats.withColumn("_g", F.explode(F.array_distinct(F.transform(offsets, lambda i: F.col("_p").substr(i, F.col("_n"))))))
-    kinds = pats.groupBy("_aligned", "_n").agg(F.count_distinct("_g").alias("n")).collect()  # one row per gram length
-    if any(k["_n"] == 0 for k in kinds):
-        return a.filter(F.col(col_a).isNotNull())
-    found = None
-    for k in kinds:
-        n = k["_n"]
-        # the look-ahead yields every substring of length n, the plain pattern the aligned blocks
-        cut = F.regexp_extract_all("_t", F.lit(f"(?s)(.{{{n}}})" if k["_aligned"] else f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        mine = pats.filter((F.col("_n") == n) & (F.col("_aligned") == k["_aligned"]))
-        if k["n"] <= _MAX_SET:
-            cut = F.array_intersect(cut, mine.agg(F.collect_set("_g").alias("s")).scalar())
-        else:
-            cut = F.array_distinct(cut)
-        part = texts.select("_id", F.explode(cut).alias("_g")).join(mine.select("_g", "_p"), "_g").select("_id", "_p")
-        found = part if found is None else found.unionByName(part)
-    if found is None and short_hits is None:
+    block, short = classify([(size >= 2 * n - 1, n) for n in _BLOCKS], 0), classify([(size >= n, n) for n in _SHORT], 0)
+    pats = durable(pats.withColumns({"_pid": F.monotonically_increasing_id(), "_blocks": block > 0, "_n": F.when(block > 0, block).otherwise(short)}))
+    kinds = [(r["_blocks"], r["_n"]) for r in pats.select("_blocks", "_n").distinct().collect()]  # one row per gram length
+    if not kinds:
         return a.limit(0)
-    hits = short_hits
-    if found is not None:
-        hits = found.distinct().join(texts, "_id").filter(F.contains("_t", "_p")).select(F.col("_id").alias(id_a))
-        hits = hits if short_hits is None else hits.unionByName(short_hits)
-    hits = hits.distinct()
+    if any(n == 0 for _, n in kinds):  # the empty text is in every text
+        return a.filter(F.col(col_a).isNotNull())
+    places = F.transform(F.sequence(F.lit(0), size - F.col("_n")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.col("_p").substr(i + 1, F.col("_n"))).alias("g")))
+    grams = pats.select("_pid", "_blocks", "_n", F.explode(places).alias("x"))
+    grams = durable(grams.select("_pid", "_blocks", "_n", "x.i", F.col("x.g").alias("_g"), F.when(F.col("_blocks"), F.col("x.i") % F.col("_n")).otherwise(0).alias("_rest")))
+    texts = a.select(F.col(id_a).alias("_id"), F.lower(F.col(col_a)).alias("_t")).filter(F.col("_t").isNotNull())
+    held = None
+    for blocks, n in kinds:
+        # a look-ahead yields every substring of length n, the plain pattern the blocks
+        cut = F.regexp_extract_all("_t", F.lit(f"(?s)(.{{{n}}})" if blocks else f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        known = grams.filter((F.col("_n") == n) & (F.col("_blocks") == blocks)).select("_g").distinct()
+        part = texts.select("_id", F.explode(F.array_distinct(F.transform(cut, lambda g: F.xxhash64(g)))).alias("_g")).join(known, "_g")
+        part = part.select("_id", F.lit(blocks).alias("_blocks"), F.lit(n).alias("_n"), "_g")
+        held = part if held is None else held.unionByName(part)
+    held = durable(held)
+    spread = held.groupBy("_blocks", "_n", "_g").agg(F.count(F.lit(1)).alias("_texts"))
+    ranked = grams.join(spread, ["_blocks", "_n", "_g"], "left").withColumn("_texts", F.coalesce("_texts", F.lit(0)))
+    index = ranked.groupBy("_pid", "_blocks", "_n", "_rest").agg(F.min(F.struct("_texts", "i", "_g")).alias("_r")).filter("_r._texts > 0")
+    found = held.join(index.select("_pid", "_blocks", "_n", F.col("_r._g").alias("_g")), ["_blocks", "_n", "_g"]).select("_id", "_pid").distinct()
+    hits = found.join(pats.select("_pid", "_p"), "_pid").join(texts, "_id").filter(F.contains("_t", "_p")).select(F.col("_id").alias(id_a)).distinct()
     return a.join(hits, id_a, "left_semi")
 
 
-def jaro_winkler_value(s, t):
-    """Jaro-Winkler similarity in 0..1 (prefix weight 0.1, up to 4 characters, for Jaro above 0.7)."""
-    if not s and not t:
-        return 1.0
-    if not s or not t:
-        return 0.0
-    reach = max(max(len(s), len(t)) // 2 - 1, 0)
-    used, seq = [False] * len(t), []
-    for i, ch in enumerate(s):
-        j = t.find(ch, max(0, i - reach), i + reach + 1)
-        while j != -1 and used[j]:
-            j = t.find(ch, j + 1, i + reach + 1)
-        if j != -1:
-            used[j] = True
-            seq.append(ch)
-    m = len(seq)
-    if m == 0:
-        return 0.0
-    other = [ch for ch, u in zip(t, used) if u]
-    swaps = sum(x != y for x, y in zip(seq, other)) // 2
-    jaro = (m / len(s) + m / len(t) + (m - swaps) / m) / 3.0
-    if jaro <= 0.7:
-        return jaro
-    same = 0
-    while same < min(4, len(s), len(t)) and s[same] == t[same]:
-        same += 1
-    return jaro + same * 0.1 * (1.0 - jaro)
-
-
-@F.pandas_udf(T.LongType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity as a whole number 0..100."""
-    return pd.Series([None if x is None or y is None else int(math.floor(jaro_winkler_value(x, y) * 100 + 0.5))
-                      for x, y in zip(a, b)], dtype="Int64")
+# Fixed value: a character no text has a use for marks what is taken.
+_TAKEN = "\uffff"
+
+
+def _chars(text):
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def jaro_winkler(a, b):
+    """Jaro-Winkler similarity as a whole number 0..100 (prefix weight 0.1, up to 4 characters, for Jaro above 0.7), as
+    one column expression. NULL if a text is NULL."""
+    s, t = _column(a), _column(b)
+    n, m = F.length(s), F.length(t)
+    reach = F.greatest(F.floor(F.greatest(n, m) / 2) - 1, F.lit(0)).cast("int")
+
+    def take(acc, ch):
+        # the first free equal character within reach; it is struck out in the rest of the text
+        low = F.greatest(acc["i"] - reach, F.lit(1))
+        at = F.instr(acc["free"].substr(low, acc["i"] + reach - low + 1), ch)
+        place = low + at - 1
+        free = F.when(at > 0, F.concat(acc["free"].substr(F.lit(1), place - 1), F.lit(_TAKEN), acc["free"].substr(place + 1, m))).otherwise(acc["free"])
+        return F.struct(free.alias("free"), F.when(at > 0, F.concat(acc["seq"], ch)).otherwise(acc["seq"]).alias("seq"), (acc["i"] + 1).alias("i"))
+
+    start = F.struct(t.alias("free"), F.lit("").alias("seq"), F.lit(1).alias("i"))
+    same = [F.least(n, m) >= k for k in range(1, 5)]
+    for k in range(4):
+        same[k] = same[k] & (s.substr(1, k + 1) == t.substr(1, k + 1))
+    prefix = sum((F.when(x, 1).otherwise(0) for x in same), F.lit(0))
+
+    def value(r):
+        hits = F.length(r["seq"])
+        other = F.filter(_chars(t), lambda c, i: r["free"].substr(i + 1, F.lit(1)) == F.lit(_TAKEN))
+        swaps = F.floor(F.size(F.filter(F.zip_with(_chars(r["seq"]), other, lambda x, y: x != y), lambda d: d)) / 2)
+        jaro = F.when(hits == 0, 0.0).otherwise((hits / n + hits / m + (hits - swaps) / hits) / 3.0)
+        jaro = F.when((n == 0) & (m == 0), 1.0).otherwise(jaro)
+        return F.floor(F.when(jaro > 0.7, jaro + prefix * 0.1 * (1.0 - jaro)).otherwise(jaro) * 100 + 0.5).cast("long")
+
+    return F.when(s.isNotNull() & t.isNotNull(), F.transform(F.array(F.aggregate(_chars(s), start, take)), value)[0])
+
+
+def _column(x):
+    return F.col(x) if isinstance(x, str) else x
 
 
 # Letters from rare to common, so that shared rare letters decide first.
 _COMMON_LAST = "zqxjkvbpygfwmucldrhsnioate "
 
 
-def fuzzy_join(a, b, col_a, col_b, threshold=90, score="similarity"):
-    """Pairs of distinct lower-case texts with Jaro-Winkler >= threshold, joined to both sides.
+def _signatures(df, name, mine, longest, tau):
+    """One row per key of a text; mine is the side (0 or 1) whose length comes first in the pair of lengths.
 
-    A score of at least tau needs a Jaro of (tau - 0.4) / 0.6, hence a minimum number of shared characters for each
-    pair of lengths. Two texts with that many shared characters must agree on one of the few rarest characters of
-    each (prefix filter), which together with both lengths forms the equi key. Exact: nothing above the threshold
-    is missed.
+    For every common beginning of l = 0..4 characters a score of tau asks for a Jaro of (tau - l / 10) / (1 - l / 10),
+    hence for so many shared characters given both lengths. Texts that share m characters share the q first of them, in
+    one order of all characters, within their first (length - m + q): any q of those are a key, with the beginning and
+    both lengths. Where the character occurs once, its place goes along.
     """
-    tau = ((threshold - 0.5) / 100.0 - 0.4) / 0.6
-    need = 3.0 * tau - 1.0  # shared / len_a + shared / len_b must reach this
-    if need <= 1.01:
-        raise ValueError("threshold too low for an exact filter")
+    n = F.col(f"{name}_n")
+    out = None
+    for beginning in range(5):
+        jaro = tau if tau <= 0.7 else max(0.7, (tau - 0.1 * beginning) / (1 - 0.1 * beginning))
+        need = 3.0 * jaro - 1.0  # shared / own length + shared / other length
+        low = F.ceil(n * F.lit(need - 1.0) - F.lit(1e-9)) if need > 1 else F.lit(1)
+        high = F.least(F.floor(n / F.lit(need - 1.0) + F.lit(1e-9)), longest) if need > 1.0001 else longest
+        low = F.greatest(low, F.lit(max(1, beginning))).cast("int")
+        keys = df.filter((n >= beginning) & (low <= high)).withColumn("_m", F.explode(F.sequence(low, high.cast("int"))))
+        shared = F.greatest(F.ceil(F.lit(need) / (F.lit(1.0) / n + F.lit(1.0) / F.col("_m")) - F.lit(1e-9)), F.lit(1)).cast("int")
+        keys = keys.withColumn("_shared", shared).filter(F.col("_shared") <= F.least(n, F.col("_m")))
+        keys = keys.withColumn("_q", F.least(F.lit(3 if beginning == 0 else 2), F.col("_shared")))
+        keys = keys.withColumn("_first", F.slice(f"{name}_tok", F.lit(1), n - F.col("_shared") + F.col("_q")))
+        rest = lambda i: F.slice("_first", i + 2, F.size("_first"))
+        ones = F.transform("_first", lambda x: F.array(x))
+        twos = F.flatten(F.transform("_first", lambda x, i: F.transform(rest(i), lambda y: F.array(x, y))))
+        threes = F.flatten(F.transform("_first", lambda x, i: F.flatten(F.transform(rest(i), lambda y, j: F.transform(F.slice("_first", i + j + 3, F.size("_first")), lambda z: F.array(x, y, z))))))
+        sets = F.when(F.col("_q") == 1, ones).when(F.col("_q") == 2, twos).otherwise(threes)
+        lengths = (n, F.col("_m")) if mine == 0 else (F.col("_m"), n)
+        keys = keys.withColumn("_set", F.explode(sets))
+        key = F.xxhash64(F.lit(beginning), F.col(name).substr(1, beginning), *[x.cast("int") for x in lengths], F.transform("_set", lambda x: x["t"]))
+        keys = keys.select(name, key.alias("_key"), F.transform("_set", lambda x: x["p"]).alias(f"{name}_at"), F.greatest(F.floor(F.greatest(*lengths) / 2) - 1, F.lit(0)).alias("_reach"))
+        out = keys if out is None else out.unionByName(keys)
+    return out
+
+
+def fuzzy_candidates(a, b, col_a, col_b, threshold=90):
+    """Pairs (_a, _b) of distinct lower-case texts that can reach the threshold; none that does is missed."""
+    tau = (threshold - 0.5) / 100.0
+    if tau <= 0:
+        raise ValueError("the threshold must be positive")
 
     def bag(df, column, name):
         text = df.select(F.lower(F.col(column)).alias(name)).filter(F.length(name) > 0).distinct()
-        # (character, occurrence) tokens in rare-first order
-        chars = F.filter(F.split(F.col(name), ""), lambda c: c != "")
-        coded = F.array_sort(F.transform(chars, lambda c: F.concat(
-            F.lpad(F.instr(F.lit(_COMMON_LAST), c).cast("string"), 2, "0"), c)))
-        numbered = F.transform(coded, lambda c, i: F.concat(
-            c, F.lit("#"), F.size(F.filter(F.slice(coded, 1, i + 1), lambda d: d == c)).cast("string")))
-        return text.select(name, F.length(name).alias(f"{name}_n"), numbered.alias(f"{name}_tok"))
-
-    left, right = bag(a, col_a, "_a"), bag(b, col_b, "_b")
-
-    def keys(df, name, order):
-        n = F.col(f"{name}_n")
-        low, high = F.ceil(n * F.lit(need - 1.0) - F.lit(1e-9)), F.floor(n / F.lit(need - 1.0) + F.lit(1e-9))
-        df = df.withColumn("_m", F.explode(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1)))))
-        shared = F.ceil(F.lit(need) / (F.lit(1.0) / n + F.lit(1.0) / F.col("_m")) - F.lit(1e-9))
-        df = df.filter(shared <= F.least(n, F.col("_m")))
-        prefix = F.slice(F.col(f"{name}_tok"), F.lit(1), (n - shared + 1).cast("int"))
-        pair = (n, F.col("_m")) if order else (F.col("_m"), n)
-        return df.select(name, F.explode(prefix).alias("_tok"), pair[0].cast("bigint").alias("_la"), pair[1].cast("bigint").alias("_lb"))
-
-    cand = keys(left, "_a", True).join(keys(right, "_b", False), ["_tok", "_la", "_lb"])
-    pairs = cand.select("_a", "_b").distinct().withColumn(score, jaro_winkler("_a", "_b")).filter(F.col(score) >= threshold)
+        chars = _chars(F.col(name))
+        count = lambda c: F.size(F.filter(chars, lambda d: d == c))
+        # (character and which of its occurrences, place if it is the only one), rare characters first
+        coded = F.transform(chars, lambda c, i: F.struct(
+            F.concat(F.lpad(F.instr(F.lit(_COMMON_LAST), c).cast("string"), 2, "0"), c, F.lit("#"), F.lpad(F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).cast("string"), 6, "0")).alias("t"),
+            F.when(count(c) == 1, i).alias("p")))
+        return text.select(name, F.length(name).alias(f"{name}_n"), F.array_sort(coded).alias(f"{name}_tok"))
+
+    left, right = durable(bag(a, col_a, "_a")), durable(bag(b, col_b, "_b"))
+    longest = [F.lit(x.agg(F.max(f"{n}_n").alias("n")).first()["n"] or 0) for x, n in ((left, "_a"), (right, "_b"))]
+    pairs = _signatures(left, "_a", 0, longest[1], tau).join(_signatures(right, "_b", 1, longest[0], tau).drop("_reach"), "_key")
+    near = F.forall(F.zip_with("_a_at", "_b_at", lambda x, y: F.abs(x - y)), lambda d: d.isNull() | (d <= F.col("_reach")))
+    return pairs.filter(near).select("_a", "_b").distinct()
+
+
+def fuzzy_join(a, b, col_a, col_b, threshold=90, score="similarity"):
+    """Pairs of distinct lower-case texts with Jaro-Winkler >= threshold, joined to both sides."""
+    pairs = fuzzy_candidates(a, b, col_a, col_b, threshold).withColumn(score, jaro_winkler("_a", "_b")).filter(F.col(score) >= threshold)
     out = a.withColumn("_a", F.lower(F.col(col_a))).join(pairs, "_a")
     return out.join(b.withColumn("_b", F.lower(F.col(col_b))), "_b").drop("_a", "_b")

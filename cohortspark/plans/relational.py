@@ -43,6 +43,10 @@ q("j09_anti_join", lambda t: J.anti_join(t("customer"), t("orders").filter("o_to
 q("j10_contains_join", lambda t: J.contains_join(t("documents"), t("benchmark").select(F.split_part("text", F.lit("."), F.lit(1)).alias("needle")), "doc_id", "text", "needle").select("doc_id", "lang"),
   "SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(lower(d.text), lower(split_part(b.text, '.', 1))))")
 
+# whole benchmark texts as patterns
+q("j10_contains_whole_items", lambda t: J.contains_join(t("documents"), t("benchmark"), "doc_id", "text", "text").select("doc_id", "lang"),
+  "SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(lower(d.text), lower(b.text)))")
+
 
 def _buys(t):
     return t("events").filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("buy_ts"), F.col("event_id").alias("buy_id"))
