@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.exprs import classify, plus
 from cohortspark.operators.aggs import distinct_entities, union_sources
-from cohortspark.operators.joins import window_join
-from cohortspark.operators.ordered import OrderedScan, lag, lead, row_number
+from cohortspark.operators.joins import spread_join, window_join
+from cohortspark.operators.ordered import OrderedScan, lag, lead, null_safe_join, row_number, running_sum
 from cohortspark.operators.windows import first_per
 
 #: default day buckets since the start: whole weeks of seven days
@@ -101,20 +101,28 @@ def period_flags(df, unit, month_no, months):
     return df.groupBy(unit).agg(*[F.max(F.when(F.col(month_no) == k, 1).otherwise(0)).alias(f"m{k}") for k in months])
 
 
-def rolling_active(entities, activity, unit, by, day, start, end, window=28):
+def rolling_active(entities, activity, unit, by, day, start, end, window=28, hot_rows=None):
     """Entities active in the ``window`` days before each date, by group.
 
-    Each activity day marks the dates it covers (at most ``window`` rows), so entities are never crossed with dates.
+    A unit's days are merged to stretches without a gap: a day adds one where no other covers the day after it, and
+    takes one away where its cover ends and no later day goes on. So every activity day is two rows at most, whatever
+    the window, and a sweep over the dates adds them up.
     """
-    days = activity.select(unit, F.to_date(day).alias("_d")).distinct()
+    days = activity.filter(F.col(unit).isNotNull()).select(unit, F.to_date(day).alias("_d")).filter(F.col("_d").isNotNull()).distinct()
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
-    first, last = F.greatest(F.date_add("_d", 1), lo), F.least(F.date_add("_d", window), hi)
-    covered = days.filter(first <= last).select(unit, F.explode(F.sequence(first, last)).alias("analysis_date")).distinct()
+    near = OrderedScan(days, [unit], ["_d"], hot_rows=hot_rows).add(_p=lag("_d"), _n=lead("_d")).result()
+    begins = F.col("_p").isNull() | (F.datediff("_d", "_p") > window)
+    ends = F.col("_n").isNull() | (F.datediff("_n", "_d") > window)
+    step = lambda when, after, by_: F.when(when, F.struct(F.greatest(F.date_add("_d", after), lo).alias("day"), F.lit(by_).alias("step")))
+    steps = near.select(unit, F.explode(F.array_compact(F.array(step(begins, 1, 1), step(ends, window + 1, -1)))).alias("x"))
+    steps = steps.select(unit, F.col("x.day").alias("analysis_date"), "x.step").filter(F.col("analysis_date") <= hi)
     groups = entities.select(unit, *by).distinct()
-    active = covered.join(groups, unit).groupBy("analysis_date", *by).agg(F.count(F.lit(1)).alias("active"))
+    changes = steps.join(groups, unit).withColumnRenamed("step", "_step")
     sizes = groups.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
     grid = sizes.withColumn("analysis_date", F.explode(F.sequence(lo, hi)))
-    out = grid.join(active, ["analysis_date", *by], "left").withColumn("active", F.coalesce("active", F.lit(0)))
+    moves = changes.groupBy("analysis_date", *by).agg(F.sum("_step").alias("_step")).filter("_step <> 0")
+    out = null_safe_join(grid, moves, ["analysis_date", *by]).withColumn("_step", F.coalesce("_step", F.lit(0)))
+    out = OrderedScan(out, list(by), ["analysis_date"]).add(active=running_sum("_step")).result()
     return out.withColumn("active_rate", F.col("active") / F.col("total")).select("analysis_date", *by, "total", "active", "active_rate")
 
 
@@ -151,10 +159,10 @@ def population_overlap(a, b, unit, by=()):
     return out.withColumn("share_of_a", F.col("n_both") / F.nullif(F.col("n_a"), F.lit(0)))
 
 
-def sessions_before_first(sessions, conversions, unit, start, conv_ts):
+def sessions_before_first(sessions, conversions, unit, start, conv_ts, hot_rows=None):
     """Sessions up to the unit's first conversion, split by same day or earlier days."""
     first = conversions.groupBy(unit).agg(F.min(conv_ts).alias("_first"))
-    upto = sessions.join(first, unit).filter(F.col(start) <= F.col("_first"))
+    upto = spread_join(sessions, first, unit, "inner", hot_rows).filter(F.col(start) <= F.col("_first"))
     same = F.to_date(start) == F.to_date("_first")
     return upto.groupBy(unit).agg(F.count(F.when(same, 1)).alias("same_day_sessions"), F.count(F.when(~same, 1)).alias("earlier_sessions"))
 

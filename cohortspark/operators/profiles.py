@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.exprs import boundary_diff, classify, ilike_any, plus, safe_div, time_slice
 from cohortspark.operators.aggs import mode_of, percentiles, top_n_array
-from cohortspark.operators.joins import lookback_join
-from cohortspark.operators.ordered import OrderedScan, lag
+from cohortspark.operators.joins import spread_join
+from cohortspark.operators.ordered import OrderedScan, key_sum, lag, running_max, running_min, running_sum
 from cohortspark.operators.windows import first_per, ranks, streaks
 
 
@@ -88,43 +88,64 @@ def favorites(orders, key, category, merchant, dow, meal, n_categories=3, n_merc
             .join(mode_of(orders, [key], dow, "usual_dow"), key).join(mode_of(orders, [key], meal, "usual_meal"), key))
 
 
-def lookback_features(snapshots, events, unit, snap, ts, windows, metrics):
-    """``<metric>_<w>d`` over the w days before each snapshot day; ``metrics`` = {name: (agg, value or None, condition or None)}."""
-    inside = lookback_join(snapshots.select(unit, snap).distinct(), events.withColumnRenamed(ts, "_ts"), unit, snap, "_ts", max(windows))
-    age = F.datediff(F.to_date(snap), F.to_date("_ts"))
-    aggs = []
+def lookback_features(snapshots, events, unit, snap, ts, windows, metrics, hot_rows=None):
+    """``<metric>_<w>d`` over the w days before each snapshot day; ``metrics`` = {name: (agg, value or None, condition or
+    None)} with count, sum or avg. NULL where the unit has no event in the longest window.
+
+    Events fold to days and are summed up once per unit; a snapshot reads the running totals at the start of each window
+    and at its end, so no snapshot is paired with events.
+    """
+    unknown = {kind for kind, _, _ in metrics.values()} - {"count", "sum", "avg"}
+    if unknown:
+        raise ValueError(f"running totals do not give {sorted(unknown)}")
+    folds = {"_n": F.count(F.lit(1))}
+    for i, (_, value, cond) in enumerate(metrics.values()):
+        x = F.lit(1) if value is None else F.col(value)
+        x = x if cond is None else F.when(cond, x)
+        folds[f"_n{i}"] = F.count(x)
+        folds[f"_s{i}"] = F.sum(x.cast("double") if value is None else x)
+    days = events.filter(F.col(unit).isNotNull()).groupBy(unit, F.to_date(ts).alias("_day")).agg(*[e.alias(n) for n, e in folds.items()]).filter(F.col("_day").isNotNull())
+    points = snapshots.select(unit, snap).filter(F.col(unit).isNotNull() & F.col(snap).isNotNull()).distinct()
+    places = F.array(*[F.struct(F.lit(w).alias("w"), F.date_sub(F.to_date(snap), w + 1).alias("d")) for w in (0, *windows)])
+    points = points.withColumn("_x", F.explode(places)).select(unit, F.col(snap).alias("_snap"), F.col("_x.w").alias("_w"), F.col("_x.d").alias("_day"))
+    scan = OrderedScan(days.withColumn("_w", F.lit(-1)).unionByName(points, allowMissingColumns=True), [unit], ["_day", "_w", "_snap"], hot_rows=hot_rows)
+    totals = scan.add(**{f"_t{n}": running_sum(n) for n in folds}).result().filter("_w >= 0")
+    at = lambda n, w: F.max(F.when(F.col("_w") == w, F.coalesce(F.col(f"_t{n}"), F.lit(0))))
+    read = totals.groupBy(unit, F.col("_snap").alias(snap)).agg(*[at(n, w).alias(f"{n}@{w}") for n in folds for w in (0, *windows)])
+    inside = lambda n, w: F.col(f"`{n}@0`") - F.col(f"`{n}@{w}`")
+    out = []
     for w in windows:
-        for name, (kind, value, cond) in metrics.items():
-            hit = (age <= w) if cond is None else (age <= w) & cond
-            aggs.append(getattr(F, kind)(F.when(hit, F.lit(1) if value is None else F.col(value))).alias(f"{name}_{w}d"))
-    return snapshots.join(inside.groupBy(unit, snap).agg(*aggs), [unit, snap], "left")
+        for i, (name, (kind, value, _)) in enumerate(metrics.items()):
+            n, s = inside(f"_n{i}", w), inside(f"_s{i}", w)
+            out.append((n if kind == "count" else F.when(n > 0, s if kind == "sum" else s / n)).alias(f"{name}_{w}d"))
+    return snapshots.join(read.filter(inside("_n", max(windows)) > 0).select(unit, snap, *out), [unit, snap], "left")
 
 
-def stage_recency(base, events, unit, t0, ts, stages, whole_days=False):
+def stage_recency(base, events, unit, t0, ts, stages, whole_days=False, hot_rows=None):
     """Per exposure (unit, t0): days since and number of each stage's events before t0.
 
-    With ``whole_days`` only events up to the day before t0 count, events are folded to days before they meet the
-    exposures, and each stage also gets ``has_``, ``first_day_``, ``last_day_`` and ``n_days_``.
+    With ``whole_days`` only events up to the day before t0 count, events are folded to days first, and each stage also
+    gets ``has_``, ``first_day_``, ``last_day_`` and ``n_days_``. Events and exposures are stacked and scanned once in
+    time order, each exposure reading what has run up; none is paired with events.
     """
     exposures = base.select(unit, t0).distinct()
-    if not whole_days:
-        prior = exposures.join(events.withColumnRenamed(ts, "_ts"), unit).filter(F.col("_ts") < F.col(t0))
-        aggs = []
-        for n, c in stages.items():
-            aggs += [F.datediff(F.to_date(t0), F.to_date(F.max(F.when(c, F.col("_ts"))))).alias(f"days_since_{n}"),
-                     F.count(F.when(c, 1)).alias(f"n_{n}")]
-        found, counts = prior.groupBy(unit, t0).agg(*aggs), [f"n_{n}" for n in stages]
-    else:
-        days = events.groupBy(unit, F.to_date(ts).alias("_day")).agg(*[F.count(F.when(c, 1)).alias(f"_n_{n}") for n, c in stages.items()])
-        prior = exposures.join(days, unit).filter(F.col("_day") < F.to_date(t0))
-        aggs = []
-        for n in stages:
-            day = F.when(F.col(f"_n_{n}") > 0, F.col("_day"))
-            aggs += [F.datediff(F.to_date(t0), F.max(day)).alias(f"days_since_{n}"), F.sum(f"_n_{n}").alias(f"n_{n}"), F.count(day).alias(f"n_days_{n}"),
-                     F.min(day).alias(f"first_day_{n}"), F.max(day).alias(f"last_day_{n}")]
-        found, counts = prior.groupBy(unit, t0).agg(*aggs), [f"{p}_{n}" for n in stages for p in ("n", "n_days")]
-    renamed = found.withColumnsRenamed({unit: "_u", t0: "_t"})
-    out = base.join(renamed, base[unit].eqNullSafe(renamed["_u"]) & base[t0].eqNullSafe(renamed["_t"]), "left").drop("_u", "_t")
+    events = events.filter(F.col(unit).isNotNull() & F.col(ts).isNotNull())
+    kind = "date" if whole_days else "timestamp_ntz"
+    marks = exposures.filter(F.col(unit).isNotNull() & F.col(t0).isNotNull()).select(unit, F.col(t0).cast(kind).alias("_at"), F.lit(0).alias("_kind"), F.col(t0).alias("_t0"))
+    rows = events.groupBy(unit, F.col(ts).cast(kind).alias("_at")).agg(*[F.count(F.when(c, 1)).alias(f"_n_{n}") for n, c in stages.items()]).withColumn("_kind", F.lit(1))
+    scan = OrderedScan(marks.unionByName(rows, allowMissingColumns=True), [unit], ["_at", "_kind", "_t0"], hot_rows=hot_rows)
+    scan.derive(**{f"_d_{n}": F.when(F.col(f"_n_{n}") > 0, F.col("_at")) for n in stages}, **{f"_o_{n}": F.when(F.col(f"_n_{n}") > 0, 1) for n in stages})
+    ops = {}
+    for n in stages:
+        ops |= {f"n_{n}": running_sum(f"_n_{n}"), f"last_day_{n}": running_max(f"_d_{n}")}
+        if whole_days:
+            ops |= {f"n_days_{n}": running_sum(f"_o_{n}"), f"first_day_{n}": running_min(f"_d_{n}")}
+    found = scan.add(**ops).result().filter("_kind = 0")
+    found = found.withColumns({f"days_since_{n}": F.datediff(F.to_date("_t0"), F.to_date(f"last_day_{n}")) for n in stages})
+    kinds = ["days_since", "n", "n_days", "first_day", "last_day"] if whole_days else ["days_since", "n"]
+    names = [f"{k}_{n}" for n in stages for k in kinds]
+    counts = [c for c in names if c.startswith("n_")]
+    out = spread_join(base, found.select(F.col(unit), F.col("_t0").alias(t0), *names), [unit, t0], "left", hot_rows, null_safe=True)
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts})
     return out.withColumns({f"has_{n}": (F.col(f"n_{n}") > 0).cast("int") for n in stages}) if whole_days else out
 
@@ -216,11 +237,17 @@ def status_rates(df, by, unit, status_cols, on_value="on"):
                                 F.avg(any_on.cast("double")).alias("any_rate"))
 
 
-def redemption(exposed, orders, promos, unit, t0, ts, order_id, code, by):
-    """Exposed units, units with a later order using an eligible code, their orders, and the redemption rate."""
-    eligible = orders.join(promos.select(code).distinct(), code, "left_semi").select(unit, F.col(ts).alias("_ts"), order_id)
-    used = exposed.join(eligible, unit, "left").withColumn("_hit", F.col("_ts") >= F.col(t0))
-    per = used.groupBy(*by, unit).agg(F.count(F.when(F.col("_hit"), 1)).alias("_n"))
+def redemption(exposed, orders, promos, unit, t0, ts, order_id, code, by, hot_rows=None):
+    """Exposed units, units with a later order using an eligible code, their orders, and the redemption rate. An exposure
+    counts the unit's orders less those before it, from one scan of both; none is paired with orders."""
+    eligible = orders.join(promos.select(code).distinct(), code, "left_semi").filter(F.col(unit).isNotNull() & F.col(ts).isNotNull())
+    eligible = eligible.groupBy(unit, F.col(ts).cast("timestamp_ntz").alias("_at")).agg(F.count(F.lit(1)).alias("_orders")).withColumn("_kind", F.lit(1))
+    marks = exposed.groupBy(*by, unit, F.col(t0).cast("timestamp_ntz").alias("_at")).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_kind", F.lit(0))
+    scan = OrderedScan(marks.unionByName(eligible, allowMissingColumns=True), [unit], ["_at", "_kind", *by], hot_rows=hot_rows)
+    read = scan.add(_before=running_sum("_orders"), _all=key_sum("_orders")).result().filter("_kind = 0")
+    later = F.coalesce("_all", F.lit(0)) - F.coalesce("_before", F.lit(0))
+    later = F.when(F.col(unit).isNotNull() & F.col("_at").isNotNull(), later * F.col("_rows")).otherwise(0)
+    per = read.groupBy(*by, unit).agg(F.sum(later).alias("_n"))
     out = per.groupBy(*by).agg(F.count(F.lit(1)).alias("exposed"), F.count(F.when(F.col("_n") > 0, 1)).alias("redeemers"), F.sum("_n").alias("redeemed_orders"))
     return out.withColumn("redemption_rate", F.col("redeemers") / F.col("exposed"))
 

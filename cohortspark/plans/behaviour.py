@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cohortspark.functions import exprs as X
-from cohortspark.operators import cohorts as C, profiles as P, sessions as S, windows as W
+from cohortspark.operators import cohorts as C, distincts as D, profiles as P, sessions as S, windows as W
 from cohortspark.operators.aggs import share_of_total
 from cohortspark.plans.common import EXPOSURE_SQL, SKEY, UNITS_SQL, arm_of, first_events, sess, sess_sql, unit_orders
 from cohortspark.plans.flagship import purchase_lift
@@ -255,6 +255,23 @@ SELECT x.user_id, x.t0, date_diff('day', max(d) FILTER (event_type = 'view'), CA
 FROM x LEFT JOIN e ON e.user_id = x.user_id AND e.d < CAST(t0 AS DATE) GROUP BY 1, 2""")
 
 
+def _one_unit(t):
+    """All line items as exposures of a single unit, one a minute, and all events as its own."""
+    x = t("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k")).distinct()
+    x = x.select(F.lit(1).alias("u"), F.expr("TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, CAST(k % 40000 AS INT))").alias("t0"))
+    return x, t("events").select(F.lit(1).alias("u"), "ts", "event_type", "event_id", "value")
+
+
+q("e29_stage_recency_one_unit", lambda t: P.stage_recency(_one_unit(t)[0], _one_unit(t)[1], "u", "t0", "ts", {"buy": is_type("purchase")}, hot_rows=20000), """
+WITH x AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS k FROM lineitem), e AS (SELECT ts, sum(n) OVER (ORDER BY ts) AS n FROM (SELECT ts, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1))
+SELECT CAST(1 AS INTEGER) AS u, t0, date_diff('day', CAST(ts AS DATE), CAST(t0 AS DATE)) AS days_since_buy, CAST(coalesce(n, 0) AS BIGINT) AS n_buy
+FROM (SELECT TIMESTAMP '2024-01-01' + to_minutes(CAST(k % 40000 AS INTEGER)) AS t0 FROM x) ASOF LEFT JOIN e ON t0 > ts""")
+q("e45_redemption_one_unit", lambda t: P.redemption(_one_unit(t)[0].withColumn("arm", F.pmod(F.minute("t0"), F.lit(2))), _one_unit(t)[1].withColumn("code", F.col("event_type")), t("events").filter(is_type("purchase")).select(F.col("event_type").alias("code")), "u", "t0", "ts", "event_id", "code", ["arm"], hot_rows=20000), """
+WITH x AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS k FROM lineitem), e AS (SELECT ts, sum(n) OVER (ORDER BY ts) AS n FROM (SELECT ts, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1)), a AS (SELECT count(*) AS n FROM events WHERE event_type = 'purchase'),
+r AS (SELECT minute(t0) % 2 AS arm, (SELECT n FROM a) - coalesce(n, 0) AS later FROM (SELECT TIMESTAMP '2024-01-01' + to_minutes(CAST(k % 40000 AS INTEGER)) AS t0 FROM x) ASOF LEFT JOIN e ON t0 > ts)
+SELECT CAST(arm AS INTEGER) AS arm, CAST(1 AS BIGINT) AS exposed, CAST(sum(later) > 0 AS BIGINT) AS redeemers, CAST(sum(later) AS BIGINT) AS redeemed_orders, CAST(sum(later) > 0 AS DOUBLE) AS redemption_rate FROM r GROUP BY 1""")
+
+
 def _messages(t):
     return t("events").select("user_id", F.concat(F.lit("camp"), (F.col("event_id") % 4).cast("string")).alias("campaign"), (F.col("event_id") % 700).alias("message_id"), "ts")
 
@@ -374,6 +391,24 @@ WITH {_ROLL}, z AS (SELECT *, epoch_us(end_ts) // 1000000 - epoch_us(start_ts) /
 SELECT event_date, CASE WHEN has_purchase = 1 THEN 'purchase' WHEN has_click = 1 THEN 'click' WHEN has_view = 1 THEN 'view' ELSE 'none' END AS deepest_stage, CASE WHEN d < 60 THEN '<1m' WHEN d < 3600 THEN '<1h' WHEN d < 14400 THEN '<4h' ELSE '>=4h' END AS duration_band,
   CASE WHEN h < 5 THEN 'late night' WHEN h < 11 THEN 'morning' WHEN h < 14 THEN 'lunch' WHEN h < 17 THEN 'afternoon' WHEN h < 21 THEN 'dinner' ELSE 'night' END AS day_part, count(*) AS n, CAST(sum(n_events) AS BIGINT) AS events FROM z GROUP BY 1, 2, 3, 4""")
 
+
+def _active_days(t):
+    return t("events").select(F.to_date("ts").alias("day"), "event_type", "user_id")
+
+
+def _states(t):
+    """Numbers given in two steps, as a daily job would: first half of the month, then the rest."""
+    days = _active_days(t)
+    numbers = D.entity_numbers(days, "user_id", D.entity_numbers(days.filter("day < DATE'2024-01-16'"), "user_id"))
+    return D.daily_distinct_state(days, numbers, "day", ["event_type"], "user_id")
+
+
+q("e47_distinct_28_days", lambda t: D.rolling_distinct(_states(t), "day", ["event_type"], "2024-01-05", "2024-02-10", 28, "users"), """
+WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-05', DATE '2024-02-10', INTERVAL 1 DAY)) AS DATE) AS day)
+SELECT d.day, event_type, count(DISTINCT user_id) AS users FROM d JOIN events ON CAST(ts AS DATE) BETWEEN d.day - 27 AND d.day GROUP BY 1, 2""")
+q("a03_distinct_from_days", lambda t: D.distinct_from_state(_states(t), ["event_type"], "users").unionByName(D.distinct_from_state(_states(t), [], "users").withColumn("event_type", F.lit("all"))), """
+SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1 UNION ALL SELECT 'all', count(DISTINCT user_id) FROM events""")
+
 q("e48_mix_shift", lambda t: P.mix_shift(_items(t).withColumn("arm", arm_of("o_custkey")), "l_suppkey", "p_type", "arm", "l_quantity", "l_extendedprice").drop("baseline"), f"""
 WITH {_ITEMS}, v AS (SELECT l_suppkey, CASE WHEN o_custkey % 2 = 1 THEN 'treatment' ELSE 'control' END AS arm, p_type, sum(l_quantity) AS volume FROM i GROUP BY 1, 2, 3),
 b AS (SELECT l_suppkey, p_type, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY avg(l_extendedprice) DESC) AS baseline_rank FROM i GROUP BY 1, 2)
