@@ -3,6 +3,7 @@
 A block is what one task reads at a time (a bounded stretch of rows). What the corpus has to count is sent per block
 and part as one packed array instead of one row per value, and answers come back the same way."""
 
+import gc
 import struct
 from functools import lru_cache
 
@@ -150,15 +151,16 @@ def text_bytes(docs, text_col="text"):
     return docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("b")).first()["b"] or 0
 
 
+def release(spark):
+    """Drop the shuffle files of steps whose results are written: their frames are garbage by now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def kinds_stored(df, label, kind="kind"):
     """Write a frame with a text column ``kind`` to the shared folder, one folder for each kind; returns a function that
     reads the rows of one kind."""
-    import gc
-
     spark, schema = df.sparkSession, df.schema
     path = shared_path(spark, label)
     df.write.partitionBy(kind).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return lambda value: spark.read.schema(schema).parquet(path).filter(F.col(kind) == value).drop(kind)

@@ -14,8 +14,8 @@ The filter grows with the corpus, so it is cut by the n-gram's hash into shards
 (``SHARD_BYTES`` of training text each); every worker that holds probes of a shard gets that shard, and neither a worker
 nor the driver ever holds the whole. The exact counts of the shard's words travel with it. Documents are read in blocks:
 each asks for an n-gram or word once, however often it occurs there, and what all documents share costs one entry per
-block. Keys have as many bits as the corpus asks for (``key_bits``), so that two n-grams share a key in about one of
-4,000 cases at any size.
+block. Keys have as many bits as the corpus asks for (``key_bits``), so that an n-gram shares its key with
+another in about one of 1,000 cases at any size.
 
 Nulls and empty texts are one end mark. Repeated rows are scored and counted each for itself, ids play no part; long
 texts are taken whole; extra columns stay. Without training documents every count is 0.
@@ -29,7 +29,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cohortspark.llm.blocks import block_ids, distinct, map_groups, map_rows, pack, pack_many, squeeze, text_bytes, unpack, unpack_many, unsqueeze
+from cohortspark.llm.blocks import block_ids, distinct, map_groups, map_rows, pack, pack_many, release, squeeze, text_bytes, unpack, unpack_many, unsqueeze
 from cohortspark.llm.common import row_chunks, stored
 from cohortspark.llm.tokens import mix
 
@@ -39,6 +39,8 @@ BLOCK_BYTES = 8_000_000
 SHARD_BYTES = 4_000_000
 #: hash functions of the filter; bits per entry follow
 HASHES = 8
+#: n-grams probed at once
+PROBES = 500_000
 #: prior rows behind a bigram's and a trigram's history
 STRENGTH = (300.0, 100.0)
 #: stand for the start and the end of a text; no word is empty or holds white space
@@ -62,8 +64,9 @@ class Model:
 
 
 def key_bits(size):
-    """A text of ``size`` bytes has fewer n-grams than that; 12 bits more keep keys apart."""
-    return min(60, max(32, int(size + 1).bit_length() + 12))
+    """A text of ``size`` bytes has about a quarter as many n-grams; with 8 bits more than ``size`` has, another one has
+    the same key in one of 1,000 cases."""
+    return min(60, max(32, int(size + 1).bit_length() + 8))
 
 
 # -- blocks ----------------------------------------------------------------------------------------------------------
@@ -239,6 +242,7 @@ def train(docs, text_col="text", strength=STRENGTH):
     parts = map_rows(docs, counted, "shard int, data binary, words binary, counts binary")
     built = map_groups(parts, ["shard"], [], shard, "shard int, bits long, data binary, words binary, counts binary, tokens long, distinct long, documents long")
     built = stored(built, "lm-shards")
+    release(built.sparkSession)
     total = built.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "documents")]).first()
     return Model(built.select("shard", "bits", "data", "words", "counts"), shards, bits, total["tokens"], total["distinct"], total["documents"], tuple(strength), size)
 
@@ -260,16 +264,26 @@ def _answers(parts, model, salts):
 
     def answer(key, rows):
         size = data = None
-        known = {}
+        known, held = {}, []
+
+        def told():
+            keys = np.concatenate([k for _, k, _ in held])
+            levels = probe(keys, size, data) if data else np.zeros(len(keys), np.uint8)
+            ends = np.cumsum([len(k) for _, k, _ in held])
+            yield {"block": [b for b, _, _ in held], "part": [key[0]] * len(held), "data": [pack_many(levels[e - len(k):e], c) for (_, k, c), e in zip(held, ends)]}
+            held.clear()
+
         for r in rows:
             if r["bits"] is not None:
                 size, data = r["bits"], bytes(r["data"])
                 known = dict(zip(unpack_words(r["words"]), unpack(r["counts"]).tolist())) if r["words"] is not None else {}
                 continue
-            keys = unpack(r["data"])
-            levels = probe(keys, size, data) if data else np.zeros(len(keys), np.uint8)
             counts = [known.get(w, 0) for w in unpack_words(r["words"])] if r["words"] is not None else []
-            yield {"block": [r["block"]], "part": [key[0]], "data": [pack_many(levels, np.array(counts, np.int64))]}
+            held.append((r["block"], unpack(r["data"]), np.array(counts, np.int64)))
+            if sum(len(k) for _, k, _ in held) > PROBES:
+                yield from told()
+        if held:
+            yield from told()
 
     none = F.lit(None)
     asked = map_rows(parts.select("block", "data", "words"), ask, "block long, shard int, data binary, words binary")
@@ -317,6 +331,7 @@ def score(docs, model, text_col="text"):
     size = text_bytes(docs)
     parts = stored(map_rows(docs, cut, struct), "lm-blocks")
     answers = stored(_answers(parts, model, max(1, round(size / max(1, model.text_bytes)))), "lm-answers")
+    release(docs.sparkSession)
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in struct.fields[2:]]
     rows = parts.withColumn("part", F.lit(-1)).unionByName(answers.select("block", "part", "data", *blank))
 
