@@ -182,6 +182,43 @@ def valid_e164(phone, country, rules=None):
     )
 
 
+# LIKE patterns (any letter case, _ is any character) of user agents, tried in this order, and their names.
+BROWSER_NAMES = (
+    ("%FBAV%", "Facebook In-App"), ("%FB_IAB%", "Facebook In-App"), ("%Instagram%", "Instagram In-App"), ("%TikTok%", "TikTok In-App"),
+    ("%Twitter%", "Twitter In-App"), ("%Snapchat%", "Snapchat In-App"), ("%Pinterest%", "Pinterest In-App"), ("%LinkedIn%", "LinkedIn In-App"),
+    ("%OPR%", "Opera"), ("%Opera%", "Opera"), ("%Edg%", "Edge"), ("%Chrome%", "Chrome"), ("%CriOS%", "Chrome iOS"), ("%FxiOS%", "Firefox iOS"),
+    ("%Firefox%", "Firefox"), ("%Safari%", "Safari"), ("%SamsungBrowser%", "Samsung Internet"), ("%UCBrowser%", "UC Browser"),
+    ("%YaBrowser%", "Yandex"), ("%Brave%", "Brave"), ("%Vivaldi%", "Vivaldi"), ("%DuckDuckGo%", "DuckDuckGo"), ("%QQBrowser%", "QQ Browser"),
+    ("%Maxthon%", "Maxthon"), ("%Sogou%", "Sogou"), ("%Puffin%", "Puffin"), ("%Naver%", "Naver Whale"))
+# User agents of renderers and readers, left out of visitor tables.
+NO_VISITOR = ("%prerender%", "%read-aloud%")
+
+
+def browser_name(c):
+    """Browser or in-app browser of a user agent, ``Other`` if none is known or the agent is NULL."""
+    return classify([(col(c).ilike(pattern), name) for pattern, name in BROWSER_NAMES], "Other")
+
+
+def is_visitor(c):
+    """The user agent is neither a renderer nor a reader (NULL for a NULL agent)."""
+    return ~reduce(lambda a, b: a | b, [col(c).ilike(p) for p in NO_VISITOR])
+
+
+# Calling prefix, allowed lengths of the whole number with its plus sign.
+PHONE_LENGTHS = (("+1", (11, 12)), ("+61", (11, 12, 13)), ("+64", (11, 12)), ("+52", (12, 13)), ("+81", (12, 13)))
+
+
+def telephone(c):
+    """The number if it can be E.164, else NULL: a plus sign, 8 to 16 characters, not only zeros, the length its calling
+    prefix asks for where that is known, and at least 6 characters after the prefix. Other countries pass on the
+    general rules."""
+    text, size = col(c), F.length(col(c))
+    bad = ~text.startswith("+") | (size < 8) | (size > 16) | (F.replace(text.substr(F.lit(2), size), F.lit("0"), F.lit("")) == "")
+    for prefix, lengths in PHONE_LENGTHS:
+        bad = bad | (text.startswith(prefix) & (~size.isin(*lengths) | (size - len(prefix) < 6)))
+    return F.when(~bad, text)
+
+
 # Lower-case user-agent substrings, tried in this order.
 BROWSER_RULES = (("edg/", "edge"), ("opr/", "opera"), ("samsungbrowser", "samsung"), ("crios", "chrome"),
                  ("chrome", "chrome"), ("fxios", "firefox"), ("firefox", "firefox"), ("safari", "safari"))

@@ -8,6 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Window, functions as F
 
+from cohortspark.functions.exprs import md5_bucket64
 from cohortspark.operators.joins import asof_prior, nearest_value_join
 from cohortspark.operators.lineage import durable
 from cohortspark.operators.logits import fit_logits
@@ -225,11 +226,15 @@ class XLearner(TLearner):
 
     def fit(self, df):
         super().fit(df)
+        return self.fit_effects(TLearner.predict(self, df, "_t"))
+
+    def fit_effects(self, both):
+        """Effect and propensity models from rows that have ``p_treated`` and ``p_control``."""
         arm, y = F.col(self.treatment).cast("int"), F.col(self.outcome).cast("double")
-        both = TLearner.predict(self, df, "_t")
-        self.tau1 = fit_trees(both.filter(arm == 1).withColumn("_d", y - F.col("p_control")), self.xs, "_d", "regression", **self.options)
-        self.tau0 = fit_trees(both.filter(arm == 0).withColumn("_d", F.col("p_treated") - y), self.xs, "_d", "regression", **self.options)
-        self.e = fit_trees(df.withColumn("_a", arm.cast("double")), self.xs, "_a", **self.options) if self.weighting == "propensity" else None
+        effect = {k: v for k, v in self.options.items() if k != "kind"}
+        self.tau1 = fit_trees(both.filter(arm == 1).withColumn("_d", y - F.col("p_control")), self.xs, "_d", "regression", **effect)
+        self.tau0 = fit_trees(both.filter(arm == 0).withColumn("_d", F.col("p_treated") - y), self.xs, "_d", "regression", **effect)
+        self.e = fit_trees(both.withColumn("_a", arm.cast("double")), self.xs, "_a", **self.options) if self.weighting == "propensity" else None
         return self
 
     def predict(self, df, name="uplift"):
@@ -240,6 +245,22 @@ class XLearner(TLearner):
         return out.withColumn(name, F.col("propensity") * F.col("tau_control") + (1 - F.col("propensity")) * F.col("tau_treated"))
 
 
+def cross_fit(learner, df, key, folds=5, seed=0, name="uplift"):
+    """Uplift of every row from models that have not seen its fold (by the md5 of ``key``), in one frame with ``fold``.
+
+    An X-learner is cross-fitted twice: effects are imputed from outcome models of the other folds, and the effect and
+    propensity models that score a fold are fitted on the other folds' imputed effects."""
+    rows = durable(df.withColumn("fold", (md5_bucket64(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))) % folds).cast("int")))
+    others, own = lambda frame, k: frame.filter(F.col("fold") != k), lambda frame, k: frame.filter(F.col("fold") == k)
+    union = lambda parts: durable(reduce(lambda a, b: a.unionByName(b), parts))
+    outcome = TLearner(learner.xs, learner.treatment, learner.outcome, **learner.options)
+    scored = union([outcome.fit(others(rows, k)).predict(own(rows, k), name) for k in range(folds)])
+    if not isinstance(learner, XLearner):
+        return scored
+    scored = scored.drop(name)
+    return union([learner.fit_effects(others(scored, k)).predict(own(scored, k), name) for k in range(folds)])
+
+
 def transformed_outcome_tree(df, xs, treatment, outcome, p=None, max_depth=4, seed=7):
     """Regression tree on y*t/p - y*(1-t)/(1-p); p is the treated share unless given. Returns (scored frame, model)."""
     t, y = F.col(treatment).cast("double"), F.col(outcome).cast("double")

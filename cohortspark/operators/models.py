@@ -166,7 +166,7 @@ def fit_trees(df, xs, y, task="classification", kind="gbt", max_iter=20, max_dep
     if task == "regression":
         stage = GBTRegressor(maxIter=max_iter, **common)
     elif kind == "forest":
-        stage = RandomForestClassifier(numTrees=max_iter, **common)
+        stage = RandomForestClassifier(numTrees=max_iter, bootstrap=max_iter > 1, **common)  # one tree sees every row
     else:
         stage = GBTClassifier(maxIter=max_iter, **common)
     return Pipeline(stages=[VectorAssembler(inputCols=list(xs), outputCol="features", handleInvalid="keep"), stage]).fit(frame)
@@ -181,15 +181,17 @@ def score(model, df, xs, name, task="classification"):
     return out.select(*kept, *[F.col(f"_x_{x}").alias(x) for x in xs], value.alias(name)).select(*df.columns, name)
 
 
-def fit_gbt(df, xs, y, task="classification", **options):
-    """(importance table in percent, fitted pipeline, AUC or None)."""
-    model = fit_trees(df, xs, y, task, **options)
+def fit_gbt(df, xs, y, task="classification", key=None, test=0.0, seed=0, **options):
+    """(importance table in percent, fitted pipeline, AUC or None). With a share ``test`` of the values of ``key`` held
+    out, the model is fitted on the others and the AUC is that of the held-out rows; without, of the rows fitted."""
+    train, rest = (df, df) if not test else split(df, key, 1.0 - test, seed)
+    model = fit_trees(train, xs, y, task, **options)
     weights = model.stages[-1].featureImportances.toArray()
     total = float(weights.sum()) or 1.0
     table = df.sparkSession.createDataFrame([(x, float(w) * 100.0 / total) for x, w in zip(xs, weights)], "feature string, importance_pct double")
     auc = None
     if task == "classification":
-        auc = evaluate(score(model, df, xs, "_p"), "_p", y).first()["auc"]
+        auc = evaluate(score(model, rest, xs, "_p"), "_p", y).first()["auc"]
     return table, model, auc
 
 
@@ -236,19 +238,25 @@ def score_deciles(df, score_col, label, key, n=10, hot_rows=None):
 
 def cluster_sessions(df, xs, k_range, seed=7, max_iter=20):
     """K-means over a range of k on standardised features: (k, inertia, silhouette) table, the frame with the best
-    silhouette's ``cluster``, and the chosen k."""
+    silhouette's ``cluster``, and the chosen k. One cluster has no silhouette."""
     data = assemble(df, xs, "_raw")
     data = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(data).transform(data).persist()
     try:
         rows, best = [], None
         for k in k_range:
-            model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(data)
-            sil = ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(model.transform(data))
-            rows.append((int(k), float(model.summary.trainingCost), float(sil)))
-            if best is None or sil > best[1]:
+            if k == 1:  # all rows around their mean, which is 0
+                square = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, v: s + v * v)
+                model, inertia, sil = None, data.agg(F.sum(square)).first()[0], None
+            else:
+                model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(data)
+                inertia = float(model.summary.trainingCost)
+                sil = float(ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(model.transform(data)))
+            rows.append((int(k), inertia, sil))
+            if best is None or (sil is not None and (best[1] is None or sil > best[1])):
                 best = (k, sil, model)
         table = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-        out = best[2].transform(data).withColumnRenamed("prediction", "cluster").drop("_raw")
+        labelled = data.withColumn("prediction", F.lit(0)) if best[2] is None else best[2].transform(data)
+        out = labelled.withColumnRenamed("prediction", "cluster").drop("_raw")
     finally:
         data.unpersist()
     return table, out, best[0]

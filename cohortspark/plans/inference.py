@@ -78,6 +78,18 @@ WITH {_CUPED.format(fill='coalesce(pre, (SELECT avg(pre) FROM pr))')}, p AS (SEL
 SELECT arm, count(*) AS n, avg(spend) AS mean, var_samp(spend) AS var, any_value(theta) AS theta, avg(spend) - any_value(theta) * (avg(pre_spend) - any_value(mc)) AS adjusted_mean,
   var_samp(spend) - 2 * any_value(theta) * covar_samp(spend, pre_spend) + any_value(theta) * any_value(theta) * var_samp(pre_spend) AS adjusted_var FROM cu, p GROUP BY arm""", "mean var theta adjusted_mean adjusted_var", 1)
 
+
+
+def _cuped_all(t):
+    """Spend after 1999 against all earlier orders."""
+    old = F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")
+    pre = t("orders").filter(old).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("pre_spend"))
+    return E.cuped_covariate(_cuped_units(t)[0], pre, "c_custkey", "pre_spend", -1)
+
+
+q("x07_cuped_all_orders", lambda t: E.cuped_moments(_cuped_all(t), "arm", "spend", "n", "pre_spend"),
+  f"WITH {_CUPED.format(fill='coalesce(pre, -1)').replace(chr(32) + 'AND o_orderpriority <> ' + repr('5-LOW'), '')} SELECT arm, {_CM} FROM cu GROUP BY arm UNION ALL SELECT 'all_data', {_CM} FROM cu", "mean_num mean_den mean_cov var_num var_den var_cov cov_num_den cov_num_cov cov_den_cov", 0)
+
 q("x08_dimension_moments", lambda t: E.dimension_moments(unit_orders(t), "c_nationkey", "arm", "spend", "n_orders", 10), f"""
 WITH {UNITS_SQL}, k AS (SELECT c_nationkey FROM units GROUP BY 1 ORDER BY count(*) DESC, c_nationkey LIMIT 10)
 SELECT c_nationkey, arm, count(*) AS data_count, avg(spend) AS mean_num, avg(n_orders) AS mean_den, var_samp(spend) AS var_num, var_samp(n_orders) AS var_den, covar_samp(spend, n_orders) AS cov_num_den
@@ -368,6 +380,59 @@ q("m20_x_learner", lambda t: _uplift(t, CI.XLearner(XS, "a", "y", **_TREE)))
 q("m20_x_learner_mean", lambda t: _uplift(t, CI.XLearner(XS, "a", "y", weighting="mean", **_TREE)))
 q("m21_transformed_outcome", lambda t: CI.transformed_outcome_tree(_modelled(t), XS, "a", "y", max_depth=2)[0].select("c_custkey", "uplift"))
 
+
+# one tree of depth 1 on a 0/1 feature gives the means of its two groups, so folds can be checked by counting; where both
+# groups have the same likelier class, the tree keeps one leaf
+_STUMP = dict(kind="forest", max_iter=1, max_depth=1)
+
+
+def _stumps(t):
+    return _modelled(t).withColumn("x", (F.col("c_acctbal") > 4000).cast("int"))
+
+
+def _oof(t, learner):
+    return CI.cross_fit(learner, _stumps(t), "c_custkey", folds=4)
+
+
+_OOF = f"""{_MODELLED}, st AS (SELECT c_custkey, a, y, CASE WHEN c_acctbal > 4000 THEN 1 ELSE 0 END AS x, CAST('0x' || substring(md5(c_custkey || '|0'), 1, 8) AS BIGINT) % 4 AS fold FROM md),
+f AS (SELECT unnest([0, 1, 2, 3]) AS fold), g0 AS (SELECT f.fold, x, avg(y) FILTER (a = 1) AS p1, avg(y) FILTER (a = 0) AS p0, avg(a) AS e FROM f JOIN st ON st.fold <> f.fold GROUP BY 1, 2),
+w0 AS (SELECT f.fold, avg(y) FILTER (a = 1) AS w1, avg(y) FILTER (a = 0) AS w0, avg(a) AS we FROM f JOIN st ON st.fold <> f.fold GROUP BY 1),
+g AS (SELECT fold, x, CASE WHEN count(*) FILTER (p1 > 0.5) OVER k = 1 THEN p1 ELSE w1 END AS p1, CASE WHEN count(*) FILTER (p0 > 0.5) OVER k = 1 THEN p0 ELSE w0 END AS p0, CASE WHEN count(*) FILTER (e > 0.5) OVER k = 1 THEN e ELSE we END AS e FROM g0 JOIN w0 USING (fold) WINDOW k AS (PARTITION BY fold)),
+p AS (SELECT st.*, p1, p0, e FROM st JOIN g USING (fold, x)),
+h AS (SELECT f.fold, x, avg(y - p0) FILTER (a = 1) AS t1, avg(p1 - y) FILTER (a = 0) AS t0 FROM f JOIN p ON p.fold <> f.fold GROUP BY 1, 2)"""
+q("m19_t_learner_cross_fitted", lambda t: _oof(t, CI.TLearner(["x"], "a", "y", **_STUMP)).select("c_custkey", "fold", "uplift"),
+  f"WITH {_OOF} SELECT c_custkey, CAST(fold AS INTEGER) AS fold, p1 - p0 AS uplift FROM p", "uplift")
+q("m20_x_learner_cross_fitted", lambda t: _oof(t, CI.XLearner(["x"], "a", "y", **_STUMP)).select("c_custkey", "uplift"),
+  f"WITH {_OOF} SELECT c_custkey, e * t0 + (1 - e) * t1 AS uplift FROM p JOIN h USING (fold, x)", "uplift")
+q("m20_x_learner_mean_cross_fitted", lambda t: _oof(t, CI.XLearner(["x"], "a", "y", weighting="mean", **_STUMP)).select("c_custkey", "uplift"),
+  f"WITH {_OOF} SELECT c_custkey, (t0 + t1) / 2 AS uplift FROM p JOIN h USING (fold, x)", "uplift")
+# Qini on rows whose models have not seen them; equal scores are rounded together
+q("m22_qini_held_out", lambda t: U.uplift_summary(U.qini_curve(_oof(t, CI.TLearner(["x"], "a", "y", **_STUMP)).withColumn("score", F.round("uplift", 9)), "score", "a", "y", "c_custkey")), f"""
+WITH {_OOF}, o AS (SELECT row_number() OVER w AS position, sum(a) OVER w AS nt, sum(1 - a) OVER w AS nc, sum(y * a) OVER w AS yt, sum(y * (1 - a)) OVER w AS yc, count(*) OVER () AS n, sum(a) OVER () AS all_t, sum(1 - a) OVER () AS all_c
+    FROM p WINDOW w AS (ORDER BY round(p1 - p0, 9) DESC, c_custkey ROWS UNBOUNDED PRECEDING)),
+  k AS (SELECT *, yt - coalesce(yc * nt / nullif(nc, 0), 0) AS curve, yt / greatest(all_t, 1) - yc / greatest(all_c, 1) AS rate_gap FROM o), s AS (SELECT max(n) AS n, sum(curve) - (max(CASE WHEN position = 1 THEN curve END) + max(CASE WHEN position = n THEN curve END)) / 2 AS area,
+  sum(rate_gap) - (max(CASE WHEN position = 1 THEN rate_gap END) + max(CASE WHEN position = n THEN rate_gap END)) / 2 AS ua, max(CASE WHEN position = n THEN curve END) AS fin FROM k)
+SELECT n, area / n AS qini_coefficient, (area - fin * (n - 1) * (n + 1) / (2.0 * n)) / n AS qini_auc, ua / n AS auuc FROM s""", "qini_coefficient qini_auc auuc")
+q("m21_transformed_outcome_means", lambda t: CI.transformed_outcome_tree(_stumps(t), ["x"], "a", "y", max_depth=1)[0].select("c_custkey", "uplift"), f"""
+WITH {_OOF}, r AS (SELECT avg(a) AS r FROM st), z AS (SELECT x, avg(y * a / r - y * (1 - a) / (1 - r)) AS uplift FROM st, r GROUP BY 1) SELECT c_custkey, uplift FROM st JOIN z USING (x)""", "uplift")
+q("m11_forest_held_out", lambda t: _held_out(t), f"""
+WITH {_MODELLED}, st AS (SELECT y, CASE WHEN c_acctbal > 4000 THEN 1 ELSE 0 END AS x, CAST('0x' || substring(md5(c_custkey || '|0'), 1, 8) AS BIGINT) >= 3435973837 AS test FROM md),
+c AS (SELECT avg(y) FILTER (NOT test AND x = 1) > avg(y) FILTER (NOT test AND x = 0) AS up, sum(y) FILTER (test AND x = 1) AS p1, sum(1 - y) FILTER (test AND x = 1) AS q1, sum(y) FILTER (test AND x = 0) AS p0, sum(1 - y) FILTER (test AND x = 0) AS q0 FROM st)
+SELECT 'x' AS feature, 100.0 AS importance_pct, (CASE WHEN up THEN p1 * q0 ELSE p0 * q1 END + 0.5 * (p1 * q1 + p0 * q0)) / ((p1 + p0) * (q1 + q0)) AS auc FROM c""", "importance_pct auc")
+
+
+def _held_out(t):
+    table, _, auc = M.fit_gbt(_stumps(t), ["x"], "y", key="c_custkey", test=0.2, **_STUMP)
+    return table.withColumn("auc", F.lit(auc))
+
+
+# closed forms: one cluster has its rows less one as inertia of each standardised feature; two features have the two eigenvalues of their covariance
+q("m15_one_cluster", lambda t: M.cluster_sessions(t("lineitem").select("l_quantity", "l_tax", "l_discount"), ["l_quantity", "l_tax", "l_discount"], [1])[0],
+  "SELECT CAST(1 AS INTEGER) AS k, 3.0 * (count(*) - 1) AS inertia, CAST(NULL AS DOUBLE) AS silhouette FROM lineitem", "inertia silhouette", 3)
+q("m17_pca_two_columns", lambda t: M.pca2(t("lineitem").select(F.array("l_quantity", F.col("l_extendedprice") / 2000).alias("v")), "v")[1], """
+WITH c AS (SELECT var_samp(l_quantity) AS a, var_samp(l_extendedprice / 2000) AS b, covar_samp(l_quantity, l_extendedprice / 2000) AS ab FROM lineitem), e AS (SELECT (a + b) / 2 AS m, sqrt((a - b) * (a - b) / 4 + ab * ab) AS d FROM c)
+SELECT CAST(1 AS INTEGER) AS component, (m + d) / (2 * m) AS explained FROM e UNION ALL SELECT 2, (m - d) / (2 * m) FROM e""", "explained", 5)
+
 _QINI = f"""{_SCORED}, o AS (SELECT c_custkey, a, y, row_number() OVER w AS position, sum(a) OVER w AS nt, sum(1 - a) OVER w AS nc, sum(y * a) OVER w AS yt, sum(y * (1 - a)) OVER w AS yc, count(*) OVER () AS n, sum(a) OVER () AS all_t, sum(1 - a) OVER () AS all_c
     FROM sc WINDOW w AS (ORDER BY score DESC, c_custkey ROWS UNBOUNDED PRECEDING)),
   k AS (SELECT *, yt - coalesce(yc * nt / nullif(nc, 0), 0) AS curve, yt / greatest(all_t, 1) - yc / greatest(all_c, 1) AS rate_gap FROM o)"""

@@ -47,7 +47,7 @@ UNION ALL SELECT p_type, count(*), 'overwrite' FROM part GROUP BY 1""")
 
 def _ddl(t):
     text = F.lit(io.infer_ddl(t("events"), "event_log"))
-    lines = t("events").limit(1).select(F.explode(F.split(text, "\n")).alias("line")).filter(F.col("line").startswith("  `"))
+    lines = t("events").agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.split(text, "\n")).alias("line")).filter(F.col("line").startswith("  `"))
     parts = F.split(F.regexp_replace(F.trim("line"), "[`,]", ""), " ")
     return lines.select(parts[0].alias("column_name"), parts[1].alias("data_type"))
 
@@ -247,6 +247,22 @@ q("f10_user_agent", lambda t: t("pages").withColumn("ua", F.concat(F.lit("Mozill
 SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'safari' WHEN 1 THEN 'chrome' WHEN 2 THEN 'firefox' WHEN 3 THEN 'edge' ELSE 'other' END AS browser,
        CASE page_id % 4 WHEN 0 THEN 'ios' WHEN 1 THEN 'android' WHEN 2 THEN 'windows' ELSE 'macos' END AS os, CASE WHEN page_id % 5 = 4 THEN 1 ELSE 0 END AS is_bot FROM pages""")
 
+_AGENTS = ["x FBAV/400 Chrome/1", "a FB4A;FB/IAB", "Instagram 300 Safari", "musical TIKTOK 3", "Twitter for iPhone Safari", "Snapchat/12", "Pinterest/0.2 Chrome", "LinkedInApp Safari", "Chrome/1 OPR/9",
+           "Opera/9.8", "Chrome/120 Edg/120", "Edge/18", "Chrome/120 Safari", "CriOS/120 Safari", "FxiOS/9 Safari", "Firefox/121", "Version/17 Safari/604", "SamsungBrowser/20", "UCBrowser/13", "YaBrowser/23",
+           "Brave/1", "Vivaldi/6", "DuckDuckGo/7", "MQQBrowser/6", "Maxthon/5", "Sogou web", "Puffin/9", "NAVER(inapp)", "curl/8", "prerender Chrome", "x Read-Aloud"]
+_BROWSERS = ["Facebook In-App", "Facebook In-App", "Instagram In-App", "TikTok In-App", "Twitter In-App", "Snapchat In-App", "Pinterest In-App", "LinkedIn In-App", "Opera",
+             "Opera", "Edge", "Edge", "Chrome", "Chrome iOS", "Firefox iOS", "Firefox", "Safari", "Samsung Internet", "UC Browser", "Yandex",
+             "Brave", "Vivaldi", "DuckDuckGo", "QQ Browser", "Maxthon", "Sogou", "Puffin", "Naver Whale", "Other", "Chrome", "Other"]
+_N = len(_AGENTS) + 1  # and NULL
+q("f10_browser_names", lambda t: t("pages").withColumn("ua", F.get(F.array(*[F.lit(a) for a in _AGENTS]), (F.col("page_id") % _N).cast("int"))).select("page_id", X.browser_name("ua").alias("browser"), X.is_visitor("ua").alias("visitor")),
+  f"SELECT page_id, coalesce({_BROWSERS!r}[CAST(page_id % {_N} AS INTEGER) + 1], 'Other') AS browser, CASE WHEN page_id % {_N} < {_N - 1} THEN page_id % {_N} < {_N - 3} END AS visitor FROM pages")
+_PHONES = ["+14155550123", "+141555501", "+4155550123", "14155550123", "+1415555012", "+141555501234", "+61412345678", "+6141234567", "+614123456789", "+61412345678901", "+64211234567", "+6421123456", "+642112345", "+525512345678", "+52551234567", "+5255123456",
+           "+819012345678", "+81901234567", "+819012345", "+447911123456", "+4479", "+44791112345678901", "+0000000000", "+4930123456", "", "+1", "+100000", "+6100000000000"]
+_VALID = [True, False, True, False, True, False, True, True, True, False, True, True, False, True, True, False, True, True, False, True, False, False, False, True, False, False, False, False]
+_P = len(_PHONES) + 1  # and NULL
+q("f08_telephone", lambda t: t("customer").withColumn("phone", F.get(F.array(*[F.lit(a) for a in _PHONES]), (F.col("c_custkey") % _P).cast("int"))).select("c_custkey", X.telephone("phone").alias("telephone")),
+  f"SELECT c_custkey, CASE WHEN {_VALID!r}[CAST(c_custkey % {_P} AS INTEGER) + 1] THEN {_PHONES!r}[CAST(c_custkey % {_P} AS INTEGER) + 1] END AS telephone FROM customer")
+
 q("f11_date_add", lambda t: t("orders").select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 28).alias("d28"), F.add_months(F.to_date("o_orderdate"), -1).alias("m1"), X.plus("o_orderdate", hours=36).alias("h36")),
   "SELECT o_orderkey, CAST(o_orderdate AS DATE) + 28 AS d28, CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH AS DATE) AS m1, o_orderdate + INTERVAL 36 HOUR AS h36 FROM orders")
 
