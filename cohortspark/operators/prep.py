@@ -3,9 +3,11 @@
 import math
 import re
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
-from cohortspark.operators.ordered import OrderedScan, running_sum
+from cohortspark.operators.joins import spread_join
+from cohortspark.operators.lineage import durable
+from cohortspark.operators.ordered import OrderedScan, row_number, running_sum
 
 
 def prepare_features(df, covariates, label, keep=()):
@@ -131,14 +133,20 @@ def filter_covariates(columns, target, rules):
 
 
 def fit_levels(df, cols):
-    """Levels fixed at training time, as a fitted indexer; unseen levels at scoring go to the extra bucket."""
-    from pyspark.ml.feature import StringIndexer
-
-    return StringIndexer(inputCols=list(cols), outputCols=[f"{c}_idx" for c in cols], handleInvalid="keep", stringOrderType="alphabetAsc").fit(
-        df.select(*[F.col(c).cast(T.StringType()).alias(c) for c in cols]))
+    """{column: (level, number)} tables of the levels seen in training, numbered from 0 in text order. The tables stay in
+    Spark, so a column may have any number of levels."""
+    out = {}
+    for c in cols:
+        levels = df.select(F.col(c).cast("string").alias("level")).filter("level IS NOT NULL").distinct()
+        out[c] = durable(OrderedScan(levels, [], ["level"]).add(_n=row_number()).result().select("level", (F.col("_n") - 1).cast("int").alias("number")))
+    return out
 
 
-def apply_levels(model, df):
-    cols = model.getInputCols()
-    return model.transform(df.withColumns({c: F.col(c).cast("string") for c in cols})).withColumns(
-        {f"{c}_idx": F.col(f"{c}_idx").cast("int") for c in cols})
+def apply_levels(model, df, hot_rows=None):
+    """Adds ``<col>_idx``; levels not seen in training, and NULL, get the number after the last."""
+    for c, table in model.items():
+        numbers = table.select(F.col("level").alias("_level"), F.col("number").alias(f"{c}_idx"))
+        coded = spread_join(df.withColumn("_level", F.col(c).cast("string")), numbers, ["_level"], "left", hot_rows).drop("_level")
+        unseen = table.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
+        df = coded.withColumn(f"{c}_idx", F.coalesce(f"{c}_idx", unseen))
+    return df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions.exprs import boundary_diff, classify, ilike_any, plus, safe_div, time_slice
 from cohortspark.operators.aggs import mode_of, percentiles, top_n_array
 from cohortspark.operators.joins import spread_join
+from cohortspark.operators.lineage import durable
 from cohortspark.operators.ordered import OrderedScan, key_sum, lag, running_max, running_min, running_sum
 from cohortspark.operators.windows import first_per, ranks, streaks
 
@@ -31,6 +32,7 @@ def order_features(orders, key, order_id, ts, value, merchant, as_of, hot_rows=N
     frame = OrderedScan(frame, [key], [ts, order_id], hot_rows=hot_rows).add(_p=lag("_d")).result()
     frame = frame.withColumns({"_gap": F.datediff("_d", "_p"), "_ago": F.datediff(day, F.col("_d")),
                                "_week": F.floor((F.unix_date("_d") - 4) / 7)})
+    frame = durable(frame.select(key, "_d", "_gap", "_ago", "_week", value, merchant))  # four folds read it
     bands = [F.count(F.when(F.col("_ago").between(lo, hi), 1)).alias(f"orders_{lo}_{hi}d") for lo, hi in RECENCY_BANDS]
     last = RECENCY_BANDS[-1][1]
     out = frame.groupBy(key).agg(
@@ -253,12 +255,13 @@ def redemption(exposed, orders, promos, unit, t0, ts, order_id, code, by, hot_ro
 
 
 def mix_shift(df, group, item, arm, volume, baseline):
-    """Rank and share of items within (group, arm) against the item's dense rank by a baseline volume in the group."""
-    per = df.groupBy(group, arm, item).agg(F.sum(volume).alias("volume"))
-    totals = per.groupBy(group, arm).agg(F.sum("volume").alias("_t"))
-    per = ranks(per, [group, arm], "volume", descending=True, rank="arm_rank", dense="_d").drop("_d")
+    """Rank and share of items within (group, arm) against the item's dense rank by a baseline volume in the group. The
+    source is read once and folded to (group, arm, item); all else reads that."""
+    cells = durable(df.groupBy(group, arm, item).agg(F.sum(volume).alias("volume"), F.sum(baseline).alias("_s"), F.count(baseline).alias("_n")))
+    totals = cells.groupBy(group, arm).agg(F.sum("volume").alias("_t"))
+    per = ranks(cells.select(group, arm, item, "volume"), [group, arm], "volume", descending=True, rank="arm_rank", dense="_d").drop("_d")
     per = per.join(totals, [group, arm]).withColumn("share", safe_div("volume", "_t")).drop("_t")
-    base = df.groupBy(group, item).agg(F.avg(baseline).alias("baseline"))
+    base = cells.groupBy(group, item).agg((F.sum("_s") / F.sum("_n")).alias("baseline"))
     base = ranks(base, [group], "baseline", descending=True, rank="_r", dense="baseline_rank").drop("_r")
     return per.join(base, [group, item])
 

@@ -122,7 +122,12 @@ q("x12_welch", lambda t: ST.welch(unit_orders(t), "arm", "treatment", "control",
 WITH {UNITS_SQL}, m AS (SELECT {_TWO.format(m='spend')} FROM units), a AS (SELECT *, var_t / n_t AS a, var_c / n_c AS b FROM m)
 SELECT n_t, mean_t, var_t, n_c, mean_c, var_c, mean_t - mean_c AS diff, sqrt(a + b) AS se, (a + b) * (a + b) / (a * a / (n_t - 1) + b * b / (n_c - 1)) AS dof, (mean_t - mean_c) / {_POOLSD} AS cohens_d, (mean_t - mean_c) / sqrt(a + b) AS t,
   mean_t - mean_c - 1.959963984540054 * sqrt(a + b) AS ci_low, mean_t - mean_c + 1.959963984540054 * sqrt(a + b) AS ci_high FROM a""", "mean_t var_t mean_c var_c diff se dof cohens_d t ci_low ci_high", 3)
-q("x12_welch_p_value", lambda t: ST.welch(unit_orders(t), "arm", "treatment", "control", "spend").select("t", "dof", "p_value"))
+q("x12_welch_p_value", lambda t: ST.welch(unit_orders(t), "arm", "treatment", "control", "spend").select("t", "dof", "p_value"), f"""
+WITH {UNITS_SQL}, m AS (SELECT {_TWO.format(m='spend')} FROM units), a AS (SELECT *, var_t / n_t AS a, var_c / n_c AS b FROM m),
+w AS (SELECT (mean_t - mean_c) / sqrt(a + b) AS t, (a + b) * (a + b) / (a * a / (n_t - 1) + b * b / (n_c - 1)) AS dof FROM a),
+s AS (SELECT t, dof, abs(t) / 4000 AS h, unnest(range(0, 4001)) AS i FROM w),
+d AS (SELECT t, dof, h, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(pi() * dof) * pow(1 + h * i * h * i / dof, -(dof + 1) / 2) AS f FROM s)
+SELECT t, dof, 1 - 2 * sum(f) * any_value(h) / 3 AS p_value FROM d GROUP BY t, dof""", "t dof p_value")
 q("x13_ttest_pooled", lambda t: ST.ttest_pooled(unit_orders(t), "arm", "treatment", "control", "spend", p_values=False), f"""
 WITH {UNITS_SQL}, m AS (SELECT {_TWO.format(m='spend')} FROM units)
 SELECT *, mean_t - mean_c AS diff, {_POOLSD} * sqrt(1 / n_t + 1 / n_c) AS se, n_t + n_c - 2 AS dof, (mean_t - mean_c) / ({_POOLSD} * sqrt(1 / n_t + 1 / n_c)) AS t FROM m""", "mean_t var_t mean_c var_c diff se dof t", 3)

@@ -124,11 +124,18 @@ def materialize(df, name, kind="table", path=None):
     return spark.read.table(name)
 
 
-def upsert_partition(df, path, part_col):
-    """Replace exactly the partitions present in ``df``; the others stay. Safe to repeat."""
+#: rows of one file of a partitioned table
+ROWS_PER_FILE = 4_000_000
+
+
+def upsert_partition(df, path, part_col, rows_per_file=ROWS_PER_FILE):
+    """Replace exactly the partitions present in ``df``; the others stay. Safe to repeat. A partition is written as so
+    many files as its rows ask for, each by a task of its own."""
     spark = df.sparkSession
-    (df.repartition(F.col(part_col), F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(64)))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part_col).parquet(path))
+    parts = df.groupBy(F.col(part_col).alias("_key")).agg(F.ceil(F.count(F.lit(1)) / F.lit(int(rows_per_file))).alias("_parts"))
+    sized = df.join(parts, F.col(part_col).eqNullSafe(F.col("_key")), "left")
+    dealt = sized.repartition(F.col(part_col), F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_parts")))
+    dealt.select(*df.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part_col).parquet(path)
     return spark.read.parquet(path)
 
 
