@@ -1,5 +1,7 @@
 """Enrichment, window, as-of, SCD, proximity and text joins. No operator here builds a Cartesian product."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F, types as T
 
 from cohortspark.functions.exprs import boundary_diff, classify, micros
@@ -248,9 +250,8 @@ def device_user_map(events, device, user, ts):
 
 # ---------------------------------------------------------------- text joins
 
-#: lengths of the blocks texts are cut into, and of the grams of patterns too short for those
-_BLOCKS = (12, 8, 6)
-_SHORT = (8, 6, 4, 3, 2, 1)
+#: lengths of the blocks texts are cut into; a pattern uses the longest it is sure to cover
+_BLOCKS = (12, 6, 3, 2)
 
 
 def contains_join(a, b, id_a, col_a, col_b):
@@ -258,38 +259,38 @@ def contains_join(a, b, id_a, col_a, col_b):
 
     Texts are cut into blocks of n characters. Wherever a pattern of 2n - 1 or more characters occurs, some of its grams
     of n characters are whole blocks: all those at places of one remainder modulo n. So for every remainder the pattern
-    is indexed by the gram there that the fewest texts hold, or not at all if no text holds one of them. Patterns too
-    short for blocks are indexed by their rarest gram among all grams of the texts. Only texts that hold such a gram
-    are searched for the whole pattern.
+    is indexed by the gram there that the fewest texts hold, or not at all if no text holds one of them. Only texts that
+    hold such a gram are searched for the whole pattern. Patterns of one or two characters, which are at most as many as
+    pairs of letters, are searched in every text.
     """
     pats = b.select(F.lower(F.col(col_b)).alias("_p")).filter(F.col("_p").isNotNull()).distinct()
     size = F.length("_p")
-    block, short = classify([(size >= 2 * n - 1, n) for n in _BLOCKS], 0), classify([(size >= n, n) for n in _SHORT], 0)
-    pats = durable(pats.withColumns({"_pid": F.monotonically_increasing_id(), "_blocks": block > 0, "_n": F.when(block > 0, block).otherwise(short)}))
-    kinds = [(r["_blocks"], r["_n"]) for r in pats.select("_blocks", "_n").distinct().collect()]  # one row per gram length
+    pats = durable(pats.withColumns({"_pid": F.monotonically_increasing_id(), "_n": classify([(size >= 2 * n - 1, n) for n in _BLOCKS], 0)}))
+    kinds = {r["_n"]: r["least"] for r in pats.groupBy("_n").agg(F.min(size).alias("least")).collect()}  # one row per block length
     if not kinds:
         return a.limit(0)
-    if any(n == 0 for _, n in kinds):  # the empty text is in every text
+    if kinds.get(0) == 0:  # the empty text is in every text
         return a.filter(F.col(col_a).isNotNull())
-    places = F.transform(F.sequence(F.lit(0), size - F.col("_n")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.col("_p").substr(i + 1, F.col("_n"))).alias("g")))
-    grams = pats.select("_pid", "_blocks", "_n", F.explode(places).alias("x"))
-    grams = durable(grams.select("_pid", "_blocks", "_n", "x.i", F.col("x.g").alias("_g"), F.when(F.col("_blocks"), F.col("x.i") % F.col("_n")).otherwise(0).alias("_rest")))
     texts = a.select(F.col(id_a).alias("_id"), F.lower(F.col(col_a)).alias("_t")).filter(F.col("_t").isNotNull())
-    held = None
-    for blocks, n in kinds:
-        # a look-ahead yields every substring of length n, the plain pattern the blocks
-        cut = F.regexp_extract_all("_t", F.lit(f"(?s)(.{{{n}}})" if blocks else f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        known = grams.filter((F.col("_n") == n) & (F.col("_blocks") == blocks)).select("_g").distinct()
-        part = texts.select("_id", F.explode(F.array_distinct(F.transform(cut, lambda g: F.xxhash64(g)))).alias("_g")).join(known, "_g")
-        part = part.select("_id", F.lit(blocks).alias("_blocks"), F.lit(n).alias("_n"), "_g")
-        held = part if held is None else held.unionByName(part)
-    held = durable(held)
-    spread = held.groupBy("_blocks", "_n", "_g").agg(F.count(F.lit(1)).alias("_texts"))
-    ranked = grams.join(spread, ["_blocks", "_n", "_g"], "left").withColumn("_texts", F.coalesce("_texts", F.lit(0)))
-    index = ranked.groupBy("_pid", "_blocks", "_n", "_rest").agg(F.min(F.struct("_texts", "i", "_g")).alias("_r")).filter("_r._texts > 0")
-    found = held.join(index.select("_pid", "_blocks", "_n", F.col("_r._g").alias("_g")), ["_blocks", "_n", "_g"]).select("_id", "_pid").distinct()
-    hits = found.join(pats.select("_pid", "_p"), "_pid").join(texts, "_id").filter(F.contains("_t", "_p")).select(F.col("_id").alias(id_a)).distinct()
-    return a.join(hits, id_a, "left_semi")
+    hits = None
+    if 0 in kinds:
+        short = pats.filter("_n = 0").agg(F.collect_list("_p").alias("s")).scalar()
+        hits = texts.withColumn("_short", short).filter(F.exists("_short", lambda p: F.contains(F.col("_t"), p))).select("_id")
+    kinds = [n for n in kinds if n]
+    if kinds:
+        places = F.transform(F.sequence(F.lit(0), size - F.col("_n")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.col("_n"), F.col("_p").substr(i + 1, F.col("_n"))).alias("g")))
+        grams = pats.filter("_n > 0").select("_pid", "_n", F.explode(places).alias("x"))
+        grams = durable(grams.select("_pid", "x.i", F.col("x.g").alias("_g"), (F.col("x.i") % F.col("_n")).alias("_rest")))
+        cuts = [texts.select("_id", F.explode(F.regexp_extract_all("_t", F.lit(f"(?s).{{{n}}}"), F.lit(0))).alias("_b")).select("_id", F.xxhash64(F.lit(n), "_b").alias("_g")) for n in kinds]
+        held = reduce(lambda x, y: x.unionByName(y), cuts)
+        held = durable(held.join(grams.select("_g").distinct(), "_g").distinct())
+        spread = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_texts"))
+        ranked = grams.join(spread, "_g", "left").withColumn("_texts", F.coalesce("_texts", F.lit(0)))
+        index = ranked.groupBy("_pid", "_rest").agg(F.min(F.struct("_texts", "i", "_g")).alias("_r")).filter("_r._texts > 0")
+        found = held.join(index.select("_pid", F.col("_r._g").alias("_g")), "_g").select("_id", "_pid").distinct()
+        found = found.join(pats.select("_pid", "_p"), "_pid").join(texts, "_id").filter(F.contains("_t", "_p")).select("_id")
+        hits = found if hits is None else hits.unionByName(found)
+    return a.join(hits.select(F.col("_id").alias(id_a)).distinct(), id_a, "left_semi")
 
 
 # Fixed value: a character no text has a use for marks what is taken.
