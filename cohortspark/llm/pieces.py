@@ -76,17 +76,24 @@ class PieceModel:
         self.table[codes] = [number[c] for c in self.alphabet]
         if self.unused.any():
             raise ValueError("models with unused pieces are not supported")
+        self.id_text = [str(i) for i in range(n)]
+        # what a piece decodes to; bytes have none of their own, neighbours are read together
+        self.plain = [None if self.is_byte[i] else " ⁇ " if i == self.unk else self.pieces[i].replace(SPACE, " ") for i in range(n)]
 
     # -- merge rounds ------------------------------------------------------------------------------------------------
 
+    def _made_of(self, left, right):
+        """Piece that two symbols make, -1 if none."""
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], -1)
+
     def _pairs(self, sym, word):
         """Piece made by each symbol and its right neighbour in the same word, -1 if none."""
         made = np.full(len(sym), -1, np.int64)
         if len(sym) > 1:
-            key = sym[:-1].astype(np.int64) * self.width + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = (self.keys[at] == key) & (word[:-1] == word[1:])
-            made[:-1][ok] = self.made[at[ok]]
+            inside = np.flatnonzero(word[:-1] == word[1:])
+            made[inside] = self._made_of(sym[inside], sym[inside + 1])
         return made
 
     def _rank_of(self, left, right):
@@ -101,8 +108,8 @@ class PieceModel:
         sym, word = self.table[codes].astype(np.int64), np.repeat(np.arange(len(words)), sizes)
         char = codes.astype(np.int64)  # code point while the symbol is one character
         done = []
+        made = self._pairs(sym, word)
         while len(sym):
-            made = self._pairs(sym, word)
             rank = np.where(made >= 0, self.rank[made], 2**31 - 1)
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, starts)
@@ -123,8 +130,13 @@ class PieceModel:
             if many.any():
                 hit = self._one_by_one(hit, many, sizes, sym, word, made, best)
             sym = np.where(hit, made, sym)
-            gone = np.r_[False, hit[:-1]]
-            sym, word, char = sym[~gone], word[~gone], char[~gone]
+            stay = ~np.r_[False, hit[:-1]]
+            at = (np.cumsum(stay) - 1)[hit]
+            sym, word, char, made = sym[stay], word[stay], char[stay], made[stay]
+            # only pairs that a merged symbol is in are new
+            for place in (at, at[at > 0] - 1):
+                right = np.minimum(place + 1, len(sym) - 1)
+                made[place] = np.where((right > place) & (word[place] == word[right]), self._made_of(sym[place], sym[right]), -1)
         word = np.concatenate([d[0] for d in done]) if done else np.zeros(0, np.int64)
         by = np.argsort(word, kind="stable")
         sym = np.concatenate([d[1] for d in done])[by] if done else word
@@ -199,15 +211,18 @@ class PieceModel:
 
     def surface(self, ids):
         """Text of ids: pieces with spaces for space marks; neighbouring byte pieces are read as UTF-8 together."""
+        plain = [self.plain[i] for i in ids]
+        if None not in plain:
+            return "".join(plain)
         out, raw = [], bytearray()
-        for i in ids:
-            if self.is_byte[i]:
+        for i, text in zip(ids, plain):
+            if text is None:
                 raw.append(int(self.pieces[i][3:5], 16))
                 continue
             if raw:
                 out.append(_read_bytes(raw))
                 raw = bytearray()
-            out.append(" ⁇ " if i == self.unk else self.pieces[i].replace(SPACE, " "))
+            out.append(text)
         if raw:
             out.append(_read_bytes(raw))
         return "".join(out)
@@ -257,8 +272,9 @@ class WordCache:
         new = list(new)
         for start in range(0, len(new), 100_000):
             part = new[start:start + 100_000]
+            text, surface = self.model.id_text, self.model.surface
             for w, ids in zip(part, self.model.encode_words(part)):
-                self.known[w] = (len(ids), ",".join(map(str, ids)), self.model.surface(ids), ids)
+                self.known[w] = (len(ids), ",".join([text[i] for i in ids]), surface(ids), ids)
 
 
 _CACHES = {}
