@@ -131,6 +131,13 @@ def payload_of(block):
     return block.partition(b"\r\n\r\n")[2]
 
 
+def payload_length(kind, block):
+    """Length of the payload a record stands for: its own, or for a revisit the one its HTTP head states."""
+    head, _, payload = block.partition(b"\r\n\r\n")
+    stated = [line[15:] for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:")]
+    return int(stated[-1]) if kind == "revisit" and stated else len(payload)
+
+
 def _task():
     from pyspark import TaskContext
 
@@ -165,7 +172,7 @@ def one_task_each(manifest):
 
 
 def read_headers(manifest):
-    """One row per record of the archives, with the length of the payload it holds."""
+    """One row per record of the archives, with the length of the payload it holds or stands for."""
 
     def run(batches):
         for batch in batches:
@@ -178,7 +185,7 @@ def read_headers(manifest):
                     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     if h["WARC-Type"] == "response" and payload_digest(payload) != digest:
                         raise ValueError(f"record {place} of {path}: the payload does not have its digest")
-                    rows.append((path, place, h["WARC-Record-ID"], page and int(page), h["WARC-Type"], digest, len(payload), h.get("WARC-Refers-To"), to and int(to)))
+                    rows.append((path, place, h["WARC-Record-ID"], page and int(page), h["WARC-Type"], digest, payload_length(h["WARC-Type"], block), h.get("WARC-Refers-To"), to and int(to)))
                 names = [c.split()[0] for c in HEADERS.split(", ")]
                 types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 for start in range(0, len(rows), 10_000):
@@ -189,12 +196,14 @@ def read_headers(manifest):
 
 
 def resolve(headers, min_bytes=0):
-    """Each record's decision: path, place, type (response or revisit), refers_to, refers_id. Shuffles headers only."""
+    """Each record's decision: path, place, type (response or revisit), refers_to, refers_id. Shuffles headers only.
+    Earlier revisits go to the payload's original too, so that none points to a record that has become a revisit."""
     order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "path", "place", "record_id")
     eligible = headers.where((F.col("type") == "response") & (F.col("payload_bytes") >= min_bytes))
     first = eligible.groupBy("digest", "payload_bytes").agg(F.min(order).alias("original"))
     joined = headers.join(first, ["digest", "payload_bytes"], "left")
-    again = F.col("original").isNotNull() & (F.col("record_id") != F.col("original.record_id")) & (F.col("type") == "response")
+    other = (F.col("path") != F.col("original.path")) | (F.col("place") != F.col("original.place"))  # ids may repeat between archives
+    again = F.col("original").isNotNull() & other & F.col("type").isin("response", "revisit")
     return joined.select("path", "place", F.when(again, "revisit").otherwise(F.col("type")).alias("kind"),
                          F.when(again, F.col("original.page_id")).otherwise(F.col("refers_to")).alias("to_page"),
                          F.when(again, F.col("original.record_id")).otherwise(F.col("refers_id")).alias("to_record"))
@@ -202,8 +211,10 @@ def resolve(headers, min_bytes=0):
 
 def deduplicate_archives(manifest, folder, min_bytes=0):
     """Archives with revisit records for repeated payloads, under fresh headers. An archive's decisions (bounded, as
-    archives are rolled by size) go to the task that rewrites it."""
-    decisions = resolve(stored(read_headers(manifest), "headers"), min_bytes)
+    archives are rolled by size) go to the task that rewrites it. New names hold a hash of the archive's whole path, so
+    archives of one name in several folders stay apart; as many records must come out as were read."""
+    headers = stored(read_headers(manifest), "headers")
+    decisions = resolve(headers, min_bytes)
     changes = decisions.where("kind = 'revisit'").groupBy(F.col("path").alias("_path")).agg(F.collect_list(F.struct("place", "to_page", "to_record")).alias("changes"))
     work = manifest.join(changes, manifest["path"] == changes["_path"], "left").select("path", "changes")
     n = max(1, manifest.count())
@@ -212,21 +223,23 @@ def deduplicate_archives(manifest, folder, min_bytes=0):
         for batch in batches:
             for path, changes_ in zip(batch.column("path").to_pylist(), batch.column("changes").to_pylist()):
                 again = {c["place"]: c for c in changes_ or []}
-                writer = ArchiveWriter(folder, path.rsplit("/", 1)[1].removesuffix(".warc.gz"))
+                writer = ArchiveWriter(folder, f"{path.rsplit('/', 1)[1].removesuffix('.warc.gz')}-{hashlib.sha1(path.encode()).hexdigest()[:12]}")
                 for place, h, block in read_records(path):
                     page, digest, payload = h.get("X-Page-Id"), h["WARC-Payload-Digest"].removeprefix("sha1:"), payload_of(block)
                     url = h["WARC-Target-URI"]
                     if place in again:
                         c = again[place]
-                        raw = record_bytes("revisit", page, url, b"", digest, h["WARC-Record-ID"], c["to_page"], c["to_record"], len(payload))
-                    elif h["WARC-Type"] == "revisit":
-                        raw = record_bytes("revisit", page, url, b"", digest, h["WARC-Record-ID"], h.get("X-Refers-To-Page-Id"), h["WARC-Refers-To"])
+                        raw = record_bytes("revisit", page, url, b"", digest, h["WARC-Record-ID"], c["to_page"], c["to_record"], payload_length(h["WARC-Type"], block))
                     else:
                         raw = record_bytes("response", page, url, payload, digest, h["WARC-Record-ID"])
                     writer.put(raw)
                 yield writer.manifest()
 
-    return stored(work.repartitionByRange(n, "path").mapInArrow(run, "path string, records long"), "manifest")
+    done = stored(work.repartitionByRange(n, "path").mapInArrow(run, "path string, records long"), "manifest")
+    read, written = headers.count(), done.agg(F.sum("records").alias("n")).first()["n"] or 0
+    if read != written:
+        raise ValueError(f"{read} records were read and {written} written")
+    return done
 
 
 def resolved_pages(manifest):

@@ -156,6 +156,29 @@ def test_archives(spark, roll, monkeypatch):
     assert all(h["WARC-Refers-To"] in ids for _, h, _ in records if h["WARC-Type"] == "revisit")
 
 
+def test_archives_of_one_name_and_earlier_revisits(spark):
+    """Three folders whose archives share their names; the third holds revisits of an earlier run. Deduplicated twice."""
+    from cohortspark.llm import warc
+    from cohortspark.llm.common import shared_path
+
+    schema = "page_id long, url string, html string"
+    first = warc.write_archives(spark.createDataFrame([(1, "u", "aaaa"), (5, "v", "bb")], schema).coalesce(1), shared_path(spark, "warc"))
+    second = warc.write_archives(spark.createDataFrame([(6, "w", "aaaa"), (7, "x", "cc"), (1, "u", "aaaa")], schema).coalesce(1), shared_path(spark, "warc"))
+    _, third = warc.archive_pages(spark.createDataFrame([(8, "y", "aaaa"), (9, "z", "aaaa"), (10, "z", None)], schema).coalesce(1))
+    names = lambda m: [r["path"].rsplit("/", 1)[1][:10] for r in m.collect()]
+    assert names(first) == names(second) == names(third)
+    final = first.unionByName(second).unionByName(third)
+    for _ in range(2):
+        final = warc.deduplicate_archives(final, shared_path(spark, "warc-again"))
+        assert final.agg(F.sum("records")).first()[0] == 8
+        rows = warc.resolved_pages(final).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+        same_rows(rows, [(1, 4, "response", None), (5, 2, "response", None), (6, 4, "revisit", 1), (7, 2, "response", None), (1, 4, "revisit", 1),
+                         (8, 4, "revisit", 1), (9, 4, "revisit", 1), (10, 0, "response", None)])
+    records = [r for f in final.collect() for r in warc.read_records(f["path"])]
+    ids = {h["WARC-Record-ID"] for _, h, _ in records if h["WARC-Type"] == "response"}
+    assert all(h["WARC-Refers-To"] in ids and b"Content-Length: 4\r\n" in block for _, h, block in records if h["WARC-Type"] == "revisit")
+
+
 def test_small_payloads_stay_responses(spark):
     from cohortspark.llm.warc import archive_pages
 
