@@ -24,11 +24,13 @@ def natural_full_join(a, b):
     return a.join(b, shared, "full")
 
 
-def join_on_str(a, b, key_a, key_b, how="inner"):
-    """Equi join of ids of different types, compared as trimmed strings; b's key column is dropped."""
+def join_on_str(a, b, key_a, key_b, how="inner", hot_rows=None):
+    """Equi join of ids of different types, compared as trimmed strings; b's key column is dropped. In inner and left
+    joins the rows of a's hot ids meet b in many tasks."""
     left = a.withColumn("_k", F.trim(F.col(key_a).cast("string")))
     right = b.withColumn("_k", F.trim(F.col(key_b).cast("string"))).drop(key_b)
-    return left.join(right, "_k", how).drop("_k")
+    joined = spread_join(left, right, ["_k"], how, hot_rows) if how in ("inner", "left") else left.join(right, "_k", how)
+    return joined.drop("_k")
 
 
 def semi_join(a, b, on):

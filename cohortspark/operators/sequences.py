@@ -6,7 +6,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cohortspark.functions.exprs import col, micros
-from cohortspark.operators.ordered import OrderedScan, lag, row_number
+from cohortspark.operators.joins import spread_join
+from cohortspark.operators.ordered import OrderedScan, key_sum, lag, row_number
 from cohortspark.operators.windows import first_per, top_n
 
 
@@ -38,7 +39,7 @@ def session_similarity(df, unit, order, vec, mode="prev", name="similarity", hot
         out = OrderedScan(df, [unit], order, hot_rows=hot_rows).add(_ref=lag(vec)).result()
     else:
         anchor = first_per(df, [unit], order).select(unit, F.col(vec).alias("_ref"))
-        out = df.join(anchor, unit)
+        out = spread_join(df, anchor, [unit], "inner", hot_rows)
     return out.withColumn(name, cosine(vec, "_ref")).drop("_ref")
 
 
@@ -51,7 +52,7 @@ def session_sequences(events, session, ts, tiebreak, event, max_len=20, min_freq
     vocab = OrderedScan(counts, [], ["-_f", event], hot_rows=hot_rows).add(_id=row_number()).result().select(event, (F.col("_id") + 1).cast("int").alias("_id"))
     scan = OrderedScan(events.select(*session, ts, tiebreak, event), session, [ts, tiebreak], hot_rows=hot_rows)
     rows = scan.add(_rn=row_number(), _prev=lag(ts)).result()
-    rows = rows.join(vocab, event, "left")
+    rows = spread_join(rows, vocab, [event], "left", hot_rows)
     item = F.struct("_rn", F.col(event).alias("e"), F.coalesce((micros(ts) - micros("_prev")) / 1000000.0, F.lit(0.0)).alias("s"), F.coalesce("_id", F.lit(1)).alias("i"))
     # truncation to max_len happens before the rows of a session meet
     out = rows.groupBy(*session).agg(F.count(F.lit(1)).alias("n_events"), F.array_sort(F.collect_list(F.when(F.col("_rn") <= max_len, item))).alias("_q"))
@@ -80,8 +81,7 @@ def top_entities(scored, entity, score, n=10, min_n=10):
 
 def touch_weights(events, session, ts, tiebreak, hot_rows=None):
     """Linear touch weight per event: 1 / events of its session, with its position."""
-    sizes = events.groupBy(*session).agg(F.count(F.lit(1)).alias("_n"))
-    scan = OrderedScan(events, session, [ts, tiebreak], hot_rows=hot_rows).add(position=row_number())
-    return scan.result().join(sizes, list(session)).withColumn("score", 1.0 / F.col("_n")).drop("_n")
+    scan = OrderedScan(events, session, [ts, tiebreak], hot_rows=hot_rows).add(position=row_number(), _n=key_sum(F.lit(1)))
+    return scan.derive(score=1.0 / F.col("_n")).result().drop("_n")
 
 
