@@ -29,9 +29,9 @@ LOWEST = -(2**63)
 
 
 def levels_of(width):
-    """Lengths below the width, each half of the next, down to about 12."""
+    """Lengths below the width, each half of the next, down to about 12; at least one."""
     out = []
-    while width > 24:
+    while width > 24 or not out:
         width = -(-width // 2)
         out.append(width)
     return out[::-1]

@@ -158,6 +158,13 @@ def test_substring_dedup(docs, texts):
     same_rows(drop_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), want)
 
 
+@pytest.mark.parametrize("width", [1, 9, 24])
+def test_substring_dedup_of_short_windows(docs, texts, width):
+    from cohortspark.llm.substrings import drop_repeats
+
+    same_rows(drop_repeats(docs, width).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute_words(texts, width))
+
+
 # -- suffix dedup ----------------------------------------------------------------------------------------------------
 
 
