@@ -259,17 +259,21 @@ def load_model(path):
 
 
 class WordCache:
-    """Words encoded so far in this worker: ids, their comma-joined text, decoded text. Emptied when full."""
+    """Words encoded so far in this worker: ids, their comma-joined text, decoded text. When full, the words become the
+    older half, from which those still in use move on; the rest goes with the next change."""
 
     def __init__(self, model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.older = model, {}, {}
 
     def need(self, lists):
-        new = set().union(*lists).difference(self.known)
+        wanted = set().union(*lists)
+        new = wanted.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = set().union(*lists)
-        new = list(new)
+            self.known, self.older = {}, self.known
+            new = wanted
+        held = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in held)
+        new = list(new.difference(held))
         for start in range(0, len(new), 100_000):
             part = new[start:start + 100_000]
             text, surface = self.model.id_text, self.model.surface
