@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cohortspark.operators.joins import with_totals
 from cohortspark.operators.lineage import durable
 from cohortspark.operators.ordered import OrderedScan, null_safe_join, running_sum
 
@@ -96,7 +97,7 @@ class Logits:
 
     def _joined(self, df):
         table = self.cohorts.select(*self.by, "_cid", "_mean", "_sd", "_beta")
-        return null_safe_join(df, table, self.by) if self.by else df.join(F.broadcast(table))  # one row
+        return null_safe_join(df, table, self.by) if self.by else with_totals(df, table)
 
     def transform(self, df, name="probability"):
         """Add P(y = 1); NULL for cohorts that were not fitted."""
@@ -117,7 +118,7 @@ def fit_logits(df, xs, y, by=(), reg=0.0, max_iter=50, tol=1e-9):
     groups = frame.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *stats) if by else frame.agg(F.count(F.lit(1)).alias("_rows"), *stats).filter("_rows > 0")
     cohorts = durable(groups.select(*by, F.monotonically_increasing_id().alias("_cid"), F.array(*[F.col(f"m{i}") for i in range(len(xs))]).cast("array<double>").alias("_mean"),
                                     F.array(*[F.coalesce(f"d{i}", F.lit(0.0)) for i in range(len(xs))]).cast("array<double>").alias("_sd")))
-    keyed = null_safe_join(frame, cohorts, by) if by else frame.join(F.broadcast(cohorts))
+    keyed = null_safe_join(frame, cohorts, by) if by else with_totals(frame, cohorts)
     z = [F.when(F.col("_sd")[i] > 0, (F.col(f"_x{i}") - F.col("_mean")[i]) / F.col("_sd")[i]).otherwise(0.0) for i in range(len(xs))]
     rows = durable(keyed.select("_cid", F.array(*z).cast("array<double>").alias("_x"), "_y"))
     zero, nan = F.array_repeat(F.lit(0.0), p), F.lit(float("nan"))
