@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cohortspark.llm.blocks import release
 from cohortspark.llm.common import TEXT_KEY, arrow_map, keyed, row_chunks, stored
 from cohortspark.llm.jaccard import bitmap, in_bitmap
 from cohortspark.llm.repeats import Rows, merge_spans
@@ -97,12 +98,15 @@ def repeated_spans(docs, width=WIDTH):
         sent.append((k, context.broadcast(held), bits))
     doc = F.coalesce("doc_id", F.lit(LOWEST))
     segments = stored(segment_rows(rows, width, sent), "segments")
+    release(docs.sparkSession)
     first_of = segments.groupBy("s1", "s2").agg(F.min(doc).alias("holder"), F.min("anchor").alias("anchor"))
     first_of = stored(first_of, "segment-holders")
+    release(docs.sparkSession)
     # anchors that several different segments share; the rest has nothing to be compared with
     shared = first_of.groupBy("anchor").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x != y").select("anchor", F.lit(True).alias("shared"))
     named = first_of.join(shared, "anchor", "left").select("s1", "s2", "holder", F.coalesce("shared", F.lit(False)).alias("shared"))
     judged = stored(segments.join(named, ["s1", "s2"]), "segments-judged")
+    release(docs.sparkSession)
     whole = judged.where(doc > F.col("holder")).select("doc_id", TEXT_KEY, "first", "last")
 
     def open_windows(batch):
