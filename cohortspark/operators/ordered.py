@@ -2,7 +2,8 @@
 
 ``OrderedScan`` gives the usual window results (lag, fill, running totals, row number) per key. A key whose rows fit one
 task uses a plain Spark window. Keys with more rows, any number of them, and orders over a whole table are dealt by
-ranges of (key, all order columns) with ``repartitionByRange``; the range a row is in is its cell. Rows are windowed
+ranges of (key, all order columns) with ``repartitionByRange`` and sorted inside each range; runs of consecutive rows of a
+range are its cells. Tasks and files are as many as a shuffle has, whatever the number of cells. Rows are windowed
 inside (key, cell), and what must cross a cell border comes from a carry table with one row per (key, cell), joined on
 both. No border is searched, nothing is capped, and no row is dropped or sampled.
 """
@@ -152,14 +153,20 @@ class OrderedScan:
         if not self.split:
             return self.plain
         cut = self.cut.drop("_kid")
-        return cut if self.plain is None else self.plain.withColumn("_cell", F.lit(-1)).unionByName(cut)
+        return cut if self.plain is None else self.plain.withColumn("_cell", F.lit(-1).cast("bigint")).unionByName(cut)
 
     def _cells(self, rows, count):
-        """Rows with their cell: the range of (key, order columns) they fall in. Written out, because every later step
-        must see the same ranges."""
-        cells = max(2, -(-2 * count // max(1, self.hot_rows)))
-        dealt = rows.repartitionByRange(cells, "_kid", *sort_columns(self.order))
-        return durable(dealt.withColumn("_cell", F.spark_partition_id()))
+        """Rows with their cell, a run of at most half of ``hot_rows`` rows in the order of (key, order columns); its number
+        is that of its first row. Written out, because every later step must see the same cells.
+
+        A range holds many cells: with a task and a file per cell the driver would hear of each of them."""
+        half = max(1, int(self.hot_rows) // 2)
+        shuffled = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(2, min(-(-count // half), max(shuffled, -(-2 * count // HOT_ROWS))))
+        by = [F.col("_kid").asc(), *sort_columns(self.order)]
+        number = F.monotonically_increasing_id()  # the range's number, and below it 33 bits of the row's number inside
+        dealt = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("_at", number)
+        return durable(dealt.withColumn("_cell", F.col("_at") - F.col("_at").bitwiseAND(2**33 - 1) % half).drop("_at"))
 
     # ------------------------------------------------------------ windows
 

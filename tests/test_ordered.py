@@ -100,3 +100,16 @@ def test_null_and_float_keys_when_cut(spark):
         assert both.filter("total = 40").count() == 120
         ranked = W.ranks(df, [], "k", hot_rows=hot_rows).groupBy("rank", "dense_rank").count().orderBy("rank").collect()
         assert [tuple(r) for r in ranked] == [(1, 1, 40), (41, 2, 40), (81, 3, 1), (82, 4, 40)]
+
+
+def test_cells_are_many_to_a_task(spark):
+    # a cell was a task and a file: their reports to the driver grew with rows / hot_rows
+    df = spark.range(6000).select("id", (F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("t"))
+    ops = dict(n=row_number(), prev=lag("id"), after=lead("id"), total=key_sum("t"))
+    for keys in ([], ["k"]):
+        scan = OrderedScan(df, keys, ["-t", "id"], hot_rows=10)
+        sizes = scan.cut.groupBy(*keys, "_cell").count().agg(F.count(F.lit(1)), F.max("count")).first()
+        assert sizes[0] >= 1200 and sizes[1] <= 5
+        assert len(scan.cut.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+        plain = OrderedScan(df, keys, ["-t", "id"]).add(**ops).result()
+        assert rows(plain, plain.columns) == rows(scan.add(**ops).result(), plain.columns)
