@@ -20,20 +20,24 @@ class Rows:
     def __init__(self, values, off, width):
         self.values, self.off, self.width = values, off, width
         self.prefix = Prefix(values)
-        self.low = {}
-        self.row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        self.end = off[1:][self.row]
+        self.low, self.gram = {}, (0, None)
+        size = np.diff(off)
+        self.row = np.repeat(np.arange(len(off) - 1), size)
+        self.room = np.repeat(off[1:], size) - np.arange(len(values))  # elements from each place to its row's end
 
     def grams(self, k):
         """Hash of the k-gram at each place; those that would cross rows are never the smallest of a window."""
         n = len(self.values) - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        at = np.arange(n)
-        g = mix(self.prefix.of(at, at + k) + np.uint64(k))
-        g = np.clip(g, np.uint64(1), LAST - np.uint64(1))
-        g[at + k > self.end[:n]] = LAST
-        return g
+        if self.gram[0] != k:
+            g = self.prefix.each(k)
+            g += np.uint64(k)
+            g = mix(g)
+            np.clip(g, np.uint64(1), LAST - np.uint64(1), out=g)
+            g[self.room[:n] < k] = LAST
+            self.gram = k, g
+        return self.gram[1]
 
     def smallest(self, k):
         """The smallest k-gram of the window at each place: its anchor."""
@@ -44,11 +48,17 @@ class Rows:
     def candidates(self, levels):
         """Whether the window at each place has repeated anchors only. levels: (k, test of hashes as int64)."""
         n = max(0, len(self.values) - self.width + 1)
-        ok = np.arange(n) + self.width <= self.end[:n]
+        ok = self.room[:n] >= self.width
         for k, repeated in levels:
-            at = np.flatnonzero(ok)
-            if not len(at):
+            left = np.count_nonzero(ok)
+            if not left:
                 break
+            if 2 * left > n:  # most places: whole runs of one anchor, without a list of places
+                low = self.smallest(k)
+                new = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+                ok &= np.repeat(repeated(low[new].view(np.int64)), np.diff(np.r_[new, n]))
+                continue
+            at = np.flatnonzero(ok)
             low = self.smallest(k)[at]
             new = np.r_[True, low[1:] != low[:-1]]
             good = repeated(low[new].view(np.int64))

@@ -25,12 +25,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import TEXT_KEY, arrow_map, keyed, row_chunks, stored, utf8
 from cohortspark.llm.jaccard import bitmap, in_bitmap
 from cohortspark.llm.repeats import Rows, merge_spans
-from cohortspark.llm.tokens import Prefix, byte_values, slide
+from cohortspark.llm.tokens import Prefix, byte_values, inverse, powers, slide
 
 WIDTH, GRAM = 100, 32
 LEVELS = (GRAM,)
@@ -46,70 +47,79 @@ BLOCK, CROWD = 150_000, 120_000
 def common_extension(prefix, a, b, limit):
     """Length of the common prefix of the suffixes at a and b, up to ``limit``: binary search over hash equality."""
     low, high = np.zeros(len(a), np.int64), np.full(len(a), limit, np.int64)
+    sums, scale = prefix.sums, powers(len(prefix.sums), inverse(prefix.base))
+    sum_a, sum_b, scale_a, scale_b = sums[a], sums[b], scale[a], scale[b]
     while True:
         open_ = low < high
         if not open_.any():
             return low
         mid = (low + high + 1) >> 1
-        same = prefix.of(a, a + mid) == prefix.of(b, b + mid)
+        same = (sums[a + mid] - sum_a) * scale_a == (sums[b + mid] - sum_b) * scale_b
         low = np.where(open_ & same, mid, low)
         high = np.where(open_ & ~same, mid - 1, high)
 
 
 def less(data, prefix, a, b, limit):
-    """Whether suffix a comes before suffix b, and whether they agree in ``limit`` bytes."""
+    """Whether suffix a comes before suffix b, which differs from it within ``limit`` bytes."""
     ext = common_extension(prefix, a, b, limit)
-    equal = ext == limit
-    at = np.where(equal, 0, ext)
-    return np.where(equal, False, data[a + at] < data[b + at]), equal
+    return data[a + ext] < data[b + ext]
 
 
 def sort_suffixes(data, starts, limit):
     """(starts in the order of their first ``limit`` bytes, whether each equals the one before it).
 
-    Runs begin with the order of the first eight bytes; groups of equal beginnings are merged bottom-up. At each level
-    every suffix finds its rank in the sibling run by binary search. ``data`` holds ``limit`` bytes after each start."""
+    Runs begin with the order of the first eight bytes; groups of equal beginnings are merged bottom-up, where suffixes
+    that agree in ``limit`` bytes by hash are compared and moved as one. At each level every suffix finds its rank in the
+    sibling run by binary search. ``data`` holds ``limit`` bytes after each start."""
+    if not len(starts):
+        return starts, np.zeros(0, bool)
     prefix = Prefix(byte_values(11)[data])
-    head = data[starts[:, None] + np.arange(8)].astype(">u1").copy().view(">u8").ravel().astype(np.uint64)
-    order = starts[np.argsort(head, kind="stable")]
-    head = np.sort(head, kind="stable")
-    group = np.cumsum(np.r_[False, head[1:] != head[:-1]])
-    begin = np.searchsorted(group, np.arange(group[-1] + 1)) if len(group) else np.zeros(0, np.int64)
+    head = sliding_window_view(data, 8)[starts].view(">u8").ravel().astype(np.uint64)
+    whole = prefix.of(starts, starts + limit)
+    by = np.lexsort((whole, head))
+    order, head, whole = starts[by], head[by], whole[by]
+    opens = np.ones(len(order), bool)  # the first of each group of equal beginnings
+    opens[1:] = head[1:] != head[:-1]
+    apart = opens.copy()
+    apart[1:] |= whole[1:] != whole[:-1]
+    lead = np.flatnonzero(apart)  # the first of each set of suffixes that move as one
+    alone, copies = order[lead], np.diff(np.r_[lead, len(order)])
+    group = np.cumsum(opens[lead]) - 1
+    begin = np.flatnonzero(opens[lead])
     size = np.diff(np.r_[begin, len(group)])
+    turn = np.arange(len(lead))  # the order of the sets
     width = 1
     while (size > width).any():
         at = np.flatnonzero(np.repeat(size > width, size))  # groups that are one run stay as they are
         base, end = begin[group[at]], begin[group[at]] + size[group[at]]
         run = (at - base) // width
-        left = run % 2 == 0
         other = base + (run ^ 1) * width
         low = np.minimum(other, end)
         high = np.minimum(other + width, end)
         first = low.copy()
+        now = alone[turn]
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
                 break
             mid = (low[open_] + high[open_]) >> 1
-            before, equal = less(data, prefix, order[mid], order[at[open_]], limit)
-            up = before | (equal & ~left[open_])  # stable: the left run goes first
-            low[open_] = np.where(up, mid + 1, low[open_])
-            high[open_] = np.where(up, high[open_], mid)
+            before = less(data, prefix, now[mid], now[at[open_]], limit)
+            low[open_] = np.where(before, mid + 1, low[open_])
+            high[open_] = np.where(before, high[open_], mid)
         own = at - (base + run * width)
         target = base + (run & ~1) * width + own + (low - first)
-        merged = order.copy()
-        merged[target] = order[at]
-        order = merged
+        merged = turn.copy()
+        merged[target] = turn[at]
+        turn = merged
         width *= 2
-    same = np.zeros(len(order), bool)
-    if len(order) > 1:
-        pairs = np.flatnonzero(group[1:] == group[:-1]) + 1
-        alike = pairs[common_extension(prefix, order[pairs - 1], order[pairs], limit) == limit]
-        for cut in range(0, len(alike), 100_000):  # collision verification, byte by byte
-            some = alike[cut:cut + 100_000]
-            wide = np.arange(limit)
-            same[some] = (data[order[some - 1][:, None] + wide] == data[order[some][:, None] + wide]).all(axis=1)
-        if (~same[alike]).any():
+    copies, lead = copies[turn], lead[turn]
+    shift = np.arange(len(order)) - np.repeat(np.r_[0, np.cumsum(copies)[:-1]], copies)
+    order = order[np.repeat(lead, copies) + shift]
+    same = shift > 0
+    alike, view = np.flatnonzero(same), sliding_window_view(data, limit)
+    for cut in range(0, len(alike), 20_000):  # collision verification, byte by byte
+        some = alike[cut:cut + 20_000]
+        if (view[order[some - 1]] != view[order[some]]).any():
             raise ValueError("prefix hashes collide; sort this block with another seed")
     return order, same
 
@@ -141,7 +151,7 @@ def repeated_anchors(rows, sent, k):
 
     def run(batch):
         tests = _tests(sent)
-        for part in row_chunks(batch, 500_000):
+        for part in row_chunks(batch, 120_000):
             seq, _ = _rows(part)
             g, places = _places(seq, seq.candidates(tests), k)
             yield {"hash": g[places].view(np.int64)}
@@ -156,7 +166,7 @@ def segment_rows(rows, sent, wanted=None):
 
     def run(batch):
         tests = _tests(sent)
-        for part in row_chunks(batch, 500_000):
+        for part in row_chunks(batch, 120_000):
             seq, data = _rows(part)
             ok = seq.candidates(tests)
             first, last, anchor = seq.segments(ok, GRAM)

@@ -17,9 +17,12 @@ _LOWER[65:91] += 32
 
 
 def mix(x):
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 @lru_cache(maxsize=4)
@@ -57,6 +60,12 @@ class Prefix:
     def of(self, start, end):
         return (self.sums[end] - self.sums[start]) * powers(len(self.sums), inverse(self.base))[start]
 
+    def each(self, k):
+        """Hashes of the stretches of k values at all places."""
+        out = self.sums[k:] - self.sums[:-k]
+        out *= powers(len(self.sums), inverse(self.base))[:len(out)]
+        return out
+
 
 def word_table(column, kind="plain", seed=7):
     """Hashes of all words of a string column: (hash of each word, first word of each row and the total at the end).

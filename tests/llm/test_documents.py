@@ -185,6 +185,49 @@ def test_suffix_sort():
     assert same.tolist() == [False] + [raw[a:a + 100] == raw[b:b + 100] for a, b in zip(want, want[1:])]
 
 
+def test_copies_are_sorted_as_one(monkeypatch):
+    import numpy as np
+
+    from cohortspark.llm import suffixes
+
+    compared = []
+    extension = suffixes.common_extension
+    monkeypatch.setattr(suffixes, "common_extension", lambda prefix, a, b, limit: compared.append(len(a)) or extension(prefix, a, b, limit))
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 123, 160, dtype=np.uint8)
+    tail = rng.integers(97, 123, 40, dtype=np.uint8)
+    blobs = [text] * 50 + [np.r_[text[:120], tail]] * 30
+    data = np.concatenate(blobs)
+    starts = (np.arange(len(blobs))[:, None] * 160 + np.arange(61)).ravel()
+    order, same = suffixes.sort_suffixes(data, starts, 100)
+    found = [data[s:s + 100].tobytes() for s in order]
+    assert found == sorted(data[s:s + 100].tobytes() for s in starts) and sorted(order) == starts.tolist()
+    assert same.tolist() == [False] + [x == y for x, y in zip(found, found[1:])]
+    assert sum(compared) < len(starts)  # 61 + 40 strings to compare, each many times over
+    assert [len(x) for x in suffixes.sort_suffixes(data, starts[:0], 100)] == [0, 0]
+
+
+def test_grams_and_candidates_end_with_their_row():
+    import numpy as np
+
+    from cohortspark.llm.repeats import LAST, Rows
+
+    values = np.random.default_rng(2).integers(0, 5, 400).astype(np.uint64)
+    off = np.array([0, 0, 90, 92, 250, 400])
+    rows = Rows(values, off, 20)
+    g, inside = rows.grams(6), [at + 6 <= off[off > at][0] for at in range(395)]
+    assert (g == LAST).tolist() == [not x for x in inside]
+    texts = {}
+    for at in np.flatnonzero(inside).tolist():
+        texts.setdefault(values[at:at + 6].tobytes(), set()).add(int(g[at]))
+    assert all(len(x) == 1 for x in texts.values()) and len(set.union(*texts.values())) == len(texts)
+    odd = lambda h: h & 1 > 0
+    low = [min(g[at:at + 15]) for at in range(381)]
+    whole = [at + 20 <= off[off > at][0] for at in range(381)]
+    assert rows.candidates([(6, odd)]).tolist() == [bool(w and odd(x.view(np.int64))) for w, x in zip(whole, low)]
+    assert rows.candidates([(6, odd), (6, odd)]).tolist() == rows.candidates([(6, odd)]).tolist()
+
+
 @pytest.mark.parametrize("crowd", [1000, 2])
 def test_suffix_dedup(docs, texts, crowd, monkeypatch):
     from cohortspark.llm import suffixes
