@@ -160,9 +160,9 @@ def repeated_anchors(rows, sent, k):
 
 
 def segment_rows(rows, sent, wanted=None):
-    """doc_id, text key, first, last, anchor and name (two hashes of 64 bits that tell its text), loops (it overlaps itself); with ``wanted`` (a bitmap of
-    anchors) only those segments, with the bytes they cover."""
-    pick = wanted and (rows.sparkSession.sparkContext.broadcast(wanted[0]), wanted[1])
+    """doc_id, text key, first, last, anchor and name (two hashes of 64 bits that tell its text), loops (it overlaps itself); with ``wanted`` (bitmaps of
+    anchors and of places) only those segments, with the bytes they cover."""
+    pick = wanted and [(rows.sparkSession.sparkContext.broadcast(held), bits) for held, bits in wanted]
 
     def run(batch):
         tests = _tests(sent)
@@ -171,7 +171,12 @@ def segment_rows(rows, sent, wanted=None):
             ok = seq.candidates(tests)
             first, last, anchor = seq.segments(ok, GRAM)
             if pick is not None and len(first):
-                mine = in_bitmap((pick[0].value, pick[1]), anchor.view(np.int64))
+                (anchors, a_bits), (places, p_bits) = [(held.value, bits) for held, bits in pick]
+                mine = np.flatnonzero(in_bitmap((anchors, a_bits), anchor.view(np.int64)))
+                row = seq.row[first[mine]]
+                doc = part.column("doc_id").fill_null(LOWEST).to_numpy()[row]
+                at = part.column(TEXT_KEY).to_numpy()[row] ^ (first[mine] - seq.off[row]) ^ (doc << 12)  # as in repeated_spans
+                mine = mine[in_bitmap((places, p_bits), at)]
                 first, last, anchor = first[mine], last[mine], anchor[mine]
             if not len(first):
                 continue
@@ -289,9 +294,12 @@ def repeated_spans(docs):
     crowds = named.where("open").groupBy("anchor").agg(F.ceil(F.sum("windows") / CROWD).cast("int").alias("salts"))
     open_ = stored(named.where("open").join(crowds, "anchor").select("anchor", "name", "holder", "salts"), "open-segments")
     anchors = open_.select("anchor").distinct()
-    wanted = bitmap(anchors, "anchor", anchors.count())
+    holders = open_.select(F.col(f"holder.{TEXT_KEY}").bitwiseXOR(F.col("holder.first")).bitwiseXOR(F.shiftleft("holder.doc", 12)).alias("at"))
+    wanted = [bitmap(anchors, "anchor", anchors.count()), bitmap(holders, "at", holders.count())]
     texts = segment_rows(rows, sent, wanted).join(open_, ["anchor", "name"]).where(place == F.col("holder"))
-    stretches = texts.select(doc.alias("doc"), TEXT_KEY, "first", "last", "anchor", "bytes", "salts", F.pmod(F.xxhash64("name"), "salts").cast("int").alias("salt")).dropDuplicates(["doc", TEXT_KEY, "first", "last"])
+    stretches = texts.select("anchor", "name", doc.alias("doc"), TEXT_KEY, "first", "last", "bytes", "salts", F.pmod(F.xxhash64("name"), "salts").cast("int").alias("salt"))
+    # one anchor and name to a place: rows that come twice are dropped where the join has put them
+    stretches = stretches.dropDuplicates(["anchor", "name", "doc", TEXT_KEY, "first", "last"]).drop("name")
     classes = stored(suffix_classes(stretches), "suffix-classes")
     least = [F.col(f"least.{c}").alias(x) for c, x in zip(PLACE, "dkp")]
     several = stored(classes.where("split").groupBy("w1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1"), "split-strings")
