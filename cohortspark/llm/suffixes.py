@@ -9,10 +9,10 @@ of the other segments that share an anchor with a different segment, or overlap
   prefix polynomial hashes (logarithmic in the length); all comparisons of a merge level run at once in numpy.
 * Neighbours that share 100 bytes by hash are compared byte by byte (collision verification) and form classes.
 
-Equal strings share their anchor, so segments are dealt by anchor and a class of one block is final. An anchor with more
-than ``CROWD`` open windows is dealt over several blocks; its classes meet again by the 128-bit hash of their 100
-bytes, one row per block and class, so a string that a third of all documents hold is a row per block. Of their strings
-with one place in a block only those travel whose hash a count finds in several blocks (a bitmap tells). The earliest
+Equal strings share their anchor, so segments are dealt by anchor and a class of one block is final: what it removes
+leaves the block as runs of places, not window by window. An anchor with more than ``CROWD`` open windows is dealt over several blocks; its classes meet again by the 128-bit hash of their 100
+bytes, one row per block and class, so a string that a third of all documents hold is a row per block. Their strings
+with one place in a block leave it as runs with packed hashes; only those travel whose hash a count finds in several blocks (a bitmap tells). The earliest
 holder of a class keeps it, all others lose it.
 
 Defined cases: null and empty texts have no bytes; a missing doc_id is smaller than any other; rows that repeat a
@@ -25,9 +25,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import functions as F
 
+from cohortspark.llm.blocks import release
 from cohortspark.llm.common import TEXT_KEY, arrow_map, keyed, row_chunks, stored, utf8
 from cohortspark.llm.jaccard import bitmap, in_bitmap
 from cohortspark.llm.repeats import Rows, merge_spans
@@ -198,9 +200,20 @@ def segment_rows(rows, sent, wanted=None):
     return arrow_map(rows, run, f"doc_id long, {TEXT_KEY} long, first long, last long, name long, anchor long, loops boolean" + (", bytes binary" if wanted else ""))
 
 
+def _runs(doc, key, at):
+    """(doc, text key, first, last) of each run of places that follow one another; the places ascend."""
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (np.diff(at) > 1)
+    start = np.flatnonzero(new)
+    end = np.r_[start[1:], len(at)][:len(start)] - 1
+    return doc[start], key[start], at[start], at[end]
+
+
 def suffix_classes(stretches):
-    """Classes of equal windows of each block: w1, w2, least (rank key of the earliest), members (packed rank keys; null
-    where the earliest is the only one)."""
+    """What the classes of equal windows of each block tell. Those of an anchor in one block are final: runs of the windows
+    that stand earlier too (doc, text key, at, last; ``split`` is false). Those of a split anchor are a row each: w1, w2,
+    doc, text key, at (the earliest place), members (packed places); where they have one place in the block, each run of
+    such places is a row: doc, text key, at, last, members (packed hashes w1, w2), w1 and w2 are null."""
 
     def blocks(batches):
         held, n, last = [], 0, None
@@ -249,30 +262,57 @@ def suffix_classes(stretches):
             by = np.lexsort((at_, key_, doc_))
             rank[by] = np.arange(len(by))
             least = by[np.minimum.reduceat(rank, heads)]
-            told = (ends - heads > 1) | split  # strings of one place are done, but where other blocks may have them
-            heads, ends, least, split = heads[told], ends[told], least[told], split[told]
-            w1 = Prefix(byte_values(21)[data]).of(order[heads], order[heads] + WIDTH)
-            w2 = Prefix(byte_values(22)[data]).of(order[heads], order[heads] + WIDTH)
-            packed = np.column_stack([doc_, key_, at_]).astype("<i8")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(doc_[least]), pa.array(key_[least]), pa.array(at_[least]),
-                 pa.array([packed[a:b].tobytes() if b - a > 1 else None for a, b in zip(heads.tolist(), ends.tolist())], pa.binary()), pa.array(split)],
-                names=["w1", "w2", "doc", TEXT_KEY, "at", "members", "split"])
-
+            lead, final = np.repeat(least, ends - heads), np.repeat(~split, ends - heads)
+            later = final & ((doc_ != doc_[lead]) | (key_ != key_[lead]) | (at_ != at_[lead]))
+            gone = by[later[by]]
+            yield told(*_runs(doc_[gone], key_[gone], at_[gone]), False)
+            one = np.repeat(split & (ends - heads == 1), ends - heads)
+            one = by[one[by]]
+            runs = _runs(doc_[one], key_[one], at_[one])
+            hashes = np.column_stack([Prefix(byte_values(seed)[data]).of(order[one], order[one] + WIDTH) for seed in (21, 22)])
+            yield told(*runs, True, packed(hashes, np.r_[0, np.cumsum(runs[3] - runs[2] + 1)]))
+            many = split & (ends - heads > 1)
+            heads, ends, least = heads[many], ends[many], least[many]
+            w1 = Prefix(byte_values(21)[data]).of(order[heads], order[heads] + WIDTH).view(np.int64)
+            w2 = Prefix(byte_values(22)[data]).of(order[heads], order[heads] + WIDTH).view(np.int64)
+            places = np.column_stack([doc_, key_, at_]).astype("<i8")
+            yield told(doc_[least], key_[least], at_[least], None, True, [places[a:b].tobytes() for a, b in zip(heads.tolist(), ends.tolist())], w1, w2)
+
+    def packed(values, cuts):
+        return [values[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def told(doc, key, at, last, split, members=None, w1=None, w2=None):
+        none = pa.nulls(len(doc), pa.int64())
+        w1, w2, last = [none if x is None else pa.array(x) for x in (w1, w2, last)]
+        members = pa.nulls(len(doc), pa.binary()) if members is None else pa.array(members, pa.binary())
+        return pa.RecordBatch.from_arrays([w1, w2, pa.array(doc), pa.array(key), pa.array(at), last, members, pa.array(np.full(len(doc), split))], names=names)
+
+    names = ["w1", "w2", "doc", TEXT_KEY, "at", "last", "members", "split"]
     dealt = stretches.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    return dealt.mapInArrow(run, f"w1 long, w2 long, doc long, {TEXT_KEY} long, at long, members binary, split boolean")
-
+    return dealt.mapInArrow(run, f"w1 long, w2 long, doc long, {TEXT_KEY} long, at long, last long, members binary, split boolean")
 
-def meeting_classes(split, several):
-    """Of the classes of split anchors those with several places, or whose hash ``several`` (a bitmap) holds."""
-    held, bits = split.sparkSession.sparkContext.broadcast(several[0]), several[1]
 
-    def run(batches):
-        for batch in batches:
-            told = in_bitmap((held.value, bits), batch.column("w1").to_numpy())
-            yield batch.filter(pa.array(told | batch.column("members").is_valid().to_numpy(zero_copy_only=False)))
+def split_strings(split, several=None):
+    """w1 of every string of the split classes, once for each block. With ``several`` (a bitmap of w1) the classes: w1, w2,
+    doc, text key, at, members of those with several places, and of those with one place whose hash it holds."""
+    held, bits = (split.sparkSession.sparkContext.broadcast(several[0]), several[1]) if several else (None, 0)
 
-    return split.mapInArrow(run, split.schema)
+    def run(batch):
+        alone = batch.column("w1").is_null()
+        sets, runs = batch.filter(pc.invert(alone)), batch.filter(alone)
+        hashes = np.frombuffer(b"".join(runs.column("members").to_pylist()), np.int64).reshape(-1, 2)
+        if held is None:
+            return {"w1": np.r_[sets.column("w1").to_numpy(zero_copy_only=False).astype(np.int64), hashes[:, 0]]}
+        first, last = runs.column("at").to_numpy(), runs.column("last").to_numpy(zero_copy_only=False).astype(np.int64)
+        size = last - first + 1
+        row = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(row)) + np.repeat(first - np.r_[0, np.cumsum(size)[:-1]][:len(size)], size)
+        mine = np.flatnonzero(in_bitmap((held.value, bits), hashes[:, 0]))
+        row, at, hashes = pa.array(row[mine]), at[mine], hashes[mine]
+        cols = {"w1": hashes[:, 0], "w2": hashes[:, 1], "doc": runs.column("doc").take(row), TEXT_KEY: runs.column(TEXT_KEY).take(row), "at": at, "members": pa.nulls(len(at), pa.binary())}
+        return {c: pa.concat_arrays([sets.column(c), x if isinstance(x, pa.Array) else pa.array(x)]) for c, x in cols.items()}
+
+    return arrow_map(split, run, "w1 long" + (f", w2 long, doc long, {TEXT_KEY} long, at long, members binary" if several else ""))
 
 
 def repeated_spans(docs):
@@ -302,11 +342,11 @@ def repeated_spans(docs):
     stretches = stretches.dropDuplicates(["anchor", "name", "doc", TEXT_KEY, "first", "last"]).drop("name")
     classes = stored(suffix_classes(stretches), "suffix-classes")
     least = [F.col(f"least.{c}").alias(x) for c, x in zip(PLACE, "dkp")]
-    several = stored(classes.where("split").groupBy("w1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1"), "split-strings")
-    meeting = stored(meeting_classes(classes.where("split"), bitmap(several, "w1", several.count())), "split-classes")
+    several = stored(split_strings(classes.where("split")).groupBy("w1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1"), "split-strings")
+    meeting = stored(split_strings(classes.where("split"), bitmap(several, "w1", several.count())), "split-classes")
     met = meeting.groupBy("w1", "w2").agg(F.min(F.struct(*PLACE)).alias("least"), F.count(F.lit(1)).alias("blocks"))
     split = meeting.join(met, ["w1", "w2"]).where(F.col("members").isNotNull() | (F.col("blocks") > 1)).select("members", *PLACE, *least)
-    joined = classes.where(~F.col("split")).select("members", *PLACE, *[F.col(c).alias(x) for c, x in zip(PLACE, "dkp")]).unionByName(split)
+    final = classes.where(~F.col("split")).select(F.nullif("doc", F.lit(LOWEST)).alias("doc_id"), TEXT_KEY, F.col("at").alias("first"), "last")
 
     def later(batch):
         alone = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in PLACE]).astype("<i8")
@@ -315,15 +355,10 @@ def repeated_spans(docs):
         m = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 3)
         least = np.column_stack([np.repeat(batch.column(c).to_numpy(zero_copy_only=False), size) for c in ("d", "k", "p")])
         gone = m[(m != least).any(axis=1)]
-        gone = gone[np.lexsort((gone[:, 2], gone[:, 1], gone[:, 0]))]
-        new = np.ones(len(gone), bool)
-        new[1:] = (gone[1:, :2] != gone[:-1, :2]).any(axis=1) | (np.diff(gone[:, 2]) > 1)
-        start = np.flatnonzero(new)
-        end = np.r_[start[1:], len(gone)][:len(start)] - 1
-        docs_ = gone[start, 0]
-        return {"doc_id": pa.array(docs_, mask=docs_ == LOWEST), TEXT_KEY: gone[start, 1], "first": gone[start, 2], "last": gone[end, 2]}
-
-    spans = whole.unionByName(arrow_map(joined, later, f"doc_id long, {TEXT_KEY} long, first long, last long"))
+        docs_, key, first, last = _runs(*gone[np.lexsort((gone[:, 2], gone[:, 1], gone[:, 0]))].T)
+        return {"doc_id": pa.array(docs_, mask=docs_ == LOWEST), TEXT_KEY: key, "first": first, "last": last}
+
+    spans = whole.unionByName(final).unionByName(arrow_map(split, later, f"doc_id long, {TEXT_KEY} long, first long, last long"))
     return stored(spans.groupBy("doc_id", TEXT_KEY).agg(F.collect_list(F.struct("first", F.expr(f"last + {WIDTH}").alias("end"))).alias("spans")), "repeated-spans")
 
 
@@ -332,6 +367,7 @@ def drop_repeated_bytes(docs):
     from pyspark.sql import types as T
 
     found = repeated_spans(docs).withColumnsRenamed({"doc_id": "_span_id", TEXT_KEY: "_span_key", "spans": "_spans"})
+    release(docs.sparkSession)  # else those of the spans lie beside the texts' shuffle
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256")
     text_key = F.xxhash64(F.col("text").cast("string"))
     joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_span_id")) & (text_key == F.col("_span_key")), "left").drop("_span_id", "_span_key")

@@ -253,6 +253,27 @@ def test_suffix_dedup(docs, texts, crowd, monkeypatch):
     same_rows(suffixes.drop_repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), want)
 
 
+def test_classes_of_one_block_leave_as_runs(spark):
+    """500 windows in three documents, one of them twice in a row: a row per run of later windows, not one per window."""
+    from cohortspark.llm.common import TEXT_KEY
+    from cohortspark.llm.suffixes import split_strings, suffix_classes
+
+    rng = random.Random(6)
+    text, other, third = (bytes(rng.choices(range(97, 123), k=599)) for _ in range(3))
+    places = [(4, 40, 7, text, 1), (LOW, 10, 3, other, 1), (2, 20, 0, text, 1), (4, 40, 900, text, 1), (4, 40, 1400, text[500:] + other[:99], 1), (9, 90, 5, text[:250], 1)]
+    split = [(2, 20, 5000, third[:160], 2), (1, 11, 0, third[:120], 2)]
+    rows = [(n, d, k, at, at + len(x) - 100, bytearray(x), n, 0) for d, k, at, x, n in places + split]  # anchor 2 has two salts
+    frame = spark.createDataFrame(rows, f"anchor long, doc long, {TEXT_KEY} long, first long, last long, bytes binary, salts int, salt int")
+    got = suffix_classes(frame).collect()
+    same_rows([(r["doc"], r[TEXT_KEY], r["at"], r["last"]) for r in got if not r["split"]], [(4, 40, 7, 506), (4, 40, 900, 1399), (9, 90, 5, 155)])
+    held = [r for r in got if r["split"] and r["w1"] is not None]
+    assert sorted((r["doc"], r[TEXT_KEY], r["at"], len(r["members"]) // 24) for r in held) == [(1, 11, i, 2) for i in range(21)]
+    assert len({(r["w1"], r["w2"]) for r in held}) == 21 and all(r["last"] is None for r in held)
+    # a split anchor's strings with one place in the block: a row per run, with two hashes for each window
+    assert [(r["doc"], r[TEXT_KEY], r["at"], r["last"], len(r["members"])) for r in got if r["split"] and r["w1"] is None] == [(2, 20, 5021, 5060, 40 * 16)]
+    assert split_strings(spark.createDataFrame([r for r in got if r["split"]], "w1 long, w2 long, doc long, " + TEXT_KEY + " long, at long, last long, members binary, split boolean")).count() == 61
+
+
 # -- Jaccard join ----------------------------------------------------------------------------------------------------
 
 
