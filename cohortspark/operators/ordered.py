@@ -165,8 +165,8 @@ class OrderedScan:
         ranges = max(2, min(-(-count // half), max(shuffled, -(-2 * count // HOT_ROWS))))
         by = [F.col("_kid").asc(), *sort_columns(self.order)]
         number = F.monotonically_increasing_id()  # the range's number, and below it 33 bits of the row's number inside
-        dealt = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("_at", number)
-        return durable(dealt.withColumn("_cell", F.col("_at") - F.col("_at").bitwiseAND(2**33 - 1) % half).drop("_at"))
+        dealt = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("_cell", number)
+        return durable(dealt.withColumn("_cell", F.col("_cell") - F.col("_cell").bitwiseAND(2**33 - 1) % half))
 
     # ------------------------------------------------------------ windows
 

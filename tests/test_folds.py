@@ -99,6 +99,24 @@ def test_look_back_and_recency(spark, hot_rows):
             assert r[f"s_{w}d"] == (pytest.approx(sum(s)) if s else None) and r[f"m_{w}d"] == (pytest.approx(sum(m) / len(m)) if m else None)
 
 
+def one_unit(spark):
+    """Orders and exposures of one unit, an hour apart or at the same time, some without a time; a tenth falls to no unit."""
+    hours = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    orders = [(None if i % 10 == 9 else 1, None if i % 37 == 0 else hours(i // 2), i, "vp"[i % 2]) for i in range(200)]
+    marks = [(1, None if i == 5 else hours(i // 2 * 3)) for i in range(60)]
+    return orders, marks, spark.createDataFrame(orders, "u int, ts timestamp_ntz, id long, code string"), spark.createDataFrame(marks, "u int, t0 timestamp_ntz")
+
+
+def test_recency_of_one_unit_in_cells(spark):
+    orders, marks, ev, ex = one_unit(spark)
+    for whole in (False, True):
+        got = P.stage_recency(ex, ev, "u", "t0", "ts", {"p": F.col("code") == "p"}, whole_days=whole, hot_rows=8).collect()
+        assert len(got) == len(marks)
+        for r in got:
+            mine = [t for u, t, _, k in orders if None not in (u, t, r.t0) and k == "p" and (t.date() < r.t0.date() if whole else t < r.t0)]
+            assert (r.n_p, r.days_since_p) == (len(mine), (r.t0.date() - max(mine).date()).days if mine else None)
+
+
 @pytest.mark.parametrize("hot_rows", [None, 20])
 def test_redemption_counts(spark, hot_rows):
     rows, marks = skewed_events(9)

@@ -113,3 +113,14 @@ def test_cells_are_many_to_a_task(spark):
         assert len(scan.cut.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
         plain = OrderedScan(df, keys, ["-t", "id"]).add(**ops).result()
         assert rows(plain, plain.columns) == rows(scan.add(**ops).result(), plain.columns)
+
+
+def test_a_cut_frame_keeps_all_its_columns(spark):
+    # the cells' number stood in a column "_at": a frame's own column of that name was lost
+    df = spark.range(400).select((F.col("id") % 2).alias("k"), F.pmod(F.xxhash64("id"), F.lit(90)).alias("_at"), F.col("id").alias("_kind"))
+    ops = dict(n=row_number(), before=lag("_at"), after=lead("_kind"), total=running_sum("_at"))
+    for keys in ([], ["k"]):
+        plain, cut = OrderedScan(df, keys, ["_at", "_kind"]), OrderedScan(df, keys, ["_at", "_kind"], hot_rows=20)
+        assert cut.split and cut.columns == df.columns and set(cut.df.columns) == {*df.columns, "_cell"}
+        want = plain.add(**ops).result()
+        assert rows(want, want.columns) == rows(cut.add(**ops).result(), want.columns)
